@@ -103,16 +103,17 @@ def category_accuracy(df: DataFrame, y: str, p: str, classes: DataFrame) -> Data
         .select("cls", F.round(F.coalesce("a", F.lit(0.0)), 6).alias("accuracy"))
 
 
-def count_windows(steps: DataFrame, *, epoch: str, step: str, length: int) -> DataFrame:
+def count_windows(steps: DataFrame, *, epoch: str, step: str, length: int,
+                  window: str = "win_id") -> DataFrame:
     """Metrics are flushed when ``step % length == 0`` and buffers reset
     per epoch, so window ``ceil(step / length)`` within an epoch is logged
     only if it contains its flush step; unfinished tails are dropped.
-    Adds ``window`` and keeps only logged rows."""
+    Adds the window id column and keeps only logged rows."""
     w = F.ceil(F.col(step) / F.lit(length)).cast("long")
-    s = steps.withColumn("window", w)
-    done = (s.groupBy(epoch, "window").agg(F.max(step).alias("_mx"))
+    s = steps.withColumn(window, w)
+    done = (s.groupBy(epoch, window).agg(F.max(step).alias("_mx"))
             .filter(F.col("_mx") % length == 0).drop("_mx"))
-    return s.join(done, [epoch, "window"], "left_semi")
+    return s.join(done, [epoch, window], "left_semi")
 
 
 def best_so_far(metrics: DataFrame, *, order: str, value: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import fold_paths, verdict_of_code
 from ..functions.vectors import dims
 from ..operators.votes import claim_verdict, majority_vote, two_level_verdict
-from .bindings import neighbours, sql_neighbours
+from .bindings import neighbours, sql_neighbours, sql_scores
 from .registry import Tables, register
 
 _SQL_VERDICT3 = "CASE {x} WHEN 0 THEN 'support' WHEN 1 THEN 'not_enough_information' ELSE 'refute' END"
@@ -119,3 +119,57 @@ def q_two_level_verdict(spark, sf_dir):
     l2 = nn.select("query_id", F.when(F.col("c_label") % 2 == 0, "supported")
                    .otherwise("refuted").alias("label"), "score")
     return two_level_verdict(l1, l2, claim="query_id", label="label", score="score")
+
+
+def _sql_path(i: int) -> str:
+    l0, l1, l2 = (f"(qe.embedding[{3 * i + j + 1}]::DOUBLE + ce.embedding[{3 * i + j + 1}]::DOUBLE)"
+                  for j in range(3))
+    return (f"CASE WHEN {l0} >= {l1} AND {l0} >= {l2} THEN 'support' WHEN {l1} >= {l2} "
+            f"THEN 'not_enough_information' ELSE 'refute' END")
+
+
+_SQL_VERIFY = f"""WITH {sql_scores('list_slice(embedding, 1, 32)', 'tx')},
+tpool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, split
+                                     ORDER BY score DESC, corpus_id) AS pool_rank FROM tx) WHERE pool_rank <= 15),
+trs AS (SELECT p.*, round(list_dot_product(list_slice(qe.embedding::DOUBLE[], 1, 16),
+                                           list_slice(ce.embedding::DOUBLE[], 1, 16)), 6) AS score2
+        FROM tpool p JOIN embeddings qe ON qe.vec_id = p.query_id JOIN embeddings ce ON ce.vec_id = p.corpus_id),
+tdd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, score2
+                                  ORDER BY split_rank, pool_rank, corpus_id) AS dr FROM trs) WHERE dr = 1),
+th AS (SELECT * FROM (SELECT query_id, corpus_id, row_number() OVER (PARTITION BY query_id
+                       ORDER BY score2 DESC, split_rank, pool_rank, corpus_id) AS rank FROM tdd) WHERE rank <= 3),
+{sql_scores('list_slice(embedding, 33, 64)', 'im')},
+idd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, score ORDER BY corpus_id) AS dr
+                       FROM im) WHERE dr = 1),
+ih AS (SELECT * FROM (SELECT query_id, corpus_id, row_number() OVER (PARTITION BY query_id
+                       ORDER BY score DESC, corpus_id) AS rank FROM idd) WHERE rank <= 2),
+hits AS (SELECT *, 0 AS modality FROM th UNION ALL SELECT *, 1 AS modality FROM ih),
+ev0 AS (SELECT h.* FROM hits h WHERE h.corpus_id IN (SELECT doc_id FROM documents)),
+ev1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY modality, rank) AS pos FROM ev0),
+img AS (SELECT DISTINCT doc_id FROM labels),
+ev2 AS (SELECT ev1.query_id, ev1.pos,
+               {_sql_path(0)} AS text_text,
+               CASE WHEN ev1.corpus_id IN (SELECT doc_id FROM img) THEN {_sql_path(1)} END AS text_image,
+               CASE WHEN ev1.query_id IN (SELECT doc_id FROM img) THEN {_sql_path(2)} END AS image_text,
+               CASE WHEN ev1.query_id IN (SELECT doc_id FROM img) AND ev1.corpus_id IN (SELECT doc_id FROM img)
+                    THEN {_sql_path(3)} END AS image_image
+        FROM ev1 JOIN embeddings qe ON qe.vec_id = ev1.query_id JOIN embeddings ce ON ce.vec_id = ev1.corpus_id),
+ev AS (SELECT query_id, pos, {sql_fold('text_text', 'text_image', 'image_text', 'image_image')} AS v FROM ev2),
+g AS (SELECT query_id, count(*) FILTER (WHERE v = 'support') AS n_support,
+             count(*) FILTER (WHERE v = 'refute') AS n_refute,
+             count(*) FILTER (WHERE v = 'not_enough_information') AS n_nei FROM ev GROUP BY query_id),
+f AS (SELECT *, CASE WHEN n_support = 0 AND n_refute = 0 THEN 'not_enough_information'
+                     WHEN n_support = n_refute THEN 'not_enough_information'
+                     WHEN n_support > n_refute THEN 'support' ELSE 'refute' END AS verdict FROM g)
+SELECT f.query_id, f.verdict, f.n_support, f.n_refute, f.n_nei,
+       coalesce(string_agg(ev.pos::VARCHAR, ',' ORDER BY ev.pos) FILTER (WHERE ev.v = f.verdict), '')
+         AS contributing
+FROM f JOIN ev ON ev.query_id = f.query_id
+GROUP BY f.query_id, f.verdict, f.n_support, f.n_refute, f.n_nei"""
+
+
+@register("verify_claims", _SQL_VERIFY, "R6 R2 R3 J2 J3 F2 P21 F9 A8")
+def q_verify_claims(spark, sf_dir):
+    from .verify import verify_claims
+    t = Tables(spark, sf_dir)
+    return verify_claims(t.embeddings, t.documents, t.labels)
