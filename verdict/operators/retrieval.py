@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from .topk import vector_topk
 
-SPLIT_RANK = F.when(F.col("split") == "train", 0).when(F.col("split") == "test", 1).otherwise(2)
+def split_rank() -> Column:
+    """train 0, test 1, anything else 2."""
+    return F.when(F.col("split") == "train", 0).when(F.col("split") == "test", 1).otherwise(2)
 
 
 def pools_by_split(queries: DataFrame, corpus: DataFrame, pool_k: int, *,
@@ -50,19 +52,24 @@ def two_stage(pools: DataFrame, rescored: str, k: int | None, *,
     """R2 after the re-scorer: merge the split pools, order by
     (re-score desc, train before test, pool rank), de-duplicate equal
     re-scores (W2, or W3 when ``keep`` marks the gold row) and cut at k."""
-    order = [F.desc(rescored), SPLIT_RANK.asc(), F.col("pool_rank").asc(), F.col("corpus_id").asc()]
+    order = [F.desc(rescored), split_rank().asc(), F.col("pool_rank").asc(), F.col("corpus_id").asc()]
     d = score_dedup(pools, q_id="query_id", score=rescored, order=order, keep=keep)
     return rank_topk(d, q_id="query_id", order=order, k=k)
 
 
-def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """First row per key (J2's first match, J6's first gold row)."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_fk", F.row_number().over(w)).filter("_fk = 1").drop("_fk")
+def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
+    """First row per key by ascending ``order`` columns (J2's first match,
+    J6's first gold row). A ``min_by`` aggregate, partial-aggregated map
+    side: a key with many rows is never gathered in one task."""
+    others = [c for c in df.columns if c not in key]
+    if not others:
+        return df.select(*key).distinct()
+    ordering = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    return df.groupBy(*key).agg(F.min_by(F.struct(*others), ordering).alias("_r")).select(*key, "_r.*")
 
 
 def hydrate(hits: DataFrame, content: DataFrame, *, hit_key: list[str], content_key: list[str],
-            order: list[Column]) -> DataFrame:
+            order: list) -> DataFrame:
     """Attach content to ranked hits by key. The content side is
     reduced to its first row per key, then inner-joined (a hit whose content
     is missing is dropped, as in the reference)."""

@@ -133,7 +133,7 @@ def q_two_stage(spark, sf_dir):
     t = Tables(spark, sf_dir)
     top = _two_stage_df(spark, sf_dir)
     docs = t.documents.select("doc_id", "lang")
-    h = hydrate(top, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=[F.col("doc_id")])
+    h = hydrate(top, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["doc_id"])
     return h.select("query_id", "rank", "corpus_id", "split", "score2", "lang")
 
 
@@ -148,5 +148,5 @@ def q_hydrate_evidence(spark, sf_dir):
     top = vector_topk(queries_from(emb), corpus_from(emb), 5, q_id="query_id", c_id="corpus_id",
                       exclude_self=True)
     docs = t.documents.select("doc_id", "lang", "source", "n_chars")
-    h = hydrate(top, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=[F.col("doc_id")])
+    h = hydrate(top, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["doc_id"])
     return h.select("query_id", "rank", "score", "doc_id", "lang", "source", "n_chars")

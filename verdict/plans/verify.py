@@ -58,7 +58,7 @@ def verify_claims(embeddings: DataFrame, documents: DataFrame, images: DataFrame
                                                    F.lit(1).alias("modality"))
     hits = t_hits.unionByName(i_hits)
     docs = documents.select("doc_id")
-    ev = hydrate(hits, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=[F.col("doc_id")])
+    ev = hydrate(hits, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["doc_id"])
     w = Window.partitionBy("query_id").orderBy("modality", "rank")
     ev = ev.withColumn("pos", F.row_number().over(w))
 
