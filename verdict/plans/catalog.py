@@ -1,3 +1,3 @@
 """Imports every catalogue module so that its queries register."""
 
-from . import q_answers, q_ensemble, q_ireval, q_metrics, q_prep, q_profile, q_retrieval, q_verdicts  # noqa: F401
+from . import q_answers, q_ensemble, q_ireval, q_metrics, q_prep, q_profile, q_retrieval, q_text, q_verdicts  # noqa: F401
