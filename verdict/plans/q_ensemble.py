@@ -118,3 +118,14 @@ def q_evidence_product(spark, sf_dir):
         "query_id", F.col("rank").alias("image_rank"), F.col("corpus_id").alias("image_id"))
     # Only claims present on the image side; J8: per-claim product
     return tx.join(im, "query_id", "inner")
+
+
+@register("pair_classifier", None, "R10")
+def q_pair_classifier(spark, sf_dir):
+    from ..operators.classifier import train_and_predict
+    e = Tables(spark, sf_dir).embeddings
+    nn = neighbours(e, 1).select("query_id", "corpus_id", (F.col("q_label") % 3).cast("double").alias("y"))
+    pairs = (nn.join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
+             .join(e.select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("cv")), "corpus_id"))
+    out = train_and_predict(pairs, claim_vec="qv", evidence_vec="cv", label="y")
+    return out.select("query_id", "corpus_id", "y", F.col("prediction").cast("int").alias("prediction"))
