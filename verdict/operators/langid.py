@@ -25,10 +25,13 @@ def trigram_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return g.groupBy(id_col, "tri").agg(F.count("*").alias("n"))
 
 
-def train(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
-    """Returns (model ``tri, lang, c``, totals ``lang, log_den``)."""
+def train(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str,
+          counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Returns (model ``tri, lang, c``, totals ``lang, log_den``).
+    ``counts`` reuses per-document trigram counts already computed."""
     docs = labelled.select(id_col, lang_col)
-    tc = trigram_counts(labelled, id_col, text_col).join(docs, id_col)
+    tc = counts if counts is not None else trigram_counts(labelled, id_col, text_col)
+    tc = tc.join(docs, id_col)
     model = tc.groupBy("tri", F.col(lang_col).alias("lang")).agg(F.sum("n").alias("c"))
     vocab = model.select(F.countDistinct("tri").cast("double")).scalar()
     totals = model.groupBy("lang").agg(F.sum("c").alias("N")) \
@@ -36,8 +39,9 @@ def train(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str) ->
     return model, totals
 
 
-def detect(texts: DataFrame, model: DataFrame, totals: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    tc = trigram_counts(texts, id_col, text_col)
+def detect(texts: DataFrame, model: DataFrame, totals: DataFrame, *, id_col: str, text_col: str,
+           counts: DataFrame | None = None) -> DataFrame:
+    tc = counts if counts is not None else trigram_counts(texts, id_col, text_col)
     n_doc = tc.groupBy(id_col).agg(F.sum("n").alias("n_doc"))
     s = (tc.join(model, "tri").groupBy(id_col, "lang")
          .agg(F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("num")))

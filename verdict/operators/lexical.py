@@ -95,7 +95,9 @@ def lexical_topk(claims: DataFrame, docs: DataFrame, k: int, *, claim_id: str, c
                        F.explode(distinct_tokens(F.col(claim_text))).alias("t"))
     cw = (ct.join(idf, "t").groupBy("_qid")
           .agg(F.collect_list("t").alias("_tok"), F.collect_list("idf").alias("_idf")))
-    nq, nd = cw.count(), dt.count()
+    # grid sizing needs only row counts of the inputs (cheap scans), not a
+    # pass over the tokenised texts
+    nq, nd = claims.count(), docs.count()
     QB, CB = block_counts(nq, nd, spark.sparkContext.defaultParallelism, q_block_rows, d_block_rows)
     q_rep = (cw.withColumn("qb", F.pmod(F.xxhash64("_qid"), F.lit(QB)).cast("int"))
              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(CB - 1)))))
