@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ENSEMBLE_POWERS, ENSEMBLE_WEIGHTS
+from ..session import ship_package
 from .topk import round_half_away
 
 SCORE_DECIMALS = 9
@@ -95,6 +96,7 @@ def grid_search(rows: DataFrame, *, n_classes: int = 5, weights=ENSEMBLE_WEIGHTS
     5; strict improvement, so the first setting in loop order wins a tie;
     all zeros when no setting beats 0) and its setting."""
     spark = rows.sparkSession
+    ship_package(spark)
     tasks = tasks or spark.sparkContext.defaultParallelism
     fn, schema = _partial_counts(n_classes, weights, powers)
     parts = rows.select("y", "m1", "m2", "m3").repartition(tasks).mapInPandas(fn, schema)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import distinct_tokens
+from ..session import ship_package
 from .topk import block_counts, round_half_away
 
 _OUT = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("_did", T.LongType()),
@@ -87,6 +88,7 @@ def lexical_topk(claims: DataFrame, docs: DataFrame, k: int, *, claim_id: str, c
                  d_block_rows: int = 4096) -> DataFrame:
     """Top-k documents per claim: ``claim_id, doc_id, score, rank``."""
     spark = claims.sparkSession
+    ship_package(spark)
     dt = docs.select(F.col(doc_id).cast("long").alias("_did"), distinct_tokens(F.col(doc_text)).alias("_tok"))
     n_docs = docs.select(F.count("*").cast("double")).scalar()
     idf = (dt.select(F.explode("_tok").alias("t")).groupBy("t").agg(F.count("*").alias("df"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import after_marker, has_marker, parse_answer_label, strip_ws
+from ..session import ship_package
 
 # ---------------------------------------------------------------------------
 # Prompt templates, with {question}, {claim}, {evidence} slots.
@@ -176,6 +177,8 @@ def batch_score(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schem
     to Arrow batches of rows; ``fn`` maps a pandas batch to the output
     columns of ``schema``. A failing batch must yield null/empty values
     rather than raise, so one bad row does not fail the job."""
+    ship_package(df.sparkSession)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             yield fn(pdf)

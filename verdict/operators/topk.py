@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import DECIMALS, EPS
+from ..session import ship_package
 
 _OUT = T.StructType([
     T.StructField("_qid", T.LongType()),
@@ -150,6 +151,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     query id equals the corpus id (self-similarity search on one table).
     """
     spark = queries.sparkSession
+    ship_package(spark)
     q = queries.select(F.col(q_id).cast("long").alias("_qid"),
                        F.col(q_vec).cast("array<float>").alias("_qv"))
     c = corpus.select(
