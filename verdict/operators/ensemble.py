@@ -67,7 +67,6 @@ def _partial_counts(n_classes: int, weights, powers, chunk_budget: int = 4_000_0
             P = [np.stack(pdf[m].to_numpy()).astype(np.float64) for m in ("m1", "m2", "m3")]
             # powers once per row: (model, power, rows, classes)
             PP = np.stack([np.stack([np.power(p, e) for e in pw]) for p in P])
-            onehot = np.eye(n_classes, dtype=bool)[y]
             step = max(1, chunk_budget // (len(y) * n_classes))
             for s in range(0, len(g), step):
                 gs = g[s:s + step]
@@ -76,9 +75,11 @@ def _partial_counts(n_classes: int, weights, powers, chunk_budget: int = 4_000_0
                      + w[gs[:, 2]][:, None, None] * PP[2][gs[:, 5]])
                 S = round_half_away(S, SCORE_DECIMALS)
                 pred = S.argmax(axis=2)                      # first max wins
-                ph = np.eye(n_classes, dtype=bool)[pred]     # (settings, rows, classes)
-                npred[s:s + step] += ph.sum(axis=1)
-                tp[s:s + step] += (ph & onehot[None]).sum(axis=1)
+                m = len(gs)
+                code = (np.arange(m)[:, None] * n_classes + pred).ravel()
+                npred[s:s + m] += np.bincount(code, minlength=m * n_classes).reshape(m, n_classes)
+                hit = (pred == y[None, :]).ravel()
+                tp[s:s + m] += np.bincount(code[hit], minlength=m * n_classes).reshape(m, n_classes)
         if not seen:
             return
         out = pd.DataFrame(np.hstack([tp, npred]), columns=cols)
