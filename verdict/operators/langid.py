@@ -7,9 +7,11 @@ trigram vocabulary V; the text gets the best-scoring language (ties by
 language code), a text without trigrams gets ``unknown``. The reported
 score is the mean log-probability per trigram, rounded to 6.
 
-All steps are aggregates and equi-joins on the trigram: per-document
-trigram counts are combined map side before the join, and the per-language
-totals are a one-row-per-language table.
+Plan: trigrams are extracted once, in one linear regex pass per text, and
+counted per (document, language, trigram), combined map side. That one
+aggregate feeds both the model (per trigram and language) and the scoring
+join on the trigram. Trigram totals per document and per language need no
+trigram pass at all: a text of L code points has max(L - 2, 0) trigrams.
 """
 
 from __future__ import annotations
@@ -20,31 +22,34 @@ from pyspark.sql import functions as F
 from ..functions.text import char_ngrams
 
 
-def trigram_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    g = df.select(id_col, F.explode(char_ngrams(F.lower(F.col(text_col)), 3)).alias("tri"))
-    return g.groupBy(id_col, "tri").agg(F.count("*").alias("n"))
+def n_trigrams(text_col: str):
+    return F.greatest(F.length(F.lower(F.col(text_col))) - 2, F.lit(0)).cast("long")
+
+
+def trigram_counts(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    keep = keep or []
+    g = df.select(id_col, *keep, F.explode(char_ngrams(F.lower(F.col(text_col)), 3)).alias("tri"))
+    return g.groupBy(id_col, *keep, "tri").agg(F.count("*").alias("n"))
 
 
 def train(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str,
           counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (model ``tri, lang, c``, totals ``lang, log_den``).
-    ``counts`` reuses per-document trigram counts already computed."""
-    docs = labelled.select(id_col, lang_col)
-    tc = counts if counts is not None else trigram_counts(labelled, id_col, text_col)
-    tc = tc.join(docs, id_col)
+    ``counts`` (``id, lang, tri, n``) reuses trigram counts already made."""
+    tc = counts if counts is not None else trigram_counts(labelled, id_col, text_col, [lang_col])
     model = tc.groupBy("tri", F.col(lang_col).alias("lang")).agg(F.sum("n").alias("c"))
     vocab = model.select(F.countDistinct("tri").cast("double")).scalar()
-    totals = model.groupBy("lang").agg(F.sum("c").alias("N")) \
-        .select("lang", F.log(F.col("N").cast("double") + vocab).alias("log_den"))
+    totals = (labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.sum(n_trigrams(text_col)).alias("N"))
+              .select("lang", F.log(F.col("N").cast("double") + vocab).alias("log_den")))
     return model, totals
 
 
 def detect(texts: DataFrame, model: DataFrame, totals: DataFrame, *, id_col: str, text_col: str,
            counts: DataFrame | None = None) -> DataFrame:
     tc = counts if counts is not None else trigram_counts(texts, id_col, text_col)
-    n_doc = tc.groupBy(id_col).agg(F.sum("n").alias("n_doc"))
-    s = (tc.join(model, "tri").groupBy(id_col, "lang")
+    s = (tc.select(id_col, "tri", "n").join(model, "tri").groupBy(id_col, "lang")
          .agg(F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("num")))
+    n_doc = texts.select(id_col, n_trigrams(text_col).alias("n_doc"))
     s = s.join(totals, "lang").join(n_doc, id_col) \
         .withColumn("score", F.col("num") - F.col("n_doc") * F.col("log_den"))
     best = s.groupBy(id_col).agg(F.min_by(F.struct("lang", "score", "n_doc"),

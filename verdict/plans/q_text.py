@@ -44,6 +44,6 @@ FROM documents d LEFT JOIN best b USING (doc_id)""", "R5 A1")
 def q_detect_language(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
     # training and scoring read the same texts: count their trigrams once
-    tc = langid.trigram_counts(d, "doc_id", "text")
+    tc = langid.trigram_counts(d, "doc_id", "text", ["lang"])
     model, totals = langid.train(d, id_col="doc_id", text_col="text", lang_col="lang", counts=tc)
     return langid.detect(d, model, totals, id_col="doc_id", text_col="text", counts=tc)
