@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from ..schemas import ENSEMBLE_POWERS, ENSEMBLE_WEIGHTS
 from ..session import ship_package
-from .topk import round_half_away
 
 SCORE_DECIMALS = 9
 F1_DECIMALS = 5
@@ -49,15 +48,25 @@ def grid(weights=ENSEMBLE_WEIGHTS, powers=ENSEMBLE_POWERS) -> np.ndarray:
                                  range(len(powers)), range(len(powers)), range(len(powers)))), dtype=np.int16)
 
 
-def _partial_counts(n_classes: int, weights, powers, chunk_budget: int = 4_000_000):
-    g = grid(weights, powers)
+def _partial_counts(n_classes: int, weights, powers):
+    """Per-task kernel. Loops over the power combinations (p1, p2, p3) and
+    broadcasts all weight combinations at once: scores are
+    ``(w1 * a + w2 * b) + w3 * c`` in that order (as in the SQL), rounded
+    half away from zero to 9 places; scores are non-negative, so the rounded
+    integer ``floor(x * 1e9 + 0.5)`` orders and ties exactly like the
+    rounded value, and argmax takes the first maximum."""
     w = np.asarray(weights, dtype=np.float64)
     pw = np.asarray(powers, dtype=np.float64)
+    nw, npw = len(w), len(pw)
+    wc = np.array(list(product(range(nw), repeat=3)), dtype=np.int64)        # weight combos, loop order
+    w1, w2, w3 = (w[wc[:, i]][:, None] for i in range(3))
+    n_set = len(wc) * npw ** 3
+    scale = 10.0 ** SCORE_DECIMALS
     cols = [f"tp{c}" for c in range(n_classes)] + [f"np{c}" for c in range(n_classes)]
 
     def fn(it):
-        tp = np.zeros((len(g), n_classes), dtype=np.int64)
-        npred = np.zeros((len(g), n_classes), dtype=np.int64)
+        tp = np.zeros((n_set, n_classes), dtype=np.int64)
+        npred = np.zeros((n_set, n_classes), dtype=np.int64)
         seen = False
         for pdf in it:
             if len(pdf) == 0:
@@ -65,25 +74,31 @@ def _partial_counts(n_classes: int, weights, powers, chunk_budget: int = 4_000_0
             seen = True
             y = pdf["y"].to_numpy(np.int64)
             P = [np.stack(pdf[m].to_numpy()).astype(np.float64) for m in ("m1", "m2", "m3")]
-            # powers once per row: (model, power, rows, classes)
-            PP = np.stack([np.stack([np.power(p, e) for e in pw]) for p in P])
-            step = max(1, chunk_budget // (len(y) * n_classes))
-            for s in range(0, len(g), step):
-                gs = g[s:s + step]
-                S = (w[gs[:, 0]][:, None, None] * PP[0][gs[:, 3]]
-                     + w[gs[:, 1]][:, None, None] * PP[1][gs[:, 4]]
-                     + w[gs[:, 2]][:, None, None] * PP[2][gs[:, 5]])
-                S = round_half_away(S, SCORE_DECIMALS)
-                pred = S.argmax(axis=2)                      # first max wins
-                m = len(gs)
-                code = (np.arange(m)[:, None] * n_classes + pred).ravel()
-                npred[s:s + m] += np.bincount(code, minlength=m * n_classes).reshape(m, n_classes)
+            # powers once per row, class-major: PP[model][power][class] -> (rows,)
+            PP = [[np.ascontiguousarray(np.power(p, e).T) for e in pw] for p in P]
+            m = len(wc)
+            base = np.arange(m)[:, None] * n_classes
+            for j1, j2, j3 in product(range(npw), repeat=3):
+                a, b, c3 = PP[0][j1], PP[1][j2], PP[2][j3]
+                best = None
+                pred = None
+                for c in range(n_classes):
+                    r = np.floor((w1 * a[c] + w2 * b[c] + w3 * c3[c]) * scale + 0.5)
+                    if best is None:
+                        best, pred = r, np.zeros(r.shape, dtype=np.int64)
+                    else:
+                        better = r > best                                      # first max wins
+                        pred[better] = c
+                        np.maximum(best, r, out=best)
+                sid = np.arange(m) * npw ** 3 + (j1 * npw + j2) * npw + j3
+                code = (base + pred).ravel()
+                npred[sid] += np.bincount(code, minlength=m * n_classes).reshape(m, n_classes)
                 hit = (pred == y[None, :]).ravel()
-                tp[s:s + m] += np.bincount(code[hit], minlength=m * n_classes).reshape(m, n_classes)
+                tp[sid] += np.bincount(code[hit], minlength=m * n_classes).reshape(m, n_classes)
         if not seen:
             return
         out = pd.DataFrame(np.hstack([tp, npred]), columns=cols)
-        out.insert(0, "sid", np.arange(len(g), dtype=np.int64))
+        out.insert(0, "sid", np.arange(n_set, dtype=np.int64))
         yield out
     schema = T.StructType([T.StructField("sid", T.LongType())]
                           + [T.StructField(c, T.LongType()) for c in cols])
