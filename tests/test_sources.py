@@ -49,3 +49,37 @@ def test_image_listing_prunes_content(spark, scratch):
     df = readers.list_images(spark, d)
     assert sorted(os.path.basename(r.path) for r in df.collect()) == ["1_claim.jpg", "1_evidence.jpg"]
     assert "content" not in df._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1][:60]
+
+
+def test_qrels_passages_candidates_probs(spark, scratch):
+    q = os.path.join(scratch, "qrels.csv")
+    with open(q, "w") as f:
+        f.write("TOPIC,DOCUMENT#,RELEVANCY,evidence_relevant\n1,a,1,0\n1,b,0,1\n2,c,2,1\n")
+    pos = {(r.query_id, r.doc_id) for r in readers.read_qrels(spark, q).filter("positive").collect()}
+    assert pos == {(1, "a")}
+    pos = {(r.query_id, r.doc_id) for r in readers.read_qrels(spark, q, "evidence_relevant")
+           .filter("positive").collect()}
+    assert pos == {(1, "b"), (2, "c")}
+    p = os.path.join(scratch, "passages.csv")
+    with open(p, "w") as f:
+        f.write('claim_id,relevant_document_id,paragraph_id,paragraph\n1,2,3," text\n"\n1,2,1,b\n0,5,5,c\n')
+    rows = readers.read_passages(spark, p, max_size=2).collect()
+    assert [(r.key, r.text) for r in rows] == [("0-5-5", "c"), ("1-2-1", "b")]
+    c = os.path.join(scratch, "cand")
+    spark.createDataFrame([(1, "x.jpg", 0.5)], "query_id long, corpus_id string, score double").write.parquet(c)
+    assert readers.read_candidates(spark, c, "/imgs").first().corpus_path == "/imgs/x.jpg"
+    paths = []
+    for i in range(3):
+        mp = os.path.join(scratch, f"m{i}.csv")
+        with open(mp, "w") as f:
+            f.write("id,p0,p1,p2,p3,p4\n2,0.1,0.2,0.3,0.2,0.2\n1,0.5,0.1,0.1,0.1,0.2\n")
+        paths.append(mp)
+    probs = {r.id: r for r in readers.read_model_probs(spark, paths).collect()}
+    assert probs[1].m3[0] == 0.5 and probs[2].m1[2] == 0.3
+
+
+def test_last_processed_index(spark):
+    from verdict.streaming.incremental import last_processed_index
+    df = spark.createDataFrame([(0, "a"), (1, None), (2, "b"), (3, None)], "idx long, caption string")
+    assert last_processed_index(df).first()[0] == 2
+    assert last_processed_index(df.filter("caption IS NULL")).first()[0] == -1

@@ -76,3 +76,11 @@ def hydrate(hits: DataFrame, content: DataFrame, *, hit_key: list[str], content_
     c = first_per_key(content, content_key, order)
     cond = [hits[a] == c[b] for a, b in zip(hit_key, content_key)]
     return hits.join(c, cond, "inner")
+
+
+def attach_external(ranked: DataFrame, claims: DataFrame, k: int, *, q_id: str = "query_id",
+                    score: str = "score", tie: str = "corpus_id") -> DataFrame:
+    """An external ranked list restricted to the current claims
+    (left semi join) and cut at the top k by score (ties by ``tie``)."""
+    r = ranked.join(claims.select(q_id), q_id, "left_semi")
+    return rank_topk(r, q_id=q_id, order=[F.desc(score), F.col(tie)], k=k)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dims, softmax
 from ..operators.ensemble import blend, grid_search
+from ..operators.retrieval import attach_external
 from ..schemas import ENSEMBLE_CATEGORIES, ENSEMBLE_POWERS, ENSEMBLE_SETTING, ENSEMBLE_WEIGHTS
 from .bindings import neighbours, sql_neighbours
 from .registry import Tables, register
@@ -114,7 +115,10 @@ def q_evidence_product(spark, sf_dir):
     e = Tables(spark, sf_dir).embeddings
     tx = neighbours(e, 3, dims("embedding", 1, 32)).select(
         "query_id", F.col("rank").alias("text_rank"), F.col("corpus_id").alias("text_id"))
-    im = neighbours(e, 2, dims("embedding", 33, 32)).select(
+    # The image side arrives as an external ranked list; keep the
+    # current claims only and its top 2 by score
+    ext = neighbours(e, 2, dims("embedding", 33, 32)).select("query_id", "corpus_id", "score")
+    im = attach_external(ext, tx.select("query_id").distinct(), 2).select(
         "query_id", F.col("rank").alias("image_rank"), F.col("corpus_id").alias("image_id"))
     # Only claims present on the image side; J8: per-claim product
     return tx.join(im, "query_id", "inner")

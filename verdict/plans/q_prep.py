@@ -15,7 +15,7 @@ from ..operators import prep
 from ..operators.retrieval import first_per_key, hydrate
 from ..operators.topk import vector_topk
 from ..schemas import CATEGORIES, CATEGORY_PATH_LABELS, PATHS, SIMPLE_CLASSES, SIMPLIFIED
-from .bindings import corpus_from, queries_from, sql_scores
+from .bindings import SQL_GOLD, corpus_from, queries_from, sql_scores
 from .registry import Tables, register
 
 _CATS6 = CATEGORIES + ["Other"]
@@ -319,23 +319,49 @@ def q_claim_gold_label(spark, sf_dir):
                         .otherwise("NEI").alias("gold_label"))
 
 
-@register("candidate_content", f"""WITH {sql_scores()},
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank
-                       FROM s) WHERE rank <= 5)
-SELECT t.query_id, t.rank, d.doc_id, length(d.text) AS content_chars
-FROM top t JOIN documents d ON d.doc_id = t.corpus_id WHERE length(d.text) > 0""", "J7 P20 P22")
-def q_candidate_content(spark, sf_dir, evidence_type: str = "retrieved"):
+_SQL_CONTENT = """SELECT t.query_id, t.rank, d.doc_id, length(d.text) AS content_chars
+FROM top t JOIN documents d ON d.doc_id = t.corpus_id WHERE length(d.text) > 0"""
+
+
+def evidence_pool(spark, sf_dir, evidence_type: str):
+    """``retrieved`` = top-5 neighbours; ``gold`` = the gold evidence
+    (smallest other id with the same label), rank 1. The downstream plan is
+    the same for either pool."""
     t = Tables(spark, sf_dir)
     emb = t.embeddings
-    if evidence_type != "retrieved":  # P22: the same downstream plan over another pool
-        raise ValueError("only the retrieved pool is bound to the supplied tables")
-    top = vector_topk(queries_from(emb), corpus_from(emb), 5, q_id="query_id", c_id="corpus_id",
-                      exclude_self=True)
-    docs = t.documents.select("doc_id", "text").filter(F.length("text") > 0)
-    h = hydrate(top, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["doc_id"])
+    if evidence_type == "retrieved":
+        return vector_topk(queries_from(emb), corpus_from(emb), 5, q_id="query_id", c_id="corpus_id",
+                           exclude_self=True).select("query_id", "corpus_id", "rank")
+    if evidence_type == "gold":
+        from ..operators.ireval import same_label_relevance
+        g = same_label_relevance(emb, id_col="vec_id", label_col="label")
+        return g.filter(F.col("min_relevant").isNotNull()).select(
+            "query_id", F.col("min_relevant").alias("corpus_id"), F.lit(1).cast("long").alias("rank"))
+    raise ValueError(f"unknown evidence type {evidence_type!r}")
+
+
+def _candidate_content(spark, sf_dir, evidence_type):
+    pool = evidence_pool(spark, sf_dir, evidence_type)
+    docs = Tables(spark, sf_dir).documents.select("doc_id", "text").filter(F.length("text") > 0)  # P20
+    h = hydrate(pool, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["doc_id"])
     return h.select("query_id", "rank", "doc_id", F.length("text").cast("long").alias("content_chars"))
 
 
+@register("candidate_content", f"""WITH {sql_scores()},
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank
+                       FROM s) WHERE rank <= 5)
+{_SQL_CONTENT}""", "J7 P20 P22")
+def q_candidate_content(spark, sf_dir):
+    return _candidate_content(spark, sf_dir, "retrieved")
+
+
+@register("gold_content", f"""WITH {SQL_GOLD},
+top AS (SELECT query_id, gold_id AS corpus_id, 1 AS rank FROM gold WHERE gold_id IS NOT NULL)
+{_SQL_CONTENT}""", "J7 P20 P22")
+def q_gold_content(spark, sf_dir):
+    return _candidate_content(spark, sf_dir, "gold")
+
+
 @register("nested_claims", """WITH r AS (SELECT conv_id, role, count(*) AS n, sum(length(text)) AS chars
                                    FROM conversations GROUP BY conv_id, role),
 m AS (SELECT conv_id, map_from_entries(list(struct_pack(k := role, v := n))) AS per_role,

@@ -68,3 +68,11 @@ def start_enrichment_stream(spark: SparkSession, claims_dir: str, out_path: str,
 
     return (stream.writeStream.foreachBatch(step).option("checkpointLocation", ckpt)
             .trigger(availableNow=True).start())
+
+
+def last_processed_index(df: DataFrame, *, index: str = "idx", caption: str = "caption") -> DataFrame:
+    """The position of the last row whose caption is set (a backward
+    scan in the reference), as one aggregate; -1 when none. Superseded by
+    the key-based anti-join above, which also fills earlier gaps."""
+    return df.agg(F.coalesce(F.max(F.when(F.col(caption).isNotNull(), F.col(index))), F.lit(-1))
+                  .alias("last_processed"))
