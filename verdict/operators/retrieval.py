@@ -19,12 +19,14 @@ def split_rank() -> Column:
 
 
 def pools_by_split(queries: DataFrame, corpus: DataFrame, pool_k: int, *,
-                   exclude_self: bool = True) -> DataFrame:
+                   exclude_self: bool = True, q_payload: dict[str, str] | None = None,
+                   c_payload: dict[str, str] | None = None) -> DataFrame:
     """First stage: top ``pool_k`` corpus rows per (query, split) by cosine.
     ``corpus`` has ``corpus_id, split, embedding``. Output
-    ``query_id, split, corpus_id, score, pool_rank``."""
+    ``query_id, split, corpus_id, score, pool_rank`` (+ payload columns)."""
     return (vector_topk(queries, corpus, pool_k, q_id="query_id", c_id="corpus_id",
-                        c_group="split", exclude_self=exclude_self)
+                        c_group="split", exclude_self=exclude_self, q_payload=q_payload,
+                        c_payload=c_payload)
             .withColumnRenamed("rank", "pool_rank"))
 
 

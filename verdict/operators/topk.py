@@ -82,10 +82,13 @@ def _select(S: np.ndarray, k: int, dedup: bool) -> tuple[np.ndarray, np.ndarray]
     return np.nonzero(mask)
 
 
-def _cell_topk(k: int, dedup: bool, exclude_self: bool, decimals: int, eps: float):
+def _cell_topk(k: int, dedup: bool, exclude_self: bool, decimals: int, eps: float,
+               out_schema: T.StructType, q_pay: list[str], c_pay: list[str]):
+    names = [f.name for f in out_schema.fields]
+
     def fn(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if len(qdf) == 0 or len(cdf) == 0:
-            return pd.DataFrame({f.name: [] for f in _OUT.fields})
+            return pd.DataFrame({n: [] for n in names})
         qids = qdf["_qid"].to_numpy(np.int64)
         Q = _stack(qdf["_qv"])
         Q = Q / _normalise(Q, eps)[:, None]
@@ -107,10 +110,12 @@ def _cell_topk(k: int, dedup: bool, exclude_self: bool, decimals: int, eps: floa
                 r, c = _select(S, k, dedup)
                 if len(r) == 0:
                     continue
-                part = pd.DataFrame({
-                    "_qid": qids[s:s + chunk][r], "_cid": cids[c], "_ord": ords[c],
-                    "score": S[r, c],
-                })
+                cols = {"_qid": qids[s:s + chunk][r], "_cid": cids[c], "_ord": ords[c], "score": S[r, c]}
+                for n in q_pay:
+                    cols[n] = qdf[n].to_numpy()[s:s + chunk][r]
+                for n in c_pay:
+                    cols[n] = sub[n].to_numpy()[c]
+                part = pd.DataFrame(cols)
                 part = part.sort_values(["_qid", "score", "_ord", "_cid"],
                                         ascending=[True, False, True, True], kind="mergesort")
                 if dedup:
@@ -119,9 +124,9 @@ def _cell_topk(k: int, dedup: bool, exclude_self: bool, decimals: int, eps: floa
                 part["_grp"] = grp
                 out.append(part)
         if not out:
-            return pd.DataFrame({f.name: [] for f in _OUT.fields})
+            return pd.DataFrame({n: [] for n in names})
         res = pd.concat(out, ignore_index=True)
-        return res[[f.name for f in _OUT.fields]]
+        return res[names]
     return fn
 
 
@@ -141,7 +146,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
                 dedup_scores: bool = False, exclude_self: bool = False,
                 decimals: int = DECIMALS, eps: float = EPS,
                 q_block_rows: int = 4096, c_block_rows: int = 16384,
-                n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
+                n_queries: int | None = None, n_corpus: int | None = None,
+                q_payload: dict[str, str] | None = None,
+                c_payload: dict[str, str] | None = None) -> DataFrame:
     """Top-k corpus rows per query (and per corpus group when ``c_group``)
     by cosine similarity.
 
@@ -149,17 +156,27 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     ``dedup_scores`` keeps only the first row (by order) of each exact
     rounded score before cutting at k. ``exclude_self`` drops pairs whose
     query id equals the corpus id (self-similarity search on one table).
+    ``q_payload`` / ``c_payload`` map query / corpus columns to output names:
+    they travel with the rows through the grid and come out with each hit,
+    so no join back to the (large) input tables is needed.
     """
     spark = queries.sparkSession
     ship_package(spark)
+    q_payload, c_payload = q_payload or {}, c_payload or {}
+    qp = {src: f"_qp{i}" for i, src in enumerate(q_payload)}
+    cp = {src: f"_cp{i}" for i, src in enumerate(c_payload)}
     q = queries.select(F.col(q_id).cast("long").alias("_qid"),
-                       F.col(q_vec).cast("array<float>").alias("_qv"))
+                       F.col(q_vec).cast("array<float>").alias("_qv"),
+                       *[F.col(src).alias(tmp) for src, tmp in qp.items()])
     c = corpus.select(
         F.col(c_id).cast("long").alias("_cid"),
         F.col(c_vec).cast("array<float>").alias("_cv"),
         (F.col(c_group).cast("string") if c_group else F.lit("")).alias("_grp"),
         (F.col(c_order).cast("long") if c_order else F.col(c_id).cast("long")).alias("_ord"),
+        *[F.col(src).alias(tmp) for src, tmp in cp.items()],
     )
+    out_schema = T.StructType(_OUT.fields + [q.schema[t] for t in qp.values()]
+                              + [c.schema[t] for t in cp.values()])
     nq = n_queries if n_queries is not None else q.count()
     nc = n_corpus if n_corpus is not None else c.count()
     par = spark.sparkContext.defaultParallelism
@@ -172,7 +189,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
 
     cells = (q_rep.groupBy("qb", "cb")
              .cogroup(c_rep.groupBy("qb", "cb"))
-             .applyInPandas(_cell_topk(k, dedup_scores, exclude_self, decimals, eps), _OUT))
+             .applyInPandas(_cell_topk(k, dedup_scores, exclude_self, decimals, eps, out_schema,
+                                       list(qp.values()), list(cp.values())), out_schema))
 
     if dedup_scores:
         wd = Window.partitionBy("_qid", "_grp", "score").orderBy("_ord", "_cid")
@@ -185,4 +203,6 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
         cols.append(F.col("_grp").alias(c_group))
     cols += [F.col("_cid").alias(c_id if c_id != q_id else f"{c_id}_hit"),
              F.col("score"), F.col("rank").cast("long").alias("rank")]
+    cols += [F.col(tmp).alias(q_payload[src]) for src, tmp in qp.items()]
+    cols += [F.col(tmp).alias(c_payload[src]) for src, tmp in cp.items()]
     return ranked.select(*cols)

@@ -67,12 +67,12 @@ def neighbours(emb: DataFrame, k: int, vec=None) -> DataFrame:
     labels: ``query_id, corpus_id, score, rank, q_label, c_label``."""
     from ..operators.topk import vector_topk
     v = vec if vec is not None else F.col("embedding")
-    e = emb.select("vec_id", v.alias("embedding"))
-    top = vector_topk(queries_from(e), corpus_from(e), k, q_id="query_id", c_id="corpus_id",
-                      exclude_self=True)
-    lab = emb.select("vec_id", "label")
-    return (top.join(lab.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
-            .join(lab.select(F.col("vec_id").alias("corpus_id"), F.col("label").alias("c_label")), "corpus_id"))
+    e = emb.select("vec_id", v.alias("embedding"), "label")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    c = e.select(F.col("vec_id").alias("corpus_id"), "embedding", "label")
+    # labels travel with the rows through the grid: no join back to emb
+    return vector_topk(q, c, k, q_id="query_id", c_id="corpus_id", exclude_self=True,
+                       q_payload={"label": "q_label"}, c_payload={"label": "c_label"})
 
 
 def sql_neighbours(k: int, vec_expr: str = "embedding", name: str = "nn") -> str:

@@ -82,12 +82,11 @@ FROM perq GROUP BY k""", "A17 W4 T4")
 def q_retrieval_prf_map(spark, sf_dir):
     t = Tables(spark, sf_dir)
     emb = t.embeddings
-    top = vector_topk(queries_from(emb), corpus_from(emb), 10, q_id="query_id", c_id="corpus_id",
-                      exclude_self=True)
-    lab = emb.select("vec_id", "label")
-    ranked = (top.join(lab.withColumnRenamed("vec_id", "query_id").withColumnRenamed("label", "ql"), "query_id")
-              .join(lab.withColumnRenamed("vec_id", "corpus_id").withColumnRenamed("label", "cl"), "corpus_id")
-              .withColumn("is_rel", F.col("ql") == F.col("cl")))
+    q = emb.select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    c = emb.select(F.col("vec_id").alias("corpus_id"), "embedding", "label")
+    top = vector_topk(q, c, 10, q_id="query_id", c_id="corpus_id", exclude_self=True,
+                      q_payload={"label": "ql"}, c_payload={"label": "cl"})
+    ranked = top.withColumn("is_rel", F.col("ql") == F.col("cl"))
     ng = same_label_relevance(emb, id_col="vec_id", label_col="label") \
         .select("query_id", F.col("n_relevant").alias("n_gold"))
     return prf_map_at_k(ranked, ng)
@@ -117,12 +116,12 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
 def _two_stage_df(spark, sf_dir):
     t = Tables(spark, sf_dir)
     emb = t.embeddings
-    corpus = emb.select(F.col("vec_id").alias("corpus_id"), split_of().alias("split"), "embedding")
-    pools = pools_by_split(queries_from(emb), corpus, 25)
-    qv = emb.select(F.col("vec_id").alias("query_id"), dims("embedding", 1, 16).alias("qv"))
-    cv = emb.select(F.col("vec_id").alias("corpus_id"), dims("embedding", 1, 16).alias("cv"))
-    rs = pools.join(qv, "query_id").join(cv, "corpus_id") \
-        .withColumn("score2", rounded(dot("qv", "cv"))).drop("qv", "cv")
+    e = emb.select("vec_id", "embedding", dims("embedding", 1, 16).alias("h16"))
+    corpus = e.select(F.col("vec_id").alias("corpus_id"), split_of().alias("split"), "embedding", "h16")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding", "h16")
+    # the re-scorer's 16 dims travel with the pool rows (no join back)
+    pools = pools_by_split(q, corpus, 25, q_payload={"h16": "qv"}, c_payload={"h16": "cv"})
+    rs = pools.withColumn("score2", rounded(dot("qv", "cv"))).drop("qv", "cv")
     return two_stage(rs, "score2", 5)
 
 
