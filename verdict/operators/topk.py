@@ -158,7 +158,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     query id equals the corpus id (self-similarity search on one table).
     ``q_payload`` / ``c_payload`` map query / corpus columns to output names:
     they travel with the rows through the grid and come out with each hit,
-    so no join back to the (large) input tables is needed.
+    so no join back to the (large) input tables is needed. Meant for small
+    scalars (labels): candidates leave a cell once per corpus block, so
+    vectors are cheaper to join back after the global cut.
     """
     spark = queries.sparkSession
     ship_package(spark)

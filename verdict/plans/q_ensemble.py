@@ -132,7 +132,9 @@ def q_pair_classifier(spark, sf_dir):
     q = e.select(F.col("vec_id").alias("query_id"), "embedding", "label")
     c = e.select(F.col("vec_id").alias("corpus_id"), "embedding")
     nn = vector_topk(q, c, 1, q_id="query_id", c_id="corpus_id", exclude_self=True,
-                     q_payload={"embedding": "qv", "label": "q_label"}, c_payload={"embedding": "cv"})
-    pairs = nn.withColumn("y", (F.col("q_label") % 3).cast("double"))
+                     q_payload={"label": "q_label"})
+    pairs = (nn.withColumn("y", (F.col("q_label") % 3).cast("double"))
+             .join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), "query_id")
+             .join(e.select(F.col("vec_id").alias("corpus_id"), F.col("embedding").alias("cv")), "corpus_id"))
     out = train_and_predict(pairs, claim_vec="qv", evidence_vec="cv", label="y")
     return out.select("query_id", "corpus_id", "y", F.col("prediction").cast("int").alias("prediction"))

@@ -116,12 +116,13 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
 def _two_stage_df(spark, sf_dir):
     t = Tables(spark, sf_dir)
     emb = t.embeddings
-    e = emb.select("vec_id", "embedding", dims("embedding", 1, 16).alias("h16"))
-    corpus = e.select(F.col("vec_id").alias("corpus_id"), split_of().alias("split"), "embedding", "h16")
-    q = e.select(F.col("vec_id").alias("query_id"), "embedding", "h16")
-    # the re-scorer's 16 dims travel with the pool rows (no join back)
-    pools = pools_by_split(q, corpus, 25, q_payload={"h16": "qv"}, c_payload={"h16": "cv"})
-    rs = pools.withColumn("score2", rounded(dot("qv", "cv"))).drop("qv", "cv")
+    corpus = emb.select(F.col("vec_id").alias("corpus_id"), split_of().alias("split"), "embedding")
+    pools = pools_by_split(queries_from(emb), corpus, 25)
+    # the re-scorer's 16 dims are joined to the pool rows after the cut
+    qv = emb.select(F.col("vec_id").alias("query_id"), dims("embedding", 1, 16).alias("qv"))
+    cv = emb.select(F.col("vec_id").alias("corpus_id"), dims("embedding", 1, 16).alias("cv"))
+    rs = pools.join(qv, "query_id").join(cv, "corpus_id") \
+        .withColumn("score2", rounded(dot("qv", "cv"))).drop("qv", "cv")
     return two_stage(rs, "score2", 5)
 
 

@@ -36,26 +36,30 @@ def path_label(qv: str, cv: str, i: int) -> Column:
 
 def verify_claims(embeddings: DataFrame, documents: DataFrame, images: DataFrame, *,
                   k_text: int = 3, k_image: int = 2) -> DataFrame:
-    # the first 16 dims feed the re-scorer and the path logits; they travel
-    # with the rows through both retrieval grids (no join back to the table)
-    emb = embeddings.select("vec_id", "embedding", dims("embedding", 1, 16).alias("h16"))
-    text = emb.select("vec_id", dims("embedding", 1, 32).alias("embedding"), "h16")
-    image = emb.select("vec_id", dims("embedding", 33, 32).alias("embedding"), "h16")
-    pay = dict(q_payload={"h16": "q16"}, c_payload={"h16": "c16"})
+    # vector slices are joined back to the (k per claim) hits after the
+    # global top-k; carrying them through the grid would multiply them by the
+    # number of corpus blocks before the cut (measured slower)
+    emb = embeddings.select("vec_id", "embedding")
+    text = emb.select("vec_id", dims("embedding", 1, 32).alias("embedding"))
+    image = emb.select("vec_id", dims("embedding", 33, 32).alias("embedding"))
+    h16 = emb.select("vec_id", dims("embedding", 1, 16).alias("h16"))
+    q16 = h16.select(F.col("vec_id").alias("query_id"), F.col("h16").alias("q16"))
+    c16 = h16.select(F.col("vec_id").alias("corpus_id"), F.col("h16").alias("c16"))
 
     # text side: pools of 5k per split, re-scored on dims 1-16, de-duplicated
-    tq = text.select(F.col("vec_id").alias("query_id"), "embedding", "h16")
-    tc = text.select(F.col("vec_id").alias("corpus_id"), split_of().alias("split"), "embedding", "h16")
-    pools = pools_by_split(tq, tc, 5 * k_text, **pay)
-    rs = pools.withColumn("score2", rounded(dot("q16", "c16")))
-    t_hits = two_stage(rs, "score2", k_text).select("query_id", "corpus_id", "rank", "q16", "c16",
+    tq = text.select(F.col("vec_id").alias("query_id"), "embedding")
+    tc = text.select(F.col("vec_id").alias("corpus_id"), split_of().alias("split"), "embedding")
+    pools = pools_by_split(tq, tc, 5 * k_text)
+    rs = pools.join(q16, "query_id").join(c16, "corpus_id") \
+        .withColumn("score2", rounded(dot("q16", "c16"))).drop("q16", "c16")
+    t_hits = two_stage(rs, "score2", k_text).select("query_id", "corpus_id", "rank",
                                                     F.lit(0).alias("modality"))
     # image side: one stage with score de-duplication
-    iq = image.select(F.col("vec_id").alias("query_id"), "embedding", "h16")
-    ic = image.select(F.col("vec_id").alias("corpus_id"), "embedding", "h16")
+    iq = image.select(F.col("vec_id").alias("query_id"), "embedding")
+    ic = image.select(F.col("vec_id").alias("corpus_id"), "embedding")
     i_hits = vector_topk(iq, ic, k_image, q_id="query_id", c_id="corpus_id", exclude_self=True,
-                         dedup_scores=True, **pay).select("query_id", "corpus_id", "rank", "q16", "c16",
-                                                          F.lit(1).alias("modality"))
+                         dedup_scores=True).select("query_id", "corpus_id", "rank",
+                                                   F.lit(1).alias("modality"))
     hits = t_hits.unionByName(i_hits)
     docs = documents.select("doc_id")
     ev = hydrate(hits, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["doc_id"])
@@ -63,6 +67,7 @@ def verify_claims(embeddings: DataFrame, documents: DataFrame, images: DataFrame
     ev = ev.withColumn("pos", F.row_number().over(w))
 
     img = images.select(F.col("doc_id").alias("_img")).distinct()
+    ev = ev.join(q16, "query_id").join(c16, "corpus_id")
     ev = (ev.join(img.select(F.col("_img").alias("query_id"), F.lit(True).alias("q_img")), "query_id", "left")
           .join(img.select(F.col("_img").alias("corpus_id"), F.lit(True).alias("c_img")), "corpus_id", "left"))
     q_img, c_img = F.coalesce("q_img", F.lit(False)), F.coalesce("c_img", F.lit(False))
