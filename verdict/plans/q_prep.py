@@ -16,6 +16,7 @@ from ..operators.retrieval import first_per_key, hydrate
 from ..operators.topk import vector_topk
 from ..schemas import CATEGORIES, CATEGORY_PATH_LABELS, PATHS, SIMPLE_CLASSES, SIMPLIFIED
 from .bindings import SQL_GOLD, corpus_from, queries_from, sql_scores
+from ..session import spread
 from .registry import Tables, register
 
 _CATS6 = CATEGORIES + ["Other"]
@@ -303,7 +304,7 @@ def q_evidence_corpus(spark, sf_dir):
 @register("batch_score", """SELECT doc_id, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f]+'))::BIGINT AS n_tokens
 FROM documents""", "X2")
 def q_batch_score(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
     return prep.batch_score(d, token_count_scorer, "doc_id long, n_tokens long")
 
 

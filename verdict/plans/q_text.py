@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import langid
 from ..operators.lexical import lexical_topk
+from ..session import spread
 from .registry import Tables, register
 
 _TOK = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
@@ -20,7 +21,8 @@ SELECT item_id, doc_id, score, rank FROM (
 WHERE rank <= 5""", "R4")
 def q_lexical_pair_score(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return lexical_topk(t.benchmark, t.documents, 5, claim_id="item_id", claim_text="text",
+    docs = spread(t.documents.select("doc_id", "text"))
+    return lexical_topk(t.benchmark, docs, 5, claim_id="item_id", claim_text="text",
                         doc_id="doc_id", doc_text="text")
 
 
@@ -42,7 +44,7 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER B
 SELECT d.doc_id, coalesce(b.lang, 'unknown') AS lang_pred, round(b.score / b.n_doc, 6) AS score
 FROM documents d LEFT JOIN best b USING (doc_id)""", "R5 A1")
 def q_detect_language(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text", "lang"))
     # training and scoring read the same texts: count their trigrams once
     tc = langid.trigram_counts(d, "doc_id", "text", ["lang"])
     model, totals = langid.train(d, id_col="doc_id", text_col="text", lang_col="lang", counts=tc)

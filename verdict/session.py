@@ -85,3 +85,16 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, base))
     sc.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over the cluster before expensive per-row expansion
+    (text tokenisation, n-grams, Python batches) when the input has fewer
+    partitions than the default parallelism. That happens with a few large
+    files or single-row-group parquet, where one task would do all the work.
+    Inputs that already have many partitions (the large-scale case) are
+    left alone, so no extra shuffle is added there."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
