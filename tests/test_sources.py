@@ -83,3 +83,21 @@ def test_last_processed_index(spark):
     df = spark.createDataFrame([(0, "a"), (1, None), (2, "b"), (3, None)], "idx long, caption string")
     assert last_processed_index(df).first()[0] == 2
     assert last_processed_index(df.filter("caption IS NULL")).first()[0] == -1
+
+
+def test_claims_truth_and_judged(spark, scratch):
+    p = os.path.join(scratch, "corpus2.csv")
+    with open(p, "w") as f:
+        f.write('claim_id,Claim,cleaned_truthfulness\n1,"  first ",supported\n2,b,refuted\n1,"second\nline ",NEI\n')
+    c = readers.read_claims_truth(spark, p).coalesce(1)
+    judged = spark.createDataFrame([(1,), (3,)], "claim_id long")
+    rows = readers.judged_claims(c, judged).collect()
+    assert len(rows) == 1 and rows[0].Claim == "second\nline" and rows[0].cleaned_truthfulness == "NEI"
+
+
+def test_samples_scan(spark, scratch):
+    p = os.path.join(scratch, "samples")
+    spark.createDataFrame([(0, "c", "d", None, None, [0, 1, 1, 1])],
+                          readers.SAMPLES).write.parquet(p)
+    df = readers.read_samples(spark, p, ["idx", "labels"])
+    assert df.columns == ["idx", "labels"] and df.first().labels == [0, 1, 1, 1]

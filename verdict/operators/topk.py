@@ -17,9 +17,10 @@ and no single hot key exists (blocks are assigned by a hash of the id). When
 the query side fits in one block, ``QB = 1`` and its replication over ``CB``
 cells is the equivalent of a size-checked broadcast.
 
-Ranking is on the score rounded half away from zero to ``decimals`` places,
-ties broken by an order column (default: the corpus id), which keeps the
-result identical to the SQL formulation.
+Ranking (T1: score descending, always with a key tie-break) is on the score
+rounded half away from zero to ``decimals`` places, ties broken by an order
+column (default: the corpus id), which keeps the result identical to the
+SQL formulation.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ def read_claims_tsv(spark: SparkSession, path: str, schema: T.StructType = RAW_C
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
                schema: T.StructType | None = None, columns: list[str] | None = None) -> DataFrame:
-    """A preprocessed table; ``columns`` is pushed into the scan."""
+    """A preprocessed table; ``columns`` is pushed into the scan
+    (P2 column pruning: only those columns are read)."""
     r = spark.read.format(fmt)
     if schema is not None:
         r = r.schema(schema)
@@ -90,3 +91,46 @@ def read_model_probs(spark: SparkSession, paths: list[str], n_classes: int = 5)
         df = df.select("id", F.array(*[f"p{c}" for c in range(n_classes)]).alias(f"m{i}"))
         out = df if out is None else out.join(df, "id")
     return out
+
+
+SAMPLES = T.StructType([
+    T.StructField("idx", T.LongType(), False),
+    T.StructField("claim", T.StringType(), True),
+    T.StructField("document", T.StringType(), True),
+    T.StructField("claim_image", T.StringType(), True),
+    T.StructField("document_image", T.StringType(), True),
+    T.StructField("labels", T.ArrayType(T.IntegerType()), True),
+])
+
+
+def read_samples(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The training-sample store (one row per sample, ``labels`` has 4
+    path labels). Batching is the task's partitioning; ``columns`` prunes
+    the scan (P2)."""
+    df = spark.read.schema(SAMPLES).parquet(path)
+    return df.select(*columns) if columns else df
+
+
+CLAIMS_TRUTH = T.StructType([
+    T.StructField("claim_id", T.LongType(), False),
+    T.StructField("Claim", T.StringType(), True),
+    T.StructField("cleaned_truthfulness", T.StringType(), True),
+])
+
+
+def read_claims_truth(spark: SparkSession, path: str) -> DataFrame:
+    """Claims with their truthfulness label (CSV with header, quoted
+    multi-line fields). ``_pos`` keeps the file order for "last row wins"."""
+    df = (spark.read.schema(CLAIMS_TRUTH).option("header", True).option("multiLine", True)
+          .option("escape", '"').csv(path))
+    return df.withColumn("_pos", F.monotonically_increasing_id())
+
+
+def judged_claims(claims: DataFrame, judged: DataFrame, *, q_id: str = "claim_id") -> DataFrame:
+    """Claims restricted to the judged ids (left semi join); for a
+    repeated id the last row in file order wins (``max_by`` on ``_pos``, a
+    partial aggregate); the claim text is stripped."""
+    c = claims.join(judged.select(F.col(q_id)).distinct(), q_id, "left_semi")
+    others = [x for x in c.columns if x not in (q_id, "_pos")]
+    last = c.groupBy(q_id).agg(F.max_by(F.struct(*others), F.col("_pos")).alias("_r")).select(q_id, "_r.*")
+    return last.withColumn("Claim", F.regexp_replace("Claim", r"^\s+|\s+$", ""))

@@ -19,7 +19,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def append_history(metrics: DataFrame, path: str) -> None:
-    """K2/U4: one row per run, stamped; appended, never rewritten."""
+    """K2/U4: one row per run, stamped with the wall clock (F15, not part of
+    any compared result); appended, never rewritten."""
     metrics.withColumn("run_ts", F.current_timestamp()).write.mode("append").parquet(path)
 
 
