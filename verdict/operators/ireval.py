@@ -102,5 +102,5 @@ def answer_format_rate(answers: DataFrame, text_col: str) -> DataFrame:
     t = F.lower(F.col(text_col))
     cls = F.when(t == "yes", "yes").when(t == "no", "no").otherwise("H")
     c = answers.select(cls.alias("answer")).groupBy("answer").agg(F.count("*").alias("n"))
-    w = Window.partitionBy()  # three rows at most
-    return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(w), 6))
+    total = answers.select(F.count("*")).scalar()
+    return c.withColumn("share", F.round(F.col("n") / total, 6))

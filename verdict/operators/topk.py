@@ -100,7 +100,7 @@ def _cell_topk(k: int, dedup: bool, exclude_self: bool, decimals: int, eps: floa
             C = _stack(sub["_cv"])
             C = C / _normalise(C, eps)[:, None]
             self_pos = pd.Index(cids).get_indexer(qids) if exclude_self else None
-            chunk = max(1, 4_000_000 // max(len(cids), 1))
+            chunk = max(1, 8_000_000 // max(len(cids), 1))
             for s in range(0, len(qids), chunk):
                 S = Q[s:s + chunk] @ C.T
                 S = round_half_away(S, decimals)
@@ -131,14 +131,23 @@ def _cell_topk(k: int, dedup: bool, exclude_self: bool, decimals: int, eps: floa
     return fn
 
 
-def block_counts(nq: int, nc: int, parallelism: int, q_block_rows: int,
-                 c_block_rows: int) -> tuple[int, int]:
-    qb = max(1, math.ceil(nq / q_block_rows))
-    cb = max(1, math.ceil(nc / c_block_rows))
-    if qb == 1:
-        # the query block is replicated once per corpus block: use the cores
-        cb = max(cb, min(parallelism, max(1, nc // 256)))
-    return qb, cb
+def block_counts(nq: int, nc: int, parallelism: int, q_max_rows: int, c_max_rows: int,
+                 cells_per_core: int = 2) -> tuple[int, int]:
+    """Grid shape (QB, CB). Each block must fit its memory budget
+    (``*_max_rows``); the grid has at least ``cells_per_core`` cells per
+    core; among grids with that many cells the one with the least shuffle
+    volume ``nq * CB + nc * QB`` is taken (QB / CB proportional to
+    sqrt(nq / nc)). Replication therefore grows like sqrt(cells), not like
+    rows / block size, and a small side ends up in a single block, which is
+    the size-checked equivalent of a broadcast."""
+    qb = max(1, math.ceil(nq / max(q_max_rows, 1)))
+    cb = max(1, math.ceil(nc / max(c_max_rows, 1)))
+    if nq <= 0 or nc <= 0:
+        return qb, cb
+    target = max(qb * cb, cells_per_core * parallelism)
+    qb = min(max(qb, round(math.sqrt(target * nq / nc))), nq)
+    cb = min(max(cb, math.ceil(target / qb)), nc)
+    return max(qb, 1), max(cb, 1)
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
@@ -146,7 +155,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
                 c_group: str | None = None, c_order: str | None = None,
                 dedup_scores: bool = False, exclude_self: bool = False,
                 decimals: int = DECIMALS, eps: float = EPS,
-                q_block_rows: int = 4096, c_block_rows: int = 16384,
+                block_bytes: int = 64 << 20,
+                q_block_rows: int | None = None, c_block_rows: int | None = None,
                 n_queries: int | None = None, n_corpus: int | None = None,
                 q_payload: dict[str, str] | None = None,
                 c_payload: dict[str, str] | None = None) -> DataFrame:
@@ -180,10 +190,16 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     )
     out_schema = T.StructType(_OUT.fields + [q.schema[t] for t in qp.values()]
                               + [c.schema[t] for t in cp.values()])
-    nq = n_queries if n_queries is not None else q.count()
-    nc = n_corpus if n_corpus is not None else c.count()
+    # sizes and vector width in one cheap aggregate per side; a block holds
+    # at most ``block_bytes`` of vectors unless the row limits are given
+    qs = q.agg(F.count("*").alias("n"), F.max(F.size("_qv")).alias("d")).first()
+    cs = c.agg(F.count("*").alias("n"), F.max(F.size("_cv")).alias("d")).first()
+    nq = n_queries if n_queries is not None else qs["n"]
+    nc = n_corpus if n_corpus is not None else cs["n"]
+    dim = max(qs["d"] or 1, cs["d"] or 1, 1)
+    rows_budget = max(1, block_bytes // (8 * dim))
     par = spark.sparkContext.defaultParallelism
-    QB, CB = block_counts(nq, nc, par, q_block_rows, c_block_rows)
+    QB, CB = block_counts(nq, nc, par, q_block_rows or rows_budget, c_block_rows or rows_budget)
 
     q_rep = (q.withColumn("qb", F.pmod(F.xxhash64("_qid"), F.lit(QB)).cast("int"))
              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(CB - 1)))))
