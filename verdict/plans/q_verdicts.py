@@ -14,6 +14,7 @@ from ..functions.labels import fold_paths, verdict_of_code
 from ..functions.vectors import dims
 from ..operators.votes import claim_verdict, majority_vote, two_level_verdict
 from .bindings import neighbours, sql_neighbours, sql_scores
+from ..session import cut_lineage
 from .registry import Tables, register
 
 _SQL_VERDICT3 = "CASE {x} WHEN 0 THEN 'support' WHEN 1 THEN 'not_enough_information' ELSE 'refute' END"
@@ -114,7 +115,9 @@ UNION ALL
 SELECT query_id, final_label, 2 AS level FROM v2""", "A7 R7 U3 P19")
 def q_two_level_verdict(spark, sf_dir):
     e = Tables(spark, sf_dir).embeddings
-    nn = neighbours(e, 5)
+    # both levels vote over the same evidence: materialise the (k per claim)
+    # neighbour table once instead of running the all-pairs search twice
+    nn = cut_lineage(neighbours(e, 5).select("query_id", "c_label", "score"))
     l1 = nn.select("query_id", F.when(F.col("c_label") % 3 == 1, "NEI").otherwise("yes").alias("label"), "score")
     l2 = nn.select("query_id", F.when(F.col("c_label") % 2 == 0, "supported")
                    .otherwise("refuted").alias("label"), "score")
