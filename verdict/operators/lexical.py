@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import distinct_tokens
-from ..session import ship_package
+from ..session import ship_package, spread
 from .topk import block_counts, round_half_away
 
 _OUT = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("_did", T.LongType()),
@@ -84,12 +84,19 @@ def _cell(k: int, decimals: int, budget: int = 4_000_000):
 
 
 def lexical_topk(claims: DataFrame, docs: DataFrame, k: int, *, claim_id: str, claim_text: str,
-                 doc_id: str, doc_text: str, decimals: int = 6, q_block_rows: int = 512,
-                 d_block_rows: int = 4096) -> DataFrame:
-    """Top-k documents per claim: ``claim_id, doc_id, score, rank``."""
+                 doc_id: str, doc_text: str, decimals: int = 6, q_block_rows: int | None = None,
+                 d_block_rows: int | None = None, block_tokens: int = 4_000_000,
+                 claim_block_tokens: int = 50_000) -> DataFrame:
+    """Top-k documents per claim: ``claim_id, doc_id, score, rank``.
+
+    Block sizes follow from token budgets: a document block holds at most
+    about ``block_tokens`` (document, token) entries and a claim block a
+    vocabulary of about ``claim_block_tokens`` (it sets the width of the
+    in-cell matrices), estimated from the average text length per row."""
     spark = claims.sparkSession
     ship_package(spark)
-    dt = docs.select(F.col(doc_id).cast("long").alias("_did"), distinct_tokens(F.col(doc_text)).alias("_tok"))
+    dt = spread(docs.select(doc_id, doc_text)).select(
+        F.col(doc_id).cast("long").alias("_did"), distinct_tokens(F.col(doc_text)).alias("_tok"))
     n_docs = docs.select(F.count("*").cast("double")).scalar()
     idf = (dt.select(F.explode("_tok").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
            .select("t", F.log(n_docs / F.col("df")).alias("idf")))
@@ -97,10 +104,16 @@ def lexical_topk(claims: DataFrame, docs: DataFrame, k: int, *, claim_id: str, c
                        F.explode(distinct_tokens(F.col(claim_text))).alias("t"))
     cw = (ct.join(idf, "t").groupBy("_qid")
           .agg(F.collect_list("t").alias("_tok"), F.collect_list("idf").alias("_idf")))
-    # grid sizing needs only row counts of the inputs (cheap scans), not a
-    # pass over the tokenised texts
-    nq, nd = claims.count(), docs.count()
-    QB, CB = block_counts(nq, nd, spark.sparkContext.defaultParallelism, q_block_rows, d_block_rows)
+    # grid sizing: row counts and average text length per row (one cheap
+    # aggregate per side, no tokenising pass); a token is taken as >= 6
+    # characters on average, which over-estimates tokens, so blocks err small
+    qs = claims.agg(F.count("*").alias("n"), F.avg(F.length(claim_text)).alias("c")).first()
+    ds = docs.agg(F.count("*").alias("n"), F.avg(F.length(doc_text)).alias("c")).first()
+    nq, nd = qs["n"], ds["n"]
+    q_tok, d_tok = max((qs["c"] or 6.0) / 6.0, 1.0), max((ds["c"] or 6.0) / 6.0, 1.0)
+    q_rows = q_block_rows or max(1, int(claim_block_tokens // q_tok))
+    d_rows = d_block_rows or max(1, int(block_tokens // d_tok))
+    QB, CB = block_counts(nq, nd, spark.sparkContext.defaultParallelism, q_rows, d_rows)
     q_rep = (cw.withColumn("qb", F.pmod(F.xxhash64("_qid"), F.lit(QB)).cast("int"))
              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(CB - 1)))))
     d_rep = (dt.withColumn("cb", F.pmod(F.xxhash64("_did"), F.lit(CB)).cast("int"))
