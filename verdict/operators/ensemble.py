@@ -2,11 +2,12 @@
 
 Grid search plan: the grid (11^3 weights x 5^3 powers = 166,375 settings by
 default) is a constant derived from the parameter lists, so its size is
-known up front. Rows are spread over tasks; each task scores every setting
-for its rows with numpy (powers precomputed once per row) and emits only
-per-setting partial counts (true positives and predictions per class).
-The shuffle therefore carries at most settings x tasks small rows, whatever
-the number of input rows; the final per-setting sum, weighted F1 and
+known up front. Rows are spread over at most ``max_tasks`` tasks; each task
+scores every setting for its rows with numpy (powers precomputed once per
+row) and emits only per-setting partial counts (true positives and
+predictions per class). The shuffle therefore carries at most
+settings x max_tasks small rows, whatever the number of input rows or
+cores; the final per-setting sum, weighted F1 and
 ``min_by`` pick of the best setting are Spark aggregates.
 """
 
@@ -106,14 +107,16 @@ def _partial_counts(n_classes: int, weights, powers):
 
 
 def grid_search(rows: DataFrame, *, n_classes: int = 5, weights=ENSEMBLE_WEIGHTS,
-                powers=ENSEMBLE_POWERS, tasks: int | None = None) -> DataFrame:
+                powers=ENSEMBLE_POWERS, tasks: int | None = None, max_tasks: int = 256) -> DataFrame:
     """A26. ``rows`` has ``y`` (true class code) and ``m1, m2, m3``
     (probability arrays). Returns one row: the best weighted F1 (rounded to
     5; strict improvement, so the first setting in loop order wins a tie;
     all zeros when no setting beats 0) and its setting."""
     spark = rows.sparkSession
     ship_package(spark)
-    tasks = tasks or spark.sparkContext.defaultParallelism
+    # each task emits one partial-count row per setting, so the shuffle is
+    # tasks x settings rows: the task count follows the cores but is capped
+    tasks = tasks or min(spark.sparkContext.defaultParallelism, max_tasks)
     fn, schema = _partial_counts(n_classes, weights, powers)
     parts = rows.select("y", "m1", "m2", "m3").repartition(tasks).mapInPandas(fn, schema)
     sums = parts.groupBy("sid").agg(*[F.sum(c).alias(c) for c in schema.fieldNames()[1:]])
