@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import after_marker, has_marker, parse_answer_label, strip_ws
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 
 # ---------------------------------------------------------------------------
 # Prompt templates, with {question}, {claim}, {evidence} slots.
@@ -102,6 +102,10 @@ def dense_index(df: DataFrame, order_col: str, out: str = "idx") -> DataFrame:
     s = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
          .withColumn("_pid", F.spark_partition_id())
          .withColumn("_mid", F.monotonically_increasing_id()))
+    # the tagged rows are read twice (counts, then offsets): materialise them
+    # once in the shared checkpoint folder, so a recomputation after a lost
+    # executor cannot reorder equal keys between the two reads
+    s = cut_lineage(s)
     counts = s.groupBy("_pid").agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
     from pyspark.sql import Window
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
