@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams
+from ..session import cut_lineage
 
 
 def n_trigrams(text_col: str):
@@ -38,6 +39,10 @@ def train(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str,
     ``counts`` (``id, lang, tri, n``) reuses trigram counts already made."""
     tc = counts if counts is not None else trigram_counts(labelled, id_col, text_col, [lang_col])
     model = tc.groupBy("tri", F.col(lang_col).alias("lang")).agg(F.sum("n").alias("c"))
+    # the model (one row per trigram and language, bounded by the trigram
+    # vocabulary) feeds the vocabulary size and the scoring join: materialise
+    # it once in the shared checkpoint folder
+    model = cut_lineage(model)
     vocab = model.select(F.countDistinct("tri").cast("double")).scalar()
     totals = (labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.sum(n_trigrams(text_col)).alias("N"))
               .select("lang", F.log(F.col("N").cast("double") + vocab).alias("log_den")))
