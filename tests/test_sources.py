@@ -101,3 +101,20 @@ def test_samples_scan(spark, scratch):
                           readers.SAMPLES).write.parquet(p)
     df = readers.read_samples(spark, p, ["idx", "labels"])
     assert df.columns == ["idx", "labels"] and df.first().labels == [0, 1, 1, 1]
+
+
+def test_stats_json_and_binary_claims_and_positives(spark, scratch):
+    from verdict.operators.ireval import qrels_summary, queries_with_positives
+    from verdict.operators.votes import binary_claims
+    st = spark.createDataFrame([("ALL", 3, 2)], "category string, total_claim long, successful_claim long")
+    out = os.path.join(scratch, "stats")
+    sinks.write_stats_json(st, out)
+    assert spark.read.json(out).first().total_claim == 3
+    c = spark.createDataFrame([(1, "supported"), (2, "NEI"), (3, None)], "claim_id long, v_label string")
+    assert [r.claim_id for r in binary_claims(c).collect()] == [1]
+    q = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, query string")
+    qr = spark.createDataFrame([(1, "x", 1), (1, "y", 1), (1, "z", 0), (2, "w", 0)],
+                               "query_id long, doc string, RELEVANCY int")
+    pos = qrels_summary(qr, q_id="query_id", doc_id="doc", level="RELEVANCY")
+    got = [(r.query_id, r.n_relevant, r.min_relevant) for r in queries_with_positives(q, pos).collect()]
+    assert got == [(1, 2, "x")]

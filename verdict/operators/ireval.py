@@ -104,3 +104,10 @@ def answer_format_rate(answers: DataFrame, text_col: str) -> DataFrame:
     c = answers.select(cls.alias("answer")).groupBy("answer").agg(F.count("*").alias("n"))
     total = answers.select(F.count("*")).scalar()
     return c.withColumn("share", F.round(F.col("n") / total, 6))
+
+
+def queries_with_positives(queries: DataFrame, positives: DataFrame, *, q_id: str = "query_id") -> DataFrame:
+    """Each judged query's text with its positive-set summary (inner
+    join on the query id; queries without positives are dropped, as in the
+    reference's dictionary lookup)."""
+    return queries.join(positives, q_id, "inner")

@@ -56,3 +56,9 @@ def two_level_verdict(level1: DataFrame, level2: DataFrame, *, claim: str, label
     v2 = majority_vote(l2, claim=claim, label=label, score=score) \
         .select(claim, "final_label", F.lit(2).alias("level"))
     return nei.unionByName(v2)
+
+
+def binary_claims(claims: DataFrame, *, label: str = "v_label", nei_label: str = "NEI") -> DataFrame:
+    """Binary verification keeps only claims whose gold label is not
+    NEI (a null label is kept out as well)."""
+    return claims.filter(F.col(label).isNotNull() & (F.col(label) != nei_label))
