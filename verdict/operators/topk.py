@@ -132,21 +132,29 @@ def _cell_topk(k: int, dedup: bool, exclude_self: bool, decimals: int, eps: floa
 
 
 def block_counts(nq: int, nc: int, parallelism: int, q_max_rows: int, c_max_rows: int,
-                 cells_per_core: int = 2) -> tuple[int, int]:
+                 cells_per_core: int = 2, k: int = 1) -> tuple[int, int]:
     """Grid shape (QB, CB). Each block must fit its memory budget
     (``*_max_rows``); the grid has at least ``cells_per_core`` cells per
     core; among grids with that many cells the one with the least shuffle
     volume ``nq * CB + nc * QB`` is taken (QB / CB proportional to
     sqrt(nq / nc)). Replication therefore grows like sqrt(cells), not like
     rows / block size, and a small side ends up in a single block, which is
-    the size-checked equivalent of a broadcast."""
+    the size-checked equivalent of a broadcast. A corpus block keeps at least
+    ``4 k`` rows (unless memory forces smaller ones): each cell emits up to k
+    candidates per query, so thinner blocks would not reduce anything; more
+    query blocks make up the cell count instead."""
     qb = max(1, math.ceil(nq / max(q_max_rows, 1)))
     cb = max(1, math.ceil(nc / max(c_max_rows, 1)))
     if nq <= 0 or nc <= 0:
         return qb, cb
+    cb_mem = cb
     target = max(qb * cb, cells_per_core * parallelism)
     qb = min(max(qb, round(math.sqrt(target * nq / nc))), nq)
     cb = min(max(cb, math.ceil(target / qb)), nc)
+    cb_k = max(cb_mem, nc // max(4 * k, 1), 1)
+    if cb > cb_k:
+        cb = cb_k
+        qb = min(max(qb, math.ceil(target / cb)), nq)
     return max(qb, 1), max(cb, 1)
 
 
@@ -199,7 +207,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     dim = max(qs["d"] or 1, cs["d"] or 1, 1)
     rows_budget = max(1, block_bytes // (8 * dim))
     par = spark.sparkContext.defaultParallelism
-    QB, CB = block_counts(nq, nc, par, q_block_rows or rows_budget, c_block_rows or rows_budget)
+    QB, CB = block_counts(nq, nc, par, q_block_rows or rows_budget, c_block_rows or rows_budget, k=k)
 
     q_rep = (q.withColumn("qb", F.pmod(F.xxhash64("_qid"), F.lit(QB)).cast("int"))
              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(CB - 1)))))
