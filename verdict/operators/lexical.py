@@ -16,7 +16,6 @@ scores and only the top-k per claim leave the cell.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import after_marker, has_marker, parse_answer_label, strip_ws
+from ..functions.labels import after_marker, has_marker, parse_answer_label
 from ..session import cut_lineage, ship_package
 
 # ---------------------------------------------------------------------------

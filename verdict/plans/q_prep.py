@@ -12,7 +12,7 @@ from ..functions.scorers import token_count_scorer
 from ..functions.labels import (category_code, collapse_labels, expand_category, labels_key,
                                 parse_answer_label, simple_code, simplify, strip_ws)
 from ..operators import prep
-from ..operators.retrieval import first_per_key, hydrate
+from ..operators.retrieval import hydrate
 from ..operators.topk import vector_topk
 from ..schemas import CATEGORIES, CATEGORY_PATH_LABELS, PATHS, SIMPLE_CLASSES, SIMPLIFIED
 from .bindings import SQL_GOLD, corpus_from, queries_from, sql_scores
