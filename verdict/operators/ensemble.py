@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ENSEMBLE_POWERS, ENSEMBLE_WEIGHTS
-from ..session import ship_package
+from ..session import cut_lineage, ship_package
 
 SCORE_DECIMALS = 9
 F1_DECIMALS = 5
@@ -68,12 +68,14 @@ def _partial_counts(n_classes: int, weights, powers):
     def fn(it):
         tp = np.zeros((n_set, n_classes), dtype=np.int64)
         npred = np.zeros((n_set, n_classes), dtype=np.int64)
+        support = np.zeros(n_classes, dtype=np.int64)
         seen = False
         for pdf in it:
             if len(pdf) == 0:
                 continue
             seen = True
             y = pdf["y"].to_numpy(np.int64)
+            support += np.bincount(y, minlength=n_classes)[:n_classes]
             P = [np.stack(pdf[m].to_numpy()).astype(np.float64) for m in ("m1", "m2", "m3")]
             # powers once per row, class-major: PP[model][power][class] -> (rows,)
             PP = [[np.ascontiguousarray(np.power(p, e).T) for e in pw] for p in P]
@@ -100,7 +102,10 @@ def _partial_counts(n_classes: int, weights, powers):
             return
         out = pd.DataFrame(np.hstack([tp, npred]), columns=cols)
         out.insert(0, "sid", np.arange(n_set, dtype=np.int64))
-        yield out
+        # one extra row (sid = -1): this task's class supports in the tp
+        # columns, so supports come out of the same aggregate
+        sup = pd.DataFrame([[-1] + support.tolist() + [0] * n_classes], columns=["sid"] + cols)
+        yield pd.concat([out, sup], ignore_index=True)
     schema = T.StructType([T.StructField("sid", T.LongType())]
                           + [T.StructField(c, T.LongType()) for c in cols])
     return fn, schema
@@ -120,13 +125,14 @@ def grid_search(rows: DataFrame, *, n_classes: int = 5, weights=ENSEMBLE_WEIGHTS
     fn, schema = _partial_counts(n_classes, weights, powers)
     parts = rows.select("y", "m1", "m2", "m3").repartition(tasks).mapInPandas(fn, schema)
     sums = parts.groupBy("sid").agg(*[F.sum(c).alias(c) for c in schema.fieldNames()[1:]])
-    support = rows.groupBy("y").agg(F.count("*").alias("n"))
-    sup = {c: F.coalesce(F.max(F.when(F.col("y") == c, F.col("n"))), F.lit(0)).alias(f"s{c}")
-           for c in range(n_classes)}
-    sup_row = support.agg(*sup.values(), F.sum("n").alias("total"))
-    # attach the class supports (one scalar per class) as scalar subqueries
-    scal = {f"s{c}": sup_row.select(f"s{c}").scalar() for c in range(n_classes)}
-    total = sup_row.select("total").scalar()
+    # the summed counts (one row per setting + the support row) feed the
+    # supports and the scores: checkpoint them once (small, bounded by the
+    # grid) so the kernel runs a single time
+    sums = cut_lineage(sums)
+    sup_row = sums.filter(F.col("sid") == -1)
+    scal = {f"s{c}": sup_row.select(F.col(f"tp{c}").cast("double")).scalar() for c in range(n_classes)}
+    total = sup_row.select(sum(F.col(f"tp{c}") for c in range(n_classes)).cast("double")).scalar()
+    sums = sums.filter(F.col("sid") >= 0)
     f1 = None
     for c in range(n_classes):
         s, tp, npr = scal[f"s{c}"], F.col(f"tp{c}"), F.col(f"np{c}")
