@@ -200,11 +200,14 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
                               + [c.schema[t] for t in cp.values()])
     # sizes and vector width in one cheap aggregate per side; a block holds
     # at most ``block_bytes`` of vectors unless the row limits are given
-    qs = q.agg(F.count("*").alias("n"), F.max(F.size("_qv")).alias("d")).first()
-    cs = c.agg(F.count("*").alias("n"), F.max(F.size("_cv")).alias("d")).first()
-    nq = n_queries if n_queries is not None else qs["n"]
-    nc = n_corpus if n_corpus is not None else cs["n"]
-    dim = max(qs["d"] or 1, cs["d"] or 1, 1)
+    sides = (q.select(F.lit(0).alias("side"), F.size("_qv").alias("d"))
+             .unionByName(c.select(F.lit(1).alias("side"), F.size("_cv").alias("d"))))
+    st = sides.agg(F.count(F.when(F.col("side") == 0, 1)).alias("nq"),
+                   F.count(F.when(F.col("side") == 1, 1)).alias("nc"),
+                   F.max("d").alias("d")).first()          # one small job, one row back
+    nq = n_queries if n_queries is not None else st["nq"]
+    nc = n_corpus if n_corpus is not None else st["nc"]
+    dim = max(st["d"] or 1, 1)
     rows_budget = max(1, block_bytes // (8 * dim))
     par = spark.sparkContext.defaultParallelism
     QB, CB = block_counts(nq, nc, par, q_block_rows or rows_budget, c_block_rows or rows_budget, k=k)

@@ -168,20 +168,17 @@ QUESTION = "Is the claim supported by the evidence?"
 
 
 def _sql_template(tpl: str) -> str:
-    parts, rest = [], tpl
+    """The same template as a SQL ``||`` chain of quoted literals and slots."""
     slots = {"question": f"'{QUESTION}'", "claim": "b.text", "evidence": "d.text"}
-    for m in re.finditer(r"\{(\w+)\}", tpl):
-        pass
     out, pos = [], 0
-    for m in re.finditer(r"\{(\w+)\}", rest):
-        lit = rest[pos:m.start()]
-        if lit:
-            out.append("'" + lit.replace("'", "''") + "'")
+    for m in re.finditer(r"\{(\w+)\}", tpl):
+        if tpl[pos:m.start()]:
+            out.append("'" + tpl[pos:m.start()].replace("'", "''") + "'")
         out.append(slots[m.group(1)])
         pos = m.end()
-    if rest[pos:]:
-        out.append("'" + rest[pos:].replace("'", "''") + "'")
-    return " || ".join(out) if out else "''" + "".join(parts)
+    if tpl[pos:]:
+        out.append("'" + tpl[pos:].replace("'", "''") + "'")
+    return " || ".join(out) if out else "''"
 
 
 @register("build_prompts", "SELECT b.item_id, t.template, t.prompt FROM benchmark b JOIN documents d ON d.doc_id = b.item_id,\n"
