@@ -27,8 +27,9 @@ d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, score O
       WHERE dr = 1)
 SELECT query_id, corpus_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank FROM d)
-WHERE rank <= 10""", "R3 J11 W2 W1")
+WHERE rank <= 50""", "R3 J11 W2 W1")
 def q_image_retrieval(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return vector_topk(queries_from(t.embeddings), corpus_from(t.embeddings), 10,
+    # k = 50: the reference's default for image retrieval
+    return vector_topk(queries_from(t.embeddings), corpus_from(t.embeddings), 50,
                        q_id="query_id", c_id="corpus_id", exclude_self=True, dedup_scores=True)
