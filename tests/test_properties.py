@@ -126,3 +126,32 @@ def test_confusion_sums_to_n(spark):
     from verdict.plans.registry import all_queries
     cm = all_queries()["confusion_matrix"].build(spark, SF_SMALL)
     assert cm.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").count()
+
+
+def test_topk_half_precision_option(spark):
+    M, df = _vectors(spark, 40, 6, 7)
+    q = df.select(F.col("id").alias("query_id"), "embedding")
+    c = df.select(F.col("id").alias("corpus_id"), "embedding")
+    got = vector_topk(q, c, 3, q_id="query_id", c_id="corpus_id", exclude_self=True,
+                      quantize="float16").collect()
+    H = M.astype(np.float32).astype(np.float16).astype(np.float64)
+    exp = _brute(H, H, list(range(40)), list(range(40)), 3, False, True)
+    res = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        res.setdefault(r.query_id, []).append(r.corpus_id)
+    assert all(res[i] == [c for c, _ in exp[i]] for i in range(40))
+
+
+def test_path_rewrite_rules(spark):
+    import pytest as _pt
+    from verdict.operators import prep
+    df = spark.createDataFrame([("train_12_evidence.jpg",), ("test_3_evidence.jpg",)], "n string")
+    got = sorted(r.p for r in df.select(prep.canonical_path(F.col("n")).alias("p")).collect())
+    assert got == ["images/test/3_evidence.jpg", "images/train/12_evidence.jpg"]
+    bad = spark.createDataFrame([("dev_4_evidence.jpg",)], "n string")
+    with _pt.raises(Exception, match="Unexpected filename format"):
+        bad.select(prep.canonical_path(F.col("n"))).collect()
+    raw = spark.createDataFrame([("a" + chr(92) + "b" + chr(92) + "x.jpg", 1), ("a/b/x.jpg", 2)], "p string, v long")
+    norm = raw.select(prep.normalise_separators(F.col("p")).alias("k"), "v")
+    last = norm.groupBy("k").agg(F.max_by("v", "v").alias("v")).collect()
+    assert [(r.k, r.v) for r in last] == [("a/b/x.jpg", 2)]

@@ -84,7 +84,8 @@ def _select(S: np.ndarray, k: int, dedup: bool) -> tuple[np.ndarray, np.ndarray]
 
 
 def _cell_topk(k: int, dedup: bool, exclude_self: bool, decimals: int, eps: float,
-               out_schema: T.StructType, q_pay: list[str], c_pay: list[str]):
+               out_schema: T.StructType, q_pay: list[str], c_pay: list[str],
+               quantize: str | None = None):
     names = [f.name for f in out_schema.fields]
 
     def fn(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,12 +93,16 @@ def _cell_topk(k: int, dedup: bool, exclude_self: bool, decimals: int, eps: floa
             return pd.DataFrame({n: [] for n in names})
         qids = qdf["_qid"].to_numpy(np.int64)
         Q = _stack(qdf["_qv"])
+        if quantize:
+            Q = Q.astype(quantize).astype(np.float64)
         Q = Q / _normalise(Q, eps)[:, None]
         out = []
         for grp, sub in cdf.groupby("_grp", sort=False, dropna=False):
             cids = sub["_cid"].to_numpy(np.int64)
             ords = sub["_ord"].to_numpy(np.int64)
             C = _stack(sub["_cv"])
+            if quantize:
+                C = C.astype(quantize).astype(np.float64)
             C = C / _normalise(C, eps)[:, None]
             self_pos = pd.Index(cids).get_indexer(qids) if exclude_self else None
             chunk = max(1, 8_000_000 // max(len(cids), 1))
@@ -167,7 +172,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
                 q_block_rows: int | None = None, c_block_rows: int | None = None,
                 n_queries: int | None = None, n_corpus: int | None = None,
                 q_payload: dict[str, str] | None = None,
-                c_payload: dict[str, str] | None = None) -> DataFrame:
+                c_payload: dict[str, str] | None = None,
+                quantize: str | None = None) -> DataFrame:
     """Top-k corpus rows per query (and per corpus group when ``c_group``)
     by cosine similarity.
 
@@ -180,6 +186,9 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     so no join back to the (large) input tables is needed. Meant for small
     scalars (labels): candidates leave a cell once per corpus block, so
     vectors are cheaper to join back after the global cut.
+    ``quantize="float16"`` rounds both sides to half precision before scoring
+    (F13, the reference's storage precision); by default vectors are scored
+    as stored (float) in double.
     """
     spark = queries.sparkSession
     ship_package(spark)
@@ -220,7 +229,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     cells = (q_rep.groupBy("qb", "cb")
              .cogroup(c_rep.groupBy("qb", "cb"))
              .applyInPandas(_cell_topk(k, dedup_scores, exclude_self, decimals, eps, out_schema,
-                                       list(qp.values()), list(cp.values())), out_schema))
+                                       list(qp.values()), list(cp.values()), quantize), out_schema))
 
     if dedup_scores:
         wd = Window.partitionBy("_qid", "_grp", "score").orderBy("_ord", "_cid")
