@@ -7,11 +7,13 @@ trigram vocabulary V; the text gets the best-scoring language (ties by
 language code), a text without trigrams gets ``unknown``. The reported
 score is the mean log-probability per trigram, rounded to 6.
 
-Plan: trigrams are extracted once, in one linear regex pass per text, and
-counted per (document, language, trigram), combined map side. That one
-aggregate feeds both the model (per trigram and language) and the scoring
-join on the trigram. Trigram totals per document and per language need no
-trigram pass at all: a text of L code points has max(L - 2, 0) trigrams.
+Plan: trigrams come from one linear regex pass per text. The model counts
+(trigram, language) straight from the exploded trigrams, combined map side,
+so only the small model is shuffled; it is checkpointed once because it
+feeds both the vocabulary size and the scoring join. Scoring counts trigrams
+per document (combined map side) and joins the model on the trigram.
+Trigram totals per document and per language need no trigram pass at all:
+a text of L code points has max(L - 2, 0) trigrams.
 """
 
 from __future__ import annotations
@@ -37,8 +39,15 @@ def train(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str,
           counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (model ``tri, lang, c``, totals ``lang, log_den``).
     ``counts`` (``id, lang, tri, n``) reuses trigram counts already made."""
-    tc = counts if counts is not None else trigram_counts(labelled, id_col, text_col, [lang_col])
-    model = tc.groupBy("tri", F.col(lang_col).alias("lang")).agg(F.sum("n").alias("c"))
+    if counts is not None:
+        model = counts.groupBy("tri", F.col(lang_col).alias("lang")).agg(F.sum("n").alias("c"))
+    else:
+        # straight from the exploded trigrams: (trigram, language) counts
+        # combine map side, so only the small model is shuffled, not the
+        # per-document counts
+        ex = labelled.select(F.col(lang_col).alias("lang"),
+                             F.explode(char_ngrams(F.lower(F.col(text_col)), 3)).alias("tri"))
+        model = ex.groupBy("tri", "lang").agg(F.count("*").alias("c"))
     # the model (one row per trigram and language, bounded by the trigram
     # vocabulary) feeds the vocabulary size and the scoring join: materialise
     # it once in the shared checkpoint folder
