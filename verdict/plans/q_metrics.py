@@ -177,3 +177,55 @@ def q_best_so_far(spark, sf_dir):
     s = _steps(spark, sf_dir)
     m = s.groupBy("epoch").agg(F.round(F.avg((F.col("y") == F.col("p")).cast("double")), 6).alias("accuracy"))
     return best_so_far(m, order="epoch", value="accuracy").drop("prev_best")
+
+
+# four prediction paths per step (the training log's unpivoted paths): the
+# path-i label and prediction are the step's truth / prediction shifted by i
+def _path_steps(spark, sf_dir):
+    s = _steps(spark, sf_dir)
+    arr = F.array(*[F.struct(F.lit(p).alias("path"), ((F.col("y") + i) % 3).cast("int").alias("y"),
+                             ((F.col("p") + i) % 3).cast("int").alias("p"))
+                    for i, p in enumerate(PATHS)])
+    return s.select("step", "epoch", F.explode(arr).alias("r")).select("step", "epoch", "r.*")
+
+
+_SQL_PATHS = " UNION ALL ".join(
+    f"SELECT step, epoch, '{p}' AS path, ((y + {i}) % 3)::INTEGER AS y, ((p + {i}) % 3)::INTEGER AS p FROM steps"
+    for i, p in enumerate(PATHS))
+
+
+@register("windowed_path_metrics", f"""WITH {_SQL_STEPS},
+ps AS ({_SQL_PATHS}),
+s AS (SELECT *, ceil(step / 100)::BIGINT AS win_id FROM ps),
+done AS (SELECT epoch, win_id FROM s GROUP BY epoch, win_id HAVING max(step) % 100 = 0),
+d AS (SELECT s.* FROM s SEMI JOIN done USING (epoch, win_id)),
+conf AS (SELECT epoch, win_id, path, y, p, count(*) AS n FROM d GROUP BY ALL),
+cc AS (SELECT epoch, win_id, path, cls, sum(tp) AS tp, sum(support) AS support, sum(npred) AS npred FROM (
+         SELECT epoch, win_id, path, y AS cls, CASE WHEN y = p THEN n ELSE 0 END AS tp, n AS support,
+                0 AS npred FROM conf
+         UNION ALL SELECT epoch, win_id, path, p, 0, 0, n FROM conf) GROUP BY ALL),
+f AS (SELECT *, CASE WHEN support + npred > 0 THEN 2 * tp / (support + npred) ELSE 0 END AS f1 FROM cc)
+SELECT epoch, win_id, path, 'accuracy' AS metric, round(sum(tp) / sum(support), 6) AS value
+FROM f GROUP BY epoch, win_id, path
+UNION ALL
+SELECT epoch, win_id, path, 'weighted_f1', round(sum(support * f1) / sum(support), 6)
+FROM f GROUP BY epoch, win_id, path
+UNION ALL
+SELECT epoch, win_id, path, 'f1_class' || cls, round(f1, 6) FROM f""", "W5 P24 A9 A10 A11")
+def q_windowed_path_metrics(spark, sf_dir):
+    from ..operators.metrics import _safe
+    d = count_windows(_path_steps(spark, sf_dir), epoch="epoch", step="step", length=100)
+    by = ["epoch", "win_id", "path"]
+    cc = class_counts(confusion(d, "y", "p", by=by), by=by)
+    f1 = _safe(2 * F.col("tp"), F.col("support") + F.col("npred"))
+    cc = cc.withColumn("f1", f1)
+    tot = cc.groupBy(*by).agg(
+        F.round(_safe(F.sum("tp"), F.sum("support")), 6).alias("accuracy"),
+        F.round(_safe(F.sum(F.col("support") * F.col("f1")), F.sum("support")), 6).alias("weighted_f1"))
+    long_tot = tot.select(*by, F.explode(F.array(
+        F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
+        F.struct(F.lit("weighted_f1").alias("metric"), F.col("weighted_f1").alias("value")))).alias("r")) \
+        .select(*by, "r.metric", "r.value")
+    per_class = cc.select(*by, F.concat(F.lit("f1_class"), F.col("cls").cast("string")).alias("metric"),
+                          F.round("f1", 6).alias("value"))
+    return long_tot.unionByName(per_class)
