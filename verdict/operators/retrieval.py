@@ -72,12 +72,21 @@ def first_per_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
 
 def hydrate(hits: DataFrame, content: DataFrame, *, hit_key: list[str], content_key: list[str],
             order: list) -> DataFrame:
-    """Attach content to ranked hits by key. The content side is
-    reduced to its first row per key, then inner-joined (a hit whose content
-    is missing is dropped, as in the reference)."""
-    c = first_per_key(content, content_key, order)
-    cond = [hits[a] == c[b] for a, b in zip(hit_key, content_key)]
-    return hits.join(c, cond, "inner")
+    """Attach content to ranked hits by key (inner join: a hit
+    whose content is missing is dropped, as in the reference). When a key
+    repeats in the content, the first row by ``order`` wins; that choice is a
+    ``min_by`` per hit after the join, over the small hit side (k per claim).
+    The content table is shuffled at most once for the join (not at all when
+    AQE broadcasts the hits), and the hits are computed once."""
+    cond = [hits[a] == content[b] for a, b in zip(hit_key, content_key)]
+    hit_cols = hits.columns
+    extra = [c for c in content.columns if c not in hit_cols]
+    if not extra:  # existence only: a semi join, duplicates cannot multiply hits
+        return hits.join(content, cond, "left_semi")
+    j = hits.join(content, cond, "inner")
+    ordering = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    first = F.min_by(F.struct(*[F.col(c) for c in extra]), ordering).alias("_c")
+    return j.groupBy(*[F.col(c) for c in hit_cols]).agg(first).select(*hit_cols, "_c.*")
 
 
 def attach_external(ranked: DataFrame, claims: DataFrame, k: int, *, q_id: str = "query_id",
