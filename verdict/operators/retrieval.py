@@ -53,9 +53,18 @@ def two_stage(pools: DataFrame, rescored: str, k: int | None, *,
               keep: Column | None = None) -> DataFrame:
     """R2 after the re-scorer: merge the split pools, order by
     (re-score desc, train before test, pool rank), de-duplicate equal
-    re-scores (W2, or W3 when ``keep`` marks the gold row) and cut at k."""
+    re-scores (W2, or W3 when ``keep`` marks the gold row) and cut at k.
+
+    One window per query does both steps: in that order equal scores are
+    adjacent, so "first row of its score" is ``lag(score) != score``; the
+    rank over the survivors reuses the same partitioning and sort (one
+    shuffle, not two)."""
     order = [F.desc(rescored), split_rank().asc(), F.col("pool_rank").asc(), F.col("corpus_id").asc()]
-    d = score_dedup(pools, q_id="query_id", score=rescored, order=order, keep=keep)
+    w = Window.partitionBy("query_id").orderBy(*order)
+    prev = F.lag(rescored).over(w)
+    first = prev.isNull() | (prev != F.col(rescored))
+    cond = first if keep is None else (first | keep)
+    d = pools.withColumn("_keep", cond).filter(F.col("_keep")).drop("_keep")
     return rank_topk(d, q_id="query_id", order=order, k=k)
 
 
