@@ -155,3 +155,13 @@ def test_path_rewrite_rules(spark):
     norm = raw.select(prep.normalise_separators(F.col("p")).alias("k"), "v")
     last = norm.groupBy("k").agg(F.max_by("v", "v").alias("v")).collect()
     assert [(r.k, r.v) for r in last] == [("a/b/x.jpg", 2)]
+
+
+def test_topk_empty_sides(spark):
+    M, df = _vectors(spark, 5, 3, 11)
+    q = df.select(F.col("id").alias("query_id"), "embedding")
+    empty = spark.createDataFrame([], "corpus_id long, embedding array<float>")
+    assert vector_topk(q, empty, 3, q_id="query_id", c_id="corpus_id").count() == 0
+    c = df.select(F.col("id").alias("corpus_id"), "embedding")
+    noq = spark.createDataFrame([], "query_id long, embedding array<float>")
+    assert vector_topk(noq, c, 3, q_id="query_id", c_id="corpus_id").count() == 0

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import distinct_tokens
 from ..session import ship_package, spread
-from .topk import block_counts, round_half_away
+from .topk import block_counts, empty_frame, round_half_away
 
 _OUT = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("_did", T.LongType()),
                      T.StructField("score", T.DoubleType())])
@@ -34,7 +34,7 @@ _OUT = T.StructType([T.StructField("_qid", T.LongType()), T.StructField("_did",
 def _cell(k: int, decimals: int, budget: int = 4_000_000):
     def fn(qdf: pd.DataFrame, ddf: pd.DataFrame) -> pd.DataFrame:
         if len(qdf) == 0 or len(ddf) == 0:
-            return pd.DataFrame({f.name: [] for f in _OUT.fields})
+            return empty_frame(_OUT)
         qids = qdf["_qid"].to_numpy(np.int64)
         # claim block vocabulary and weights
         ct = pd.DataFrame({"q": np.repeat(np.arange(len(qdf)), qdf["_tok"].map(len).to_numpy()),
@@ -45,7 +45,7 @@ def _cell(k: int, decimals: int, budget: int = 4_000_000):
         vocab = pd.Index(ct["t"].unique())
         V = len(vocab)
         if V == 0:
-            return pd.DataFrame({f.name: [] for f in _OUT.fields})
+            return empty_frame(_OUT)
         W = np.zeros((V, len(qdf)))
         B = np.zeros((V, len(qdf)))
         vi = vocab.get_indexer(ct["t"])
@@ -75,7 +75,7 @@ def _cell(k: int, decimals: int, budget: int = 4_000_000):
             if len(r):
                 out.append(pd.DataFrame({"_qid": qids[r], "_did": dids[s:s + chunk][c], "score": S[r, c]}))
         if not out:
-            return pd.DataFrame({f.name: [] for f in _OUT.fields})
+            return empty_frame(_OUT)
         res = pd.concat(out, ignore_index=True).sort_values(["_qid", "score", "_did"],
                                                             ascending=[True, False, True])
         return res.groupby("_qid", sort=False).head(k)[[f.name for f in _OUT.fields]]

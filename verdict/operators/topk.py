@@ -45,6 +45,15 @@ _OUT = T.StructType([
 ])
 
 
+def empty_frame(schema: T.StructType) -> pd.DataFrame:
+    """Zero-row pandas frame with dtypes matching ``schema`` (untyped empty
+    columns do not convert to Arrow)."""
+    kinds = {T.LongType: "int64", T.IntegerType: "int32", T.DoubleType: "float64",
+             T.FloatType: "float32", T.BooleanType: "bool"}
+    return pd.DataFrame({f.name: pd.Series([], dtype=kinds.get(type(f.dataType), "object"))
+                         for f in schema.fields})
+
+
 def round_half_away(x: np.ndarray, decimals: int) -> np.ndarray:
     p = 10.0 ** decimals
     return np.sign(x) * np.floor(np.abs(x) * p + 0.5) / p
@@ -90,7 +99,7 @@ def _cell_topk(k: int, dedup: bool, exclude_self: bool, decimals: int, eps: floa
 
     def fn(qdf: pd.DataFrame, cdf: pd.DataFrame) -> pd.DataFrame:
         if len(qdf) == 0 or len(cdf) == 0:
-            return pd.DataFrame({n: [] for n in names})
+            return empty_frame(out_schema)
         qids = qdf["_qid"].to_numpy(np.int64)
         Q = _stack(qdf["_qv"])
         if quantize:
@@ -130,7 +139,7 @@ def _cell_topk(k: int, dedup: bool, exclude_self: bool, decimals: int, eps: floa
                 part["_grp"] = grp
                 out.append(part)
         if not out:
-            return pd.DataFrame({n: [] for n in names})
+            return empty_frame(out_schema)
         res = pd.concat(out, ignore_index=True)
         return res[names]
     return fn
