@@ -85,9 +85,9 @@ class Words:
     ``doc``, and ``first`` (n rows + 1): the words of row i are
     ``first[i]:first[i + 1]``."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, is_word: np.ndarray = _IS_WORD):
         self.raw, self.offsets = raw, offsets = text_buffer(column)
-        inside = _IS_WORD[raw]
+        inside = is_word[raw]
         before = np.zeros(len(raw), bool)
         before[1:] = inside[:-1]
         begins = offsets[:-1][offsets[:-1] < len(raw)]
@@ -101,9 +101,12 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word; ``lower`` takes A-Z as a-z."""
-        table = _BYTE_LOWER if lower else _BYTE
+    def hashes(self, lower: bool = False, table: np.ndarray | None = None,
+               prefix: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word; ``lower`` takes A-Z as a-z, ``table``
+        gives each byte's value, ``prefix`` takes a word's first bytes only."""
+        if table is None:
+            table = _BYTE_LOWER if lower else _BYTE
         out = np.empty(len(self.start), np.uint64)
         i, n = 0, len(self.start)
         while i < n:
@@ -114,6 +117,8 @@ class Words:
                 total = np.zeros(length + 1, np.uint64)
                 np.cumsum(table[self.raw[at:at + length]] * _power("up", _BASE, length), out=total[1:])
                 s, e = self.start[i:j] - at, self.end[i:j] - at
+                if prefix is not None:
+                    e = np.minimum(e, s + prefix)
                 out[i:j] = (total[e] - total[s]) * _power("down", _BASE_INV, length)[s]
             i = j
         return mix64(out)
