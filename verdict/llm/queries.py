@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import CALLS, format_chat
 from .near_dedup import near_duplicates
 from .packing import pack, token_pieces
-from .store import stored
+from .pivot_dedup import near_duplicate_vectors
+from .store import new_path, stored
 from .substring import remove_repeats
 from .toxicity import score_toxicity
+from .unigram import decode, encode
+from .url_filter import judge_urls
+from .va_file import top_k
+from .warc import read_archives, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -57,3 +63,73 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", F.col("toxic").alias("label"))
     scored = score_toxicity(_table(spark, sf_dir, "documents"), labels, threshold=0.3)
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+#: Fixed rules of the url filter: host, path, verdict
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))).alias("round_trip"))
+
+
+@query
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", is_query=F.col("id") % 100 == 0, k=10)
+
+
+#: Tools of the conversations' calls: each assistant turn is a call
+CHAT_TOOLS = {
+    "answer": {"type": "object", "required": ["text", "lines"], "additionalProperties": False, "properties": {
+        "text": {"type": "string", "minLength": 1}, "lines": {"type": "integer", "minimum": 1}}},
+    "summarise": {"type": "object", "required": ["text", "lines"], "additionalProperties": False, "properties": {
+        "text": {"type": "string", "minLength": 1, "maxLength": 1000}, "lines": {"type": "integer", "minimum": 1, "maximum": 12}}}}
+
+
+def messages_with_calls(conversations: DataFrame) -> DataFrame:
+    """The conversations with an assistant's turn as the call of a tool, which
+    waits for the result of the call two turns before, and a user's turn as the
+    result of the call one turn before."""
+    call = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("-"), F.col("turn").cast("string"))
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    said = F.struct(
+        call.alias("id"), F.when(F.col("turn") % 4 == 3, "summarise").otherwise("answer").alias("name"),
+        F.to_json(F.struct(F.col("text"), lines.alias("lines"))).alias("arguments"),
+        F.when(F.col("turn") >= 3, F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("-"),
+                                           (F.col("turn") - 2).cast("string"))).alias("after"))
+    return conversations.select(
+        "conv_id", "turn", "role", "text",
+        F.when(F.col("role") == "assistant", F.array(said)).otherwise(F.array().cast(CALLS)).cast(CALLS).alias("tool_calls"),
+        F.when((F.col("role") == "user") & (F.col("turn") > 0), F.concat(
+            F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.lit("-"), (F.col("turn") - 1).cast("string"))).alias("tool_call_id"))
+
+
+@query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(messages_with_calls(_table(spark, sf_dir, "conversations")), CHAT_TOOLS)
+
+
+@query
+def op9_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", cosine=0.98)
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path, min_bytes=0)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
