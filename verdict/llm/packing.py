@@ -34,26 +34,30 @@ from .words import slices
 _encodings: dict = {}
 
 
-def _encoding(vocabulary: str, pattern: str):
+def _encoding(vocabulary: str, pattern: str, special: dict[str, int]):
     """Byte-level BPE of a ranks file; built once per worker."""
     if vocabulary not in _encodings:
         import tiktoken
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[vocabulary] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _encodings[vocabulary] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     return _encodings[vocabulary]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, capacity: int,
+                 special: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids): the token ids of every text and
     ``end_id``, cut to ``capacity``; a longer document's first piece takes the
-    remainder. ids: little-endian unsigned 32-bit."""
+    remainder. ids: little-endian unsigned 32-bit. ``special``: strings that are one
+    token wherever a text has them."""
+    special = special or {}
+
     def run(batches):
         for b in slices(batches, max_bytes=1 << 20):
-            encoding = _encoding(vocabulary, pattern)
+            encoding = _encoding(vocabulary, pattern, special)
             row, piece, start, length, ids = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                raw = np.array(encoding.encode_ordinary(text or "") + [end_id], "<u4").tobytes()
+                raw = np.array(encoding.encode(text or "", allowed_special="all") + [end_id], "<u4").tobytes()
                 n = len(raw) // 4
                 a, z = 0, n % capacity or capacity
                 while a < n:

@@ -31,16 +31,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-@query
-def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    pieces = token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                          public_tokenizers.PATTERN, end_id=2, capacity=1024)
+    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN, end_id=2, capacity=1024, special={"<|endoftext|>": 50256})
     pieces = stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return pack(pieces, capacity=1024)
 
 
+@query
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
