@@ -19,10 +19,10 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(m, (F.xxhash64(edges.u) == m.k) & (edges.u == m.w)).select("u", "v", "m")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, stored=stored) -> DataFrame:
     """(node, component) for every node of the edges (two long columns, any
     order, repeats allowed); component is the least node reachable. Nodes
-    without edges are not in the result."""
+    without edges are not in the result. ``stored`` writes a table and reads it."""
     a, b = edges.columns
     cur = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                  .filter("u <> v").distinct(), "edges")

@@ -7,9 +7,11 @@ samples folded to parity bits, whose XOR counts the samples that differ) drop
 the hopeless ones; the rest are confirmed on the full sets.
 
 Groups are never spread to all pairs: the members of a band's bucket are
-compared to the bucket's least node, links are closed to components, and only
-members still in different components of one bucket are compared further, by
-blocks of sketches, of which only the pairs that pass leave the task.
+compared to the bucket's least node and links are closed to components. Members
+still in different components of one bucket are compared further, by blocks of
+sketches: in the first ``nearest_rounds`` rounds only each one's nearest of
+another component leaves the task and is confirmed, which joins what a large
+group of near copies is made of; then all pairs that are still apart follow.
 
 With 32 bands of 4 values a pair at similarity 0.75 is missed with probability
 5e-6; the sketch lets pairs pass down to an estimate of 0.5 (more than four
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import stored
+from .store import Scratch
 from .words import Words, constants, mix64, runs, slices
 
 _U = np.uint64
@@ -109,9 +111,10 @@ def most_different_bits(similarity: float) -> int:
     return int(SKETCH_BITS / 2 * (1 - np.exp(-2 * differ / SKETCH_BITS)))
 
 
-def _sketch_pairs(limit: int):
+def _sketch_pairs(limit: int, nearest: bool):
     """Rows sorted by (key, ti, tj): per run the pairs of different components
-    whose sketches are close; a run is at most two tiles."""
+    whose sketches are close, or only the nearest of each; a run is at most two
+    tiles."""
     def pairs(run):
         node = np.array([r[3] for r in run], np.int64)
         comp = np.array([r[4] for r in run], np.int64)
@@ -132,7 +135,13 @@ def _sketch_pairs(limit: int):
             d = np.zeros((len(x), len(b)), np.uint16)
             for k in range(SKETCH_LONGS):
                 d += np.bitwise_count(sk[x, k][:, None] ^ sk[b, k][None, :])
-            p, q = np.nonzero((d <= limit) & (comp[x][:, None] != comp[b][None, :]))
+            d[comp[x][:, None] == comp[b][None, :]] = SKETCH_BITS + 1
+            if nearest:
+                q = d.argmin(1)
+                p = np.flatnonzero(d[np.arange(len(x)), q] <= limit)
+                q = q[p]
+            else:
+                p, q = np.nonzero(d <= limit)
             p, q = node[x[p]], node[b[q]]
             out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -190,10 +199,8 @@ def _by_hash(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     return left.join(r, (F.xxhash64(left[key]) == r["_hash"]) & (left[key] == r["_key"]), how).drop("_key", "_hash")
 
 
-def _left_over(members: DataFrame, links: DataFrame, nodes: DataFrame, limit: int, tile: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, neither its least node, that the links so
-    far leave in different components and whose sketches are close."""
-    comp = components(links)
+def _left_over(members: DataFrame, comp: DataFrame, nodes: DataFrame, limit: int, tile: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components whose sketches are close."""
     m = (members.filter("n > 2").select("key", "set_id", "n")
          .join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
          .withColumn("component", F.coalesce("component", "set_id")))
@@ -207,15 +214,17 @@ def _left_over(members: DataFrame, links: DataFrame, nodes: DataFrame, limit: in
               .join(nodes.select("set_id", "sketch"), "set_id"))
     return (placed.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
             .select("key", "ti", "tj", "set_id", "component", "tile", "sketch")
-            .mapInArrow(_sketch_pairs(limit), "a long, b long").distinct())
+            .mapInArrow(_sketch_pairs(limit, nearest), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, pass_at: float = 0.5,
-                    tile: int = 2048) -> DataFrame:
+                    tile: int = 2048, nearest_rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``
     (doc_id, text). ``percent``: similarity of a link; ``pass_at``: estimate
     from which a pair is confirmed; ``tile``: sketches of one block side."""
     limit = most_different_bits(pass_at)
+    scratch = Scratch()
+    stored = scratch.stored
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_key"))
     rows = stored(docs.mapInArrow(
         _signatures(width), "doc_id long, doc_key long, n_shingles long, set_id long, "
@@ -227,19 +236,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, pass_at:
     hubs = in_bands.groupBy("key").agg(F.min("set_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = stored(_by_hash(in_bands, hubs, "key").filter("set_id <> hub"), "members")
     star = members.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = stored(_confirmed(stored(_close_enough(star, nodes, limit), "pairs"), nodes, docs, width, percent), "links")
-    more = stored(_left_over(members, links, nodes, limit, tile), "pairs")
-    links = links.unionByName(_confirmed(more, nodes, docs, width, percent))
-    comp = (nodes.select("set_id", "min_doc")
-            .join(components(links).withColumnRenamed("node", "set_id"), "set_id", "left")
-            .withColumn("component", F.coalesce("component", "set_id")))
-    least = comp.groupBy("component").agg(F.min("min_doc").alias("component_id"))
-    named = _by_hash(comp, least, "component").select(F.col("set_id").alias("node"), "component_id")
+    tried = stored(_close_enough(star, nodes, limit), "pairs")
+    comp = components(stored(_confirmed(tried, nodes, docs, width, percent), "links"), stored=stored)
+    for again in range(nearest_rounds + 1):
+        last = again == nearest_rounds
+        more = stored(_left_over(members, comp, nodes, limit, tile, nearest=not last).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            if last:
+                break
+            continue
+        links = stored(_confirmed(more, nodes, docs, width, percent), "links")
+        if not links.isEmpty():
+            comp = components(comp.toDF("a", "b").unionByName(links), stored=stored)
+        tried = tried.unionByName(more)
+    named = (nodes.select("set_id", "min_doc").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
+             .withColumn("component", F.coalesce("component", "set_id")))
+    least = named.groupBy("component").agg(F.min("min_doc").alias("component_id"))
+    named = _by_hash(named, least, "component").select(F.col("set_id").alias("node"), "component_id")
     named = named.withColumn("hash", F.xxhash64("node"))
     # rows without a set meet nobody; their own hash spreads them
     at = F.when(rows.set_id.isNotNull(), F.xxhash64(rows.set_id)).otherwise(F.xxhash64(rows.doc_key))
-    return (rows.join(named, (at == named["hash"]) & (rows.set_id == named.node), "left")
-            .withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id"))
-                        .otherwise(F.col("component_id")))
-            .select("doc_id", "n_shingles", "component_id",
-                    F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
+    return scratch.result(
+        rows.join(named, (at == named["hash"]) & (rows.set_id == named.node), "left")
+        .withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+        .select("doc_id", "n_shingles", "component_id",
+                F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")), "near_duplicates")

@@ -25,3 +25,25 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables of one operator, which go when its result is stored."""
+
+    def __init__(self) -> None:
+        self.kept: list[tuple[SparkSession, str]] = []
+
+    def stored(self, df: DataFrame, name: str = "stage") -> DataFrame:
+        spark, path = df.sparkSession, new_path(df.sparkSession, name)
+        self.kept.append((spark, path))
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """df as a table of its own; the others are deleted."""
+        out = stored(df, name)
+        for spark, path in self.kept:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.kept.clear()
+        return out
