@@ -13,9 +13,12 @@ sketches: in the first ``nearest_rounds`` rounds only each one's nearest of
 another component leaves the task and is confirmed, which joins what a large
 group of near copies is made of; then all pairs that are still apart follow.
 
-With 32 bands of 4 values a pair at similarity 0.75 is missed with probability
-5e-6; the sketch lets pairs pass down to an estimate of 0.5 (more than four
-standard errors below 0.75).
+The bands use 128 MinHash values; with 32 bands of 4 a pair at similarity 0.75 is
+missed with probability 5e-6. The sketch folds the least element of each of 1024
+parts of the hash range (MinHash by one permutation; of small sets nearly all
+elements, so that their estimate is nearly exact). Pairs are confirmed up to
+``sigmas`` standard errors beyond the difference that sets of their sizes have at
+the similarity of a link.
 
 Nulls: null texts, empty texts and texts without words have an empty set and
 link with nothing. Repeated rows each get their row. Rows with null doc_id take
@@ -34,7 +37,7 @@ from .store import Scratch
 from .words import Words, constants, mix64, runs, slices
 
 _U = np.uint64
-BANDS, ROWS, SKETCH_BITS = 32, 4, 512
+BANDS, ROWS, SAMPLES, SKETCH_BITS = 32, 4, 1024, 1024
 SKETCH_LONGS = SKETCH_BITS // 64
 _MUL = (constants(201, BANDS * ROWS) >> _U(32)).astype(np.uint32) | np.uint32(1)
 _ADD = (constants(202, BANDS * ROWS) >> _U(32)).astype(np.uint32)
@@ -71,7 +74,6 @@ def _minhash(s: np.ndarray) -> np.ndarray:
 def _signatures(width: int):
     band_mul = constants(205, ROWS)
     band_seed = constants(206, BANDS)
-    sample = constants(207, BANDS * ROWS)
 
     def run(batches):
         for b in slices(batches):
@@ -85,7 +87,9 @@ def _signatures(width: int):
                 m = _minhash(s).astype(np.uint64)
                 with np.errstate(over="ignore"):
                     bands.append(mix64((m.reshape(BANDS, ROWS) * band_mul).sum(1, dtype=np.uint64) + band_seed).view(np.int64))
-                    at = mix64(m + sample) % _U(SKETCH_BITS)
+                    part = (s >> _U(40)) * _U(SAMPLES) >> _U(24)    # s is sorted
+                    least = s[np.r_[True, part[1:] != part[:-1]]]
+                    at = mix64(least + _U(207)) % _U(SKETCH_BITS)
                 bits = (np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
                 sketches.append(np.packbits(bits, bitorder="little").view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -105,21 +109,33 @@ def _sets(width: int):
     return run
 
 
-def most_different_bits(similarity: float) -> int:
-    """Differing sketch bits expected at a similarity."""
-    differ = 2 * BANDS * ROWS * (1 - similarity)
-    return int(SKETCH_BITS / 2 * (1 - np.exp(-2 * differ / SKETCH_BITS)))
+def most_different_bits(both, percent: int, sigmas: float, exp=np.exp, sqrt=lambda x: np.sqrt(np.abs(x))):
+    """Sketch bits that may differ in a link of two sets with ``both`` elements
+    together (an array, or a column with its functions)."""
+    j = percent / 100
+    union = both / (1 + j)
+    full = 1 - exp(-union / SAMPLES)                                  # parts with an element
+    differ = 2 * SAMPLES * (1 - exp(-both / (2 * SAMPLES)) - j * full)    # samples of one set only
+    shrink = exp(-2 * differ / SKETCH_BITS)
+    sampling = 4 * SAMPLES * full * j * (1 - j) * (1 - SAMPLES * full / union) * shrink * shrink
+    folding = SKETCH_BITS / 4 * (1 - shrink * shrink) - differ * shrink * shrink
+    return SKETCH_BITS / 2 * (1 - shrink) + sigmas * sqrt(sampling + folding) + 1
 
 
-def _sketch_pairs(limit: int, nearest: bool):
+def _sketch_pairs(percent: int, sigmas: float, nearest: bool):
     """Rows sorted by (key, ti, tj): per run the pairs of different components
     whose sketches are close, or only the nearest of each; a run is at most two
     tiles."""
+    most = 1 << 16      # beyond, the limit hardly changes and is taken at its end
+    limits = most_different_bits(np.r_[1, 1:most, 1e12].astype(float), percent, sigmas).astype(np.uint16)
+    limits[most - 1] = limits[most]
+
     def pairs(run):
         node = np.array([r[3] for r in run], np.int64)
         comp = np.array([r[4] for r in run], np.int64)
         tile = np.array([r[5] for r in run], np.int64)
         sk = np.array([r[6] for r in run], np.int64).view(np.uint64)
+        size = np.array([r[7] for r in run], np.int64)
         left, right = run[0][1], run[0][2]
         a, b = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
         # members of the run's commonest component need no look at each other
@@ -135,13 +151,15 @@ def _sketch_pairs(limit: int, nearest: bool):
             d = np.zeros((len(x), len(b)), np.uint16)
             for k in range(SKETCH_LONGS):
                 d += np.bitwise_count(sk[x, k][:, None] ^ sk[b, k][None, :])
-            d[comp[x][:, None] == comp[b][None, :]] = SKETCH_BITS + 1
+            u, v = size[x][:, None], size[b][None, :]
+            d[(comp[x][:, None] == comp[b][None, :]) | (100 * np.minimum(u, v) < percent * np.maximum(u, v))
+              | (d > limits[np.minimum(u + v, most - 1)])] = SKETCH_BITS + 1
             if nearest:
                 q = d.argmin(1)
-                p = np.flatnonzero(d[np.arange(len(x)), q] <= limit)
+                p = np.flatnonzero(d[np.arange(len(x)), q] <= SKETCH_BITS)
                 q = q[p]
             else:
-                p, q = np.nonzero(d <= limit)
+                p, q = np.nonzero(d <= SKETCH_BITS)
             p, q = node[x[p]], node[b[q]]
             out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -150,7 +168,7 @@ def _sketch_pairs(limit: int, nearest: bool):
         held: list[tuple] = []
         found, size = [], 0
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("key", "ti", "tj", "set_id", "component", "tile", "sketch"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("key", "ti", "tj", "set_id", "component", "tile", "sketch", "size"))):
                 if held and held[0][:3] != r[:3]:
                     found.append(pairs(held))
                     size += len(found[-1])
@@ -168,13 +186,15 @@ def _sketch_pairs(limit: int, nearest: bool):
     return run
 
 
-def _close_enough(pairs: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
-    """Pairs (a, b) whose sketches differ in at most ``limit`` bits."""
-    s = nodes.select("set_id", "sketch")
-    p = (pairs.join(s.select(F.col("set_id").alias("a"), F.col("sketch").alias("x")), "a")
-         .join(s.select(F.col("set_id").alias("b"), F.col("sketch").alias("y")), "b"))
+def _close_enough(pairs: DataFrame, nodes: DataFrame, percent: int, sigmas: float) -> DataFrame:
+    """Pairs (a, b) whose sizes and sketches allow a link."""
+    n = nodes.select("set_id", "sketch", "size")
+    p = (pairs.join(n.select(F.col("set_id").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("m")), "a")
+         .filter("m > 0")
+         .join(n.select(F.col("set_id").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("n")), "b"))
     differ = sum((F.expr(f"bit_count(x[{i}] ^ y[{i}])") for i in range(SKETCH_LONGS)), F.lit(0))
-    return p.filter(differ <= limit).select("a", "b")
+    limit = most_different_bits((F.col("m") + F.col("n")).cast("double"), percent, sigmas, F.exp, lambda x: F.sqrt(F.abs(x)))
+    return p.filter((100 * F.least("m", "n") >= percent * F.greatest("m", "n")) & (differ <= limit)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -199,7 +219,7 @@ def _by_hash(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     return left.join(r, (F.xxhash64(left[key]) == r["_hash"]) & (left[key] == r["_key"]), how).drop("_key", "_hash")
 
 
-def _left_over(members: DataFrame, comp: DataFrame, nodes: DataFrame, limit: int, tile: int, nearest: bool) -> DataFrame:
+def _left_over(members: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int, sigmas: float, tile: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of one bucket in different components whose sketches are close."""
     m = (members.filter("n > 2").select("key", "set_id", "n")
          .join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -211,18 +231,18 @@ def _left_over(members: DataFrame, comp: DataFrame, nodes: DataFrame, limit: int
               .withColumn("tile", F.expr("pmod(xxhash64(set_id), ceil(n / %d))" % tile).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
               .withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
-              .join(nodes.select("set_id", "sketch"), "set_id"))
+              .join(nodes.select("set_id", "sketch", "size"), "set_id"))
     return (placed.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
-            .select("key", "ti", "tj", "set_id", "component", "tile", "sketch")
-            .mapInArrow(_sketch_pairs(limit, nearest), "a long, b long").distinct())
+            .select("key", "ti", "tj", "set_id", "component", "tile", "sketch", "size")
+            .mapInArrow(_sketch_pairs(percent, sigmas, nearest), "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, pass_at: float = 0.5,
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sigmas: float = 4.0,
                     tile: int = 2048, nearest_rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``
-    (doc_id, text). ``percent``: similarity of a link; ``pass_at``: estimate
-    from which a pair is confirmed; ``tile``: sketches of one block side."""
-    limit = most_different_bits(pass_at)
+    (doc_id, text). ``percent``: similarity of a link; ``sigmas``: standard
+    errors of the sketch up to which a pair is confirmed; ``tile``: sketches of one
+    block side."""
     scratch = Scratch()
     stored = scratch.stored
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_key"))
@@ -231,16 +251,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, pass_at:
                             "bands array<long>, sketch array<long>"), "signatures")
     nodes = stored(rows.filter("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("min_doc"), F.min("doc_key").alias("some_doc"),
-        F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
+        F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+        F.first("n_shingles").alias("size")), "sets")
     in_bands = nodes.select("set_id", F.explode("bands").alias("key"))
     hubs = in_bands.groupBy("key").agg(F.min("set_id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = stored(_by_hash(in_bands, hubs, "key").filter("set_id <> hub"), "members")
     star = members.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
-    tried = stored(_close_enough(star, nodes, limit), "pairs")
+    tried = stored(_close_enough(star, nodes, percent, sigmas), "pairs")
     comp = components(stored(_confirmed(tried, nodes, docs, width, percent), "links"), stored=stored)
     for again in range(nearest_rounds + 1):
         last = again == nearest_rounds
-        more = stored(_left_over(members, comp, nodes, limit, tile, nearest=not last).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = stored(_left_over(members, comp, nodes, percent, sigmas, tile, nearest=not last).join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             if last:
                 break

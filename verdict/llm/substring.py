@@ -287,9 +287,9 @@ def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 4, hot: int =
               .filter("kind is not null"))
     lists = (judged.groupBy("doc_id", "mark")
              .agg(F.collect_list(F.struct("at", "key", "kind")).alias("found")))
-    # both joins to the texts are left joins of the same columns, so one
+    # both joins to the texts are left joins of all the same columns, so one
     # shuffle of the texts serves both
-    parts = (text.join(lists, ["doc_id", "mark"], "left").mapInArrow(
+    parts = (marked.join(lists, ["doc_id", "mark"], "left").mapInArrow(
         _extract(width), "key long, doc_id long, mark long, start long, words binary, spans binary"))
     hits = (parts.repartition(F.col("key")).sortWithinPartitions("key", "words", "doc_id")
             .mapInArrow(_search(width, block_words), "doc_id long, mark long, spans binary"))
