@@ -59,8 +59,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     ``min_bytes`` are never revisits."""
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
-    first = (p.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-             .filter("n > 1").select(F.xxhash64("digest").alias("hash"), F.col("digest").alias("same"), "first"))
+    # a table of its own: where few payloads repeat, Spark sees its size and moves no payload for the join
+    first = stored(p.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
+                   .filter("n > 1").select(F.xxhash64("digest").alias("hash"), F.col("digest").alias("same"), "first"), "repeated")
     # joined on the digest hashed anew, so that Spark can split a very common payload
     p = p.join(first, (F.xxhash64(p.digest) == first["hash"]) & (p.digest == first.same), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
