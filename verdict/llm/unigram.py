@@ -206,7 +206,7 @@ def _many(v: Vocabulary, x: np.ndarray, first: np.ndarray, size: np.ndarray):
     return best[slot + size], counts, out
 
 
-def best_pieces(v: Vocabulary, x: np.ndarray, first: np.ndarray, last: np.ndarray, group: int = 1 << 17, long: int = 256):
+def best_pieces(v: Vocabulary, x: np.ndarray, first: np.ndarray, last: np.ndarray, group: int = 1 << 16, long: int = 256):
     """(scores, counts, ids) of the best cuttings of the stretches of ``x``;
     equal stretches are solved once."""
     size = last - first
@@ -256,7 +256,7 @@ def _encode_batch(v: Vocabulary, texts: list[str | None]) -> list[bytes]:
 
 def _encode(path: str):
     def run(batches):
-        for b in slices(batches, max_bytes=1 << 21):
+        for b in slices(batches, max_bytes=1 << 20):
             ids = _encode_batch(vocabulary(path), b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], [*b.schema.names, "ids"])
     return run
