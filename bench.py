@@ -37,7 +37,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     reps = int(os.environ.get("BENCH_REPS", "1"))
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus))
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus), driver_memory="16g")
     qs = all_queries()
     names = list(qs) if "--all" in sys.argv else [n for n in HEADLINE if n in qs]
     for n in names:  # warm-up: JVM, Python workers, file listing

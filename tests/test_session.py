@@ -1,6 +1,9 @@
 """Session helpers: checkpoint folder resolution, lineage cuts, spreading."""
 
-from verdict.session import checkpoint_dir, cut_lineage, spread
+from pyspark.sql import functions as F
+
+from verdict.operators.votes import claim_verdict
+from verdict.session import build_session, checkpoint_dir, cut_lineage, spread
 
 
 def test_checkpoint_dir_and_cut(spark):
@@ -17,3 +20,16 @@ def test_spread_only_when_needed(spark):
     assert spread(one).rdd.getNumPartitions() == par
     many = spark.range(0, 100, numPartitions=par * 2)
     assert spread(many).rdd.getNumPartitions() == par * 2
+
+
+def test_launcher_settings_are_kept(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert build_session().conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_every_claim_gets_a_verdict(spark):
+    evidence = spark.createDataFrame([(1, 1, "support"), (1, 2, "support")], "claim long, pos int, v string")
+    claims = spark.range(12).select(F.col("id").alias("claim"))
+    rows = {r.claim: r for r in claim_verdict(evidence, claim="claim", position="pos", verdict="v", claims=claims).collect()}
+    assert len(rows) == 12 and (rows[1].verdict, rows[1].n_support) == ("support", 2)
+    assert (rows[5].verdict, rows[5].n_support, rows[5].contributing) == ("not_enough_information", 0, "")

@@ -45,7 +45,7 @@ def main():
     args = sys.argv[1:]
     sf_dir = args[0] if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     keys = [a for a in args if not os.path.isdir(a)]
-    spark = build_session("local[8]")
+    spark = build_session("local[8]", shuffle_partitions=8, driver_memory="16g")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")

@@ -39,7 +39,7 @@ def final_plan(df) -> str:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session("local[8]")
+    spark = build_session("local[8]", shuffle_partitions=8, driver_memory="16g")
     print(f"# Plan summary ({os.path.basename(sf_dir)}, AQE final plans)\n")
     print("Generated by `tools/plan_report.py`. Counts are of operators in the executed plan; "
           "`read cols` lists the widest parquet read schema.\n")

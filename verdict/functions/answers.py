@@ -71,20 +71,15 @@ def rerank_yes_flag(answer: Column, first_stage: Column) -> Column:
 
 
 def rerank_score3(answer: Column, s: Column) -> Column:
-    """p = s for yes, -s for no, 0 otherwise; p < 0 -> 1 + p;
-    flag yes 1, no 1e-5, other 0; result flag * p."""
-    lab = F.when(answer == "yes", 1.0).when(answer == "no", -1.0).otherwise(0.0)
-    p = lab * s
-    p = F.when(p >= 0, p).otherwise(1 + p)
-    flag = F.when(answer == "yes", 1.0).when(answer == "no", 0.00001).otherwise(0.0)
-    return flag * p
+    """The chance of yes, by answer. A yes has its score (a negative one
+    counts from 1 down), a no what its score leaves of 1 at a weight of 0.00001,
+    other answers nothing."""
+    return (F.when((answer == "yes") & (s >= 0), s).when(answer == "yes", s + 1)
+            .when((answer == "no") & (s > 0), (1 - s) * 0.00001).when(answer == "no", s * -0.00001)
+            .otherwise(F.lit(0.0)))
 
 
 def rerank_score2(answer: Column, s: Column) -> Column:
-    """Non-yes counts as no; p = +-s; p <= 0 -> 1 + p (so a yes with
-    s = 0 becomes 1); flag yes 1 else 1e-5."""
-    lab = F.when(answer == "yes", 1.0).otherwise(-1.0)
-    p = lab * s
-    p = F.when(p > 0, p).otherwise(1 + p)
-    flag = F.when(answer == "yes", 1.0).otherwise(0.00001)
-    return flag * p
+    """As F7b with every other answer as a no; a yes with score 0 has 1."""
+    return (F.when((answer == "yes") & (s > 0), s).when(answer == "yes", s + 1)
+            .when(s >= 0, (1 - s) * 0.00001).otherwise(s * -0.00001))

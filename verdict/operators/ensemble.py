@@ -2,11 +2,11 @@
 
 Grid search plan: the grid (11^3 weights x 5^3 powers = 166,375 settings by
 default) is a constant derived from the parameter lists, so its size is
-known up front. Rows are spread over at most ``max_tasks`` tasks; each task
+known up front. Rows are spread over ``tasks`` tasks; each task
 scores every setting for its rows with numpy (powers precomputed once per
 row) and emits only per-setting partial counts (true positives and
 predictions per class). The shuffle therefore carries at most
-settings x max_tasks small rows, whatever the number of input rows or
+settings x tasks small rows, whatever the number of input rows or
 cores; the final per-setting sum, weighted F1 and
 ``min_by`` pick of the best setting are Spark aggregates.
 """
@@ -28,6 +28,9 @@ SCORE_DECIMALS = 9
 F1_DECIMALS = 5
 
 
+SLICE_ROWS = 2000   # rows scored at a time: bounds a worker's memory
+
+
 def blend(probs: list[Column], weights: tuple, powers: tuple, n_classes: int) -> Column:
     """F8: per class sum_i w_i * p_i[c] ** e_i, rounded to 9 places, then
     the first argmax (0-based)."""
@@ -70,9 +73,7 @@ def _partial_counts(n_classes: int, weights, powers):
         npred = np.zeros((n_set, n_classes), dtype=np.int64)
         support = np.zeros(n_classes, dtype=np.int64)
         seen = False
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
+        for pdf in (whole.iloc[i:i + SLICE_ROWS] for whole in it for i in range(0, len(whole), SLICE_ROWS)):
             seen = True
             y = pdf["y"].to_numpy(np.int64)
             support += np.bincount(y, minlength=n_classes)[:n_classes]
@@ -112,7 +113,7 @@ def _partial_counts(n_classes: int, weights, powers):
 
 
 def grid_search(rows: DataFrame, *, n_classes: int = 5, weights=ENSEMBLE_WEIGHTS,
-                powers=ENSEMBLE_POWERS, tasks: int | None = None, max_tasks: int = 256) -> DataFrame:
+                powers=ENSEMBLE_POWERS, tasks: int | None = None) -> DataFrame:
     """A26. ``rows`` has ``y`` (true class code) and ``m1, m2, m3``
     (probability arrays). Returns one row: the best weighted F1 (rounded to
     5; strict improvement, so the first setting in loop order wins a tie;
@@ -120,8 +121,8 @@ def grid_search(rows: DataFrame, *, n_classes: int = 5, weights=ENSEMBLE_WEIGHTS
     spark = rows.sparkSession
     ship_package(spark)
     # each task emits one partial-count row per setting, so the shuffle is
-    # tasks x settings rows: the task count follows the cores but is capped
-    tasks = tasks or min(spark.sparkContext.defaultParallelism, max_tasks)
+    # tasks x settings rows; the task count follows the cores
+    tasks = tasks or spark.sparkContext.defaultParallelism
     fn, schema = _partial_counts(n_classes, weights, powers)
     parts = rows.select("y", "m1", "m2", "m3").repartition(tasks).mapInPandas(fn, schema)
     sums = parts.groupBy("sid").agg(*[F.sum(c).alias(c) for c in schema.fieldNames()[1:]])

@@ -24,11 +24,14 @@ def majority_vote(answers: DataFrame, *, claim: str, label: str, score: str,
     return g.groupBy(claim).agg(best.alias("b")).select(claim, "b.*")
 
 
-def claim_verdict(evidence: DataFrame, *, claim: str, position: str, verdict: str) -> DataFrame:
+def claim_verdict(evidence: DataFrame, *, claim: str, position: str, verdict: str,
+                  claims: DataFrame | None = None) -> DataFrame:
     """Support vs refute counts over a claim's evidence (text evidence
     first, 1-based ``position``); none or equal -> not_enough_information,
     else the larger. ``contributing`` lists the positions whose verdict
-    equals the final one (bounded by the evidence per claim)."""
+    equals the final one (bounded by the evidence per claim). ``claims``: a table
+    with the claim column; its claims without evidence get
+    not_enough_information, zero counts and no positions."""
     v = F.col(verdict)
     g = evidence.groupBy(claim).agg(
         F.count(F.when(v == SUPPORT, 1)).alias("n_support"),
@@ -40,8 +43,15 @@ def claim_verdict(evidence: DataFrame, *, claim: str, position: str, verdict: st
     g = g.withColumn("verdict", final)
     contrib = F.array_sort(F.transform(F.filter("_ev", lambda e: e["v"] == F.col("verdict")),
                                        lambda e: e["pos"]))
-    return g.select(claim, "verdict", "n_support", "n_refute", "n_nei",
-                    F.concat_ws(",", F.transform(contrib, lambda x: x.cast("string"))).alias("contributing"))
+    counts = ["n_support", "n_refute", "n_nei"]
+    out = g.select(claim, "verdict", *counts,
+                   F.concat_ws(",", F.transform(contrib, lambda x: x.cast("string"))).alias("contributing"))
+    if claims is None:
+        return out
+    return (claims.select(claim).distinct().join(out, claim, "left")
+            .select(claim, F.coalesce("verdict", F.lit(NEI)).alias("verdict"),
+                    *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+                    F.coalesce("contributing", F.lit("")).alias("contributing")))
 
 
 def two_level_verdict(level1: DataFrame, level2: DataFrame, *, claim: str, label: str,

@@ -147,10 +147,10 @@ def q_rerank_llm(spark, sf_dir):
 
 
 @register("rerank_score3", f"""WITH {_SQL_LLM},
-p AS (SELECT *, CASE generated_text WHEN 'yes' THEN 1.0 WHEN 'no' THEN -1.0 ELSE 0.0 END * answer_score AS p0 FROM a),
-r AS (SELECT query_id, candidate_id,
-             CASE generated_text WHEN 'yes' THEN 1.0 WHEN 'no' THEN 0.00001 ELSE 0.0 END
-             * CASE WHEN p0 >= 0 THEN p0 ELSE 1 + p0 END AS score FROM p)
+r AS (SELECT query_id, candidate_id, CASE
+    WHEN generated_text = 'yes' THEN CASE WHEN answer_score >= 0 THEN answer_score ELSE answer_score + 1 END
+    WHEN generated_text = 'no' THEN CAST(0.00001 AS DOUBLE) * CASE WHEN answer_score > 0 THEN 1 - answer_score ELSE -answer_score END
+    ELSE 0.0 END AS score FROM a)
 {_SQL_TOP10}""", "F7b")
 def q_rerank_score3(spark, sf_dir):
     a = _llm_answers(spark, sf_dir)
@@ -159,10 +159,10 @@ def q_rerank_score3(spark, sf_dir):
 
 
 @register("rerank_score2", f"""WITH {_SQL_LLM},
-p AS (SELECT *, CASE generated_text WHEN 'yes' THEN 1.0 ELSE -1.0 END * answer_score AS p0 FROM a),
-r AS (SELECT query_id, candidate_id,
-             CASE generated_text WHEN 'yes' THEN 1.0 ELSE 0.00001 END
-             * CASE WHEN p0 > 0 THEN p0 ELSE 1 + p0 END AS score FROM p)
+r AS (SELECT query_id, candidate_id, CASE
+    WHEN generated_text = 'yes' THEN CASE WHEN answer_score > 0 THEN answer_score ELSE answer_score + 1 END
+    ELSE CAST(0.00001 AS DOUBLE) * CASE WHEN answer_score >= 0 THEN 1 - answer_score ELSE -answer_score END
+    END AS score FROM a)
 {_SQL_TOP10}""", "F7c")
 def q_rerank_score2(spark, sf_dir):
     a = _llm_answers(spark, sf_dir)

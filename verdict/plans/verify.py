@@ -75,4 +75,4 @@ def verify_claims(embeddings: DataFrame, documents: DataFrame, images: DataFrame
     preds = [F.when(need[p], path_label("q16", "c16", i)).alias(p) for i, p in enumerate(PATHS)]
     ev = ev.select("query_id", "pos", *preds)
     ev = ev.withColumn("final", fold_paths(*PATHS))
-    return claim_verdict(ev, claim="query_id", position="pos", verdict="final")
+    return claim_verdict(ev, claim="query_id", position="pos", verdict="final", claims=tq)

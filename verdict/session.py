@@ -13,22 +13,24 @@ TABLES = (
 ).split()
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app: str = "verdict", driver_memory: str = "16g") -> SparkSession:
-    """Session tuned for this engine; on a cluster pass master=None and let
-    the launcher decide. The UI stays off: no server is opened."""
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
+                  app: str = "verdict", driver_memory: str | None = None) -> SparkSession:
+    """Session for this engine. Master, shuffle partitions and driver memory
+    are the launcher's unless given. The UI stays off: no server is opened."""
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-         .config("spark.sql.adaptive.enabled", "true")
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
+    b = (b.config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.driver.memory", driver_memory))
+         .config("spark.ui.showConsoleProgress", "false"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -36,15 +38,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster in
-    ``spark.checkpoint.dir``. Only when it is unset (local tests) is a scratch
-    folder created and registered."""
+    ``spark.checkpoint.dir``; where it is unset, a folder of the warehouse,
+    which executors share as well."""
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="verdict-ckpt-")
+        conf = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 

@@ -50,21 +50,19 @@ def read_qrels(spark: SparkSession, path: str, level: str = "RELEVANCY") -> Data
                      (F.col(level) == 1).alias("positive"))
 
 
-def read_passages(spark: SparkSession, path: str, max_size: int | None = None) -> DataFrame:
-    """S9 + P14 + T6: passages keyed ``claim-doc-paragraph`` with trimmed
-    text; an optional exact cap in key order."""
+def read_passages(spark: SparkSession, path: str) -> DataFrame:
+    """S9 + P14: passages keyed ``claim-doc-paragraph`` with trimmed text."""
     schema = T.StructType([T.StructField("claim_id", T.LongType()),
                            T.StructField("relevant_document_id", T.LongType()),
                            T.StructField("paragraph_id", T.LongType()),
                            T.StructField("paragraph", T.StringType())])
     df = spark.read.schema(schema).option("header", True).option("multiLine", True) \
         .option("escape", '"').csv(path)
-    out = df.select(F.concat_ws("-", "claim_id", "relevant_document_id", "paragraph_id").alias("key"),
-                    F.regexp_replace("paragraph", r"^\s+|\s+$", "").alias("text"))
-    return out.orderBy("key").limit(max_size) if max_size is not None else out
+    return df.select(F.concat_ws("-", "claim_id", "relevant_document_id", "paragraph_id").alias("key"),
+                     F.regexp_replace("paragraph", r"^\s+|\s+$", "").alias("text"))
 
 
-def list_images(spark: SparkSession, folder: str, glob: str = "*.{jpg,jpeg,png}") -> DataFrame:
+def list_images(spark: SparkSession, folder: str, glob: str = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG]}") -> DataFrame:
     """Image listing; only the path is selected, so the binary
     content column is pruned from the scan."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
