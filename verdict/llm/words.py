@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 _U = np.uint64
 CHUNK_BYTES = 1 << 20   # bytes hashed at a time
-SLICE_BYTES = 4 << 20   # text bytes of one slice of a batch (a longer text is a slice of its own)
+SLICE_BYTES = 1 << 20   # text bytes of one slice of a batch (a longer text is a slice of its own)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
