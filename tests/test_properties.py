@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from verdict.functions.answers import generated_token_prob, group_answer
+from verdict.operators import langid
 from verdict.operators.ensemble import grid_search
 from verdict.operators.lexical import lexical_topk
 from verdict.operators.topk import round_half_away, vector_topk
@@ -165,3 +167,37 @@ def test_topk_empty_sides(spark):
     c = df.select(F.col("id").alias("corpus_id"), "embedding")
     noq = spark.createDataFrame([], "query_id long, embedding array<float>")
     assert vector_topk(noq, c, 3, q_id="query_id", c_id="corpus_id").count() == 0
+
+
+def test_topk_leaves_out_null_vectors_and_rejects_other_widths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, [None, 1.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q, c = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "corpus_id")
+    got = vector_topk(q, c, 3, q_id="query_id", c_id="corpus_id", exclude_self=True).collect()
+    assert sorted((r.query_id, r.corpus_id) for r in got) == [(0, 1), (1, 0)]
+    odd = spark.createDataFrame([(4, [1.0, 0.0, 0.0])], "corpus_id long, embedding array<float>")
+    with pytest.raises(Exception, match="vectors of different widths"):
+        vector_topk(q, c.unionByName(odd), 3, q_id="query_id", c_id="corpus_id",
+                    q_block_rows=100, c_block_rows=100).collect()
+
+
+def test_answer_scores_take_the_whole_vocabulary(spark):
+    width = 32_000
+    df = spark.range(20).select("id", F.transform(F.sequence(F.lit(1), F.lit(width)),
+                                                  lambda i: (F.pmod(i * 7919 + F.col("id"), 1000) / 100.0)).alias("z"))
+    got = df.select("id", generated_token_prob(F.col("z")).alias("g"),
+                    group_answer(F.col("z"), {"yes": [1, 2], "no": [3]}, whole=True, other="NEI").alias("a")).collect()
+    for r in got:
+        z = np.array([(i * 7919 + r.id) % 1000 / 100.0 for i in range(1, width + 1)])
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.g.token == int(z.argmax()) and math.isclose(r.g.prob, p.max(), rel_tol=1e-9)
+        best = max({"yes": p[0] + p[1], "no": p[2], "NEI": 1 - p[0] - p[1] - p[2]}.items(), key=lambda x: x[1])
+        assert r.a.label == best[0] and math.isclose(r.a.score, best[1], rel_tol=1e-9)
+
+
+def test_blank_text_has_no_language(spark):
+    d = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et      le chien", "fr"), (3, " \n\t    ", "fr")],
+                              "doc_id long, text string, lang string")
+    model, totals = langid.train(d, id_col="doc_id", text_col="text", lang_col="lang")
+    got = {r.doc_id: r.lang_pred for r in langid.detect(d, model, totals, id_col="doc_id", text_col="text").collect()}
+    assert got == {1: "en", 2: "fr", 3: "unknown"}

@@ -9,15 +9,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _softmax_sel(logits: Column, positions: list[int]) -> list[Column]:
-    """Softmax restricted to the given 1-based token positions."""
-    zs = [F.element_at(logits, p).cast("double") for p in positions]
-    m = F.greatest(*zs) if len(zs) > 1 else zs[0]
-    ex = [F.exp(z - m) for z in zs]
-    tot = ex[0]
-    for e in ex[1:]:
-        tot = tot + e
-    return [e / tot for e in ex]
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _weights(logits: Column) -> Column:
+    """exp(z - max z) for a whole logit array, in double."""
+    return _let(F.struct(logits.alias("z"), F.array_max(logits).cast("double").alias("m")),
+                lambda s: F.transform(s["z"], lambda z: F.exp(z.cast("double") - s["m"])))
+
+
+def _with_total(weights: Column, body) -> Column:
+    """``body(struct(w, t))`` with the weights and their sum."""
+    return _let(weights, lambda w: _let(
+        F.struct(w.alias("w"), F.aggregate(w, F.lit(0.0), lambda a, v: a + v).alias("t")), body))
 
 
 def _pick(labels: list[str], scores: list[Column]) -> Column:
@@ -29,40 +35,34 @@ def _pick(labels: list[str], scores: list[Column]) -> Column:
     return F.struct(lab.alias("label"), best.alias("score"))
 
 
-def group_answer(logits: Column, groups: dict[str, list[int]], *, vocab: int | None = None,
+def group_answer(logits: Column, groups: dict[str, list[int]], *, whole: bool = False,
                  other: str | None = None) -> Column:
-    """F3/F5 (``vocab=None``): softmax over the listed answer tokens only,
-    summed per answer group; F4a/F4b (``vocab`` = vocabulary size): softmax
-    over the whole vocabulary, summed per group, plus ``other = 1 - sum``
-    when ``other`` names it. Returns ``struct(label, score)`` of the
+    """softmax over the listed answer tokens only, summed per answer
+    group; F4a/F4b (``whole``): softmax over the whole array, whatever its
+    length, summed per group, plus ``other = 1 - sum`` when ``other`` names
+    it. Positions are 1-based. Returns ``struct(label, score)`` of the
     largest group."""
-    positions = [p for ps in groups.values() for p in ps]
-    universe = list(range(1, vocab + 1)) if vocab else positions
-    probs = dict(zip(universe, _softmax_sel(logits, universe)))
-    sums = []
-    for ps in groups.values():
-        s = probs[ps[0]]
-        for p in ps[1:]:
-            s = s + probs[p]
-        sums.append(s)
-    labels = list(groups)
-    if other is not None:
-        tot = sums[0]
-        for s in sums[1:]:
-            tot = tot + s
-        sums.append(F.lit(1.0) - tot)
-        labels.append(other)
-    return _pick(labels, sums)
-
-
-def generated_token_prob(logits: Column, vocab: int) -> Column:
+    places = [p for ps in groups.values() for p in ps]
+    at = {p: p if whole else i + 1 for i, p in enumerate(places)}
+    taken = logits if whole else F.array(*[F.element_at(logits, p) for p in places])
+
+    def answer(s: Column) -> Column:
+        sums = [sum((F.element_at(s["w"], at[p]) for p in ps[1:]), F.element_at(s["w"], at[ps[0]])) / s["t"]
+                for ps in groups.values()]
+        rest = [F.lit(1.0) - sum(sums[1:], sums[0])] if other is not None else []
+        return F.array(*sums, *rest)
+
+    labels = [*groups, *([other] if other is not None else [])]
+    return _let(_with_total(_weights(taken), answer),
+                lambda a: _pick(labels, [F.element_at(a, i + 1) for i in range(len(labels))]))
+
+
+def generated_token_prob(logits: Column) -> Column:
     """greedy token (first argmax, 0-based) and its probability under a
-    full-vocabulary softmax."""
-    probs = _softmax_sel(logits, list(range(1, vocab + 1)))
-    arr = F.array(*probs)
-    zs = F.array(*[F.element_at(logits, p).cast("double") for p in range(1, vocab + 1)])
-    tok = (F.array_position(zs, F.array_max(zs)) - 1).cast("int")
-    return F.struct(tok.alias("token"), F.element_at(arr, tok + 1).alias("prob"))
+    softmax over the whole array."""
+    tok = (F.array_position(logits, F.array_max(logits)) - 1).cast("int")
+    return F.struct(tok.alias("token"),
+                    _with_total(_weights(logits), lambda s: F.array_max(s["w"]) / s["t"]).alias("prob"))
 
 
 def rerank_yes_flag(answer: Column, first_stage: Column) -> Column:

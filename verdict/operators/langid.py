@@ -4,7 +4,8 @@ Model: character-trigram counts per language from a labelled table.
 Score of a text for a language that shares at least one trigram with it:
 sum_t n(t) * ln((c(t, lang) + 1) / (N_lang + V)), add-one smoothing over the
 trigram vocabulary V; the text gets the best-scoring language (ties by
-language code), a text without trigrams gets ``unknown``. The reported
+language code), a text without trigrams, such as a
+blank one, gets ``unknown``. The reported
 score is the mean log-probability per trigram, rounded to 6.
 
 Plan: trigrams come from one linear regex pass per text. The model counts
@@ -13,7 +14,7 @@ so only the small model is shuffled; it is checkpointed once because it
 feeds both the vocabulary size and the scoring join. Scoring counts trigrams
 per document (combined map side) and joins the model on the trigram.
 Trigram totals per document and per language need no trigram pass at all:
-a text of L code points has max(L - 2, 0) trigrams.
+a stripped text of L code points has max(L - 2, 0) trigrams.
 """
 
 from __future__ import annotations
@@ -25,13 +26,18 @@ from ..functions.text import char_ngrams
 from ..session import cut_lineage
 
 
+def stripped(text_col: str):
+    """The lower-cased text without white space at its ends."""
+    return F.btrim(F.lower(F.col(text_col)), F.lit(" \t\n\x0b\f\r"))
+
+
 def n_trigrams(text_col: str):
-    return F.greatest(F.length(F.lower(F.col(text_col))) - 2, F.lit(0)).cast("long")
+    return F.greatest(F.length(stripped(text_col)) - 2, F.lit(0)).cast("long")
 
 
 def trigram_counts(df: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
     keep = keep or []
-    g = df.select(id_col, *keep, F.explode(char_ngrams(F.lower(F.col(text_col)), 3)).alias("tri"))
+    g = df.select(id_col, *keep, F.explode(char_ngrams(stripped(text_col), 3)).alias("tri"))
     return g.groupBy(id_col, *keep, "tri").agg(F.count("*").alias("n"))
 
 
@@ -46,7 +52,7 @@ def train(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str,
         # combine map side, so only the small model is shuffled, not the
         # per-document counts
         ex = labelled.select(F.col(lang_col).alias("lang"),
-                             F.explode(char_ngrams(F.lower(F.col(text_col)), 3)).alias("tri"))
+                             F.explode(char_ngrams(stripped(text_col), 3)).alias("tri"))
         model = ex.groupBy("tri", "lang").agg(F.count("*").alias("c"))
     # the model (one row per trigram and language, bounded by the trigram
     # vocabulary) feeds the vocabulary size and the scoring join: materialise

@@ -62,7 +62,10 @@ def round_half_away(x: np.ndarray, decimals: int) -> np.ndarray:
 def _stack(col: pd.Series) -> np.ndarray:
     if len(col) == 0:
         return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col.values])
+    widths = col.map(len)
+    if widths.nunique() > 1:
+        raise ValueError(f"vectors of different widths: {sorted(set(widths))[:5]}")
+    return np.concatenate(col.values).astype(np.float64).reshape(len(col), -1)
 
 
 def _normalise(m: np.ndarray, eps: float) -> np.ndarray:
@@ -197,7 +200,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     vectors are cheaper to join back after the global cut.
     ``quantize="float16"`` rounds both sides to half precision before scoring
     (F13, the reference's storage precision); by default vectors are scored
-    as stored (float) in double.
+    as stored (float) in double. Null vectors and vectors with null components
+    take no part; vectors of different widths are an error.
     """
     spark = queries.sparkSession
     ship_package(spark)
@@ -216,6 +220,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
     )
     out_schema = T.StructType(_OUT.fields + [q.schema[t] for t in qp.values()]
                               + [c.schema[t] for t in cp.values()])
+    # a null vector, or one with a null component, has no similarity to anything
+    q, c = (side.filter(F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull())) for side, v in ((q, "_qv"), (c, "_cv")))
     # sizes and vector width in one cheap aggregate per side; a block holds
     # at most ``block_bytes`` of vectors unless the row limits are given
     sides = (q.select(F.lit(0).alias("side"), F.size("_qv").alias("d"))
@@ -240,10 +246,10 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, *,
              .applyInPandas(_cell_topk(k, dedup_scores, exclude_self, decimals, eps, out_schema,
                                        list(qp.values()), list(cp.values()), quantize), out_schema))
 
-    if dedup_scores:
-        wd = Window.partitionBy("_qid", "_grp", "score").orderBy("_ord", "_cid")
-        cells = cells.withColumn("_dr", F.row_number().over(wd)).filter("_dr = 1").drop("_dr")
     w = Window.partitionBy("_qid", "_grp").orderBy(F.desc("score"), "_ord", "_cid")
+    if dedup_scores:
+        # equal scores are neighbours in ranking order: one shuffle for both windows
+        cells = cells.withColumn("_before", F.lag("score").over(w)).filter("_before is null or _before <> score").drop("_before")
     ranked = cells.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
     cols = [F.col("_qid").alias(q_id)]

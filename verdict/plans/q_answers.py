@@ -1,6 +1,6 @@
 """Answer-scoring and re-rank keys.
 
-Token logits = ``slice(embedding, 1, 8)``: tokens 1-2 spell yes, 3-4 no,
+Token logits = the whole ``embedding``: tokens 1-2 spell yes, 3-4 no,
 5-6 none. Answers for re-ranking come from ``events``: per user (query) and
 event (candidate), view / click -> yes, error -> no, anything else its
 type; the answer score is ``least(value / 500, 1)``; the first-stage score is
@@ -18,7 +18,10 @@ from ..operators.ireval import answer_format_rate
 from .registry import Tables, register
 
 YES, NO, NONE = [1, 2], [3, 4], [5, 6]
-VOCAB = 8
+#: the embeddings with the softmax weights ``w`` of the whole vector and their sum ``t``
+_WHOLE = """(SELECT vec_id, embedding, w, list_sum(w) AS t FROM (
+  SELECT vec_id, embedding,
+         list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE)) AS w FROM embeddings))"""
 
 
 def _z(i: int) -> str:
@@ -31,9 +34,9 @@ def _sql_softmax(positions: list[int]) -> dict[int, str]:
     return {p: f"(exp({_z(p)} - {m}) / ({tot}))" for p in positions}
 
 
-def _sql_group(groups: dict[str, list[int]], vocab: int | None = None, other: str | None = None) -> tuple[str, str]:
+def _sql_group(groups: dict[str, list[int]], whole: bool = False, other: str | None = None) -> tuple[str, str]:
     pos = [p for ps in groups.values() for p in ps]
-    pr = _sql_softmax(list(range(1, vocab + 1)) if vocab else pos)
+    pr = {p: f"(w[{p}] / t)" for p in pos} if whole else _sql_softmax(pos)
     sums = ["(" + " + ".join(pr[p] for p in ps) + ")" for ps in groups.values()]
     labels = list(groups)
     if other:
@@ -66,16 +69,16 @@ def q_answer_score_yn(spark, sf_dir):
                     F.round("a.score", 6).alias("score"))
 
 
-_YNO_L, _YNO_S = _sql_group({"yes": YES, "no": NO}, vocab=VOCAB)
-_YNOB_L, _YNOB_S = _sql_group({"supported": YES, "refuted": NO}, vocab=VOCAB, other="NEI")
+_YNO_L, _YNO_S = _sql_group({"yes": YES, "no": NO}, whole=True)
+_YNOB_L, _YNOB_S = _sql_group({"supported": YES, "refuted": NO}, whole=True, other="NEI")
 
 
 @register("answer_score_yno", f"""SELECT vec_id, {_YNO_L} AS label_4a, round({_YNO_S}, 6) AS score_4a,
-  {_YNOB_L} AS label_4b, round({_YNOB_S}, 6) AS score_4b FROM embeddings""", "F4a F4b")
+  {_YNOB_L} AS label_4b, round({_YNOB_S}, 6) AS score_4b FROM {_WHOLE}""", "F4a F4b")
 def q_answer_score_yno(spark, sf_dir):
     e = Tables(spark, sf_dir).embeddings
-    a = group_answer(F.col("embedding"), {"yes": YES, "no": NO}, vocab=VOCAB)
-    b = group_answer(F.col("embedding"), {"supported": YES, "refuted": NO}, vocab=VOCAB, other="NEI")
+    a = group_answer(F.col("embedding"), {"yes": YES, "no": NO}, whole=True)
+    b = group_answer(F.col("embedding"), {"supported": YES, "refuted": NO}, whole=True, other="NEI")
     return e.select("vec_id", a["label"].alias("label_4a"), F.round(a["score"], 6).alias("score_4a"),
                     b["label"].alias("label_4b"), F.round(b["score"], 6).alias("score_4b"))
 
@@ -90,17 +93,11 @@ def q_answer_score_ynn(spark, sf_dir):
     return a.select("vec_id", F.col("a.label").alias("label"), F.round("a.score", 6).alias("score"))
 
 
-_TOK = _sql_softmax(list(range(1, VOCAB + 1)))
-_ZS = "[" + ", ".join(_z(p) for p in range(1, VOCAB + 1)) + "]"
-
-
-@register("answer_score_token", f"""SELECT vec_id, token, round(prob, 6) AS prob FROM (
-  SELECT vec_id, (list_position({_ZS}, list_max({_ZS})) - 1)::INTEGER AS token,
-         [{', '.join(_TOK[p] for p in range(1, VOCAB + 1))}][list_position({_ZS}, list_max({_ZS}))] AS prob
-  FROM embeddings)""", "F6 T5")
+@register("answer_score_token", f"""SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS token,
+  round(w[list_position(embedding, list_max(embedding))] / t, 6) AS prob FROM {_WHOLE}""", "F6 T5")
 def q_answer_score_token(spark, sf_dir):
     e = Tables(spark, sf_dir).embeddings
-    g = generated_token_prob(F.col("embedding"), VOCAB)
+    g = generated_token_prob(F.col("embedding"))
     return e.select("vec_id", g["token"].alias("token"), F.round(g["prob"], 6).alias("prob"))
 
 

@@ -340,9 +340,11 @@ def evidence_pool(spark, sf_dir, evidence_type: str):
 
 def _candidate_content(spark, sf_dir, evidence_type):
     pool = evidence_pool(spark, sf_dir, evidence_type)
-    docs = Tables(spark, sf_dir).documents.select("doc_id", "text").filter(F.length("text") > 0)  # P20
-    h = hydrate(pool, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["doc_id"])
-    return h.select("query_id", "rank", "doc_id", F.length("text").cast("long").alias("content_chars"))
+    # P20; only the length goes into the join, not the text
+    docs = (Tables(spark, sf_dir).documents.select("doc_id", F.length("text").cast("long").alias("content_chars"))
+            .filter("content_chars > 0"))
+    h = hydrate(pool, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["content_chars"])
+    return h.select("query_id", "rank", "doc_id", "content_chars")
 
 
 @register("candidate_content", f"""WITH {sql_scores()},

@@ -25,7 +25,8 @@ def q_lexical_pair_score(spark, sf_dir):
                         doc_id="doc_id", doc_text="text")
 
 
-_TRI = "list_transform(range(1, length(lower(text)) - 1), lambda i: substr(lower(text), i, 3))"
+_CLEAN = "trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_TRI = f"list_transform(range(1, length({_CLEAN}) - 1), lambda i: substr({_CLEAN}, i, 3))"
 
 
 @register("detect_language", f"""WITH tc AS (SELECT doc_id, tri, count(*) AS n FROM (
