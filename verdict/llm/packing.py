@@ -210,7 +210,7 @@ def pack(pieces: DataFrame, capacity: int, salts: int = 256) -> DataFrame:
     salted = pieces.withColumn("salt", F.expr(f"pmod(xxhash64(doc_id, piece, start), {salts})"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
-    for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``capacity`` rows
+    for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).take(capacity):  # one row a length
         counts[r["length"]] = r["n"]
     table = _places(plan_sequences(counts, capacity), capacity)
     before = sizes.select("length", "salt", (F.sum("n").over(

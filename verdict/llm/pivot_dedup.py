@@ -162,7 +162,7 @@ def near_duplicate_vectors(rows: DataFrame, id_column: str, vector_column: str,
     n, wide = classes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
     width = (wide or 0) // 8
     wanted = min(most_pivots, max(least_pivots, math.isqrt(n)))
-    picked = [r[0] for r in classes.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()]
+    picked = [r[0] for r in classes.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").take(wanted)]
     indexed = stored(classes.select("class", "label", "n", "vec").mapInArrow(
         _prefixes(stack(picked, "<f8", width), prefix),
         f"class long, label {types['label']}, n long, vec binary, prefix array<int>"), "index")

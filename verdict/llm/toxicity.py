@@ -116,7 +116,7 @@ def learn_lexicon(texts: DataFrame, n_toxic: int, n_clean: int, max_units: int =
             .withColumn("weight", F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("c") + 0.5) / (n_clean + 1)))
             .withColumn("ratio", 2 * (a * F.log(a / ((a + c) * share)) + of_clean))
             .filter((F.col("ratio") >= least_ratio) & (F.col("weight") >= 1.5))
-            .orderBy(F.desc("ratio"), "unit").limit(max_units).select("unit", "weight").collect())
+            .orderBy(F.desc("ratio"), "unit").select("unit", "weight").take(max_units))
     keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], np.array([r[1] for r in rows])[order] if len(rows) else np.zeros(0)
@@ -203,9 +203,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, m
     labels = stored(labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id")
                     .agg(F.max("label").cast("int").alias("label")).withColumn("fold", _fold_of()), "labels")
     first = stored(_bounded(labels.filter("fold < 5"), max_rows).select("doc_id", "label"), "sample")
-    n = {r[0]: r[1] for r in first.groupBy("label").count().collect()}
+    n_toxic, n_clean = first.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     # the sample is bounded by max_rows, so it is sent to the tasks that read the texts
-    keys, weights = learn_lexicon(docs.join(F.broadcast(first), "doc_id"), n.get(1, 0), n.get(0, 0), max_units)
+    keys, weights = learn_lexicon(docs.join(F.broadcast(first), "doc_id"), n_toxic, n_clean, max_units)
     rows = stored(docs.mapInArrow(_features(keys, weights), f"doc_id {kind}, features array<double>"), "features")
     known = rows.join(labels, "doc_id").select(array_to_vector("features").alias("features"), "label", "fold", "doc_id")
     fit = stored(_bounded(known.filter("fold between 5 and 7"), max_rows).select("features", "label"), "fit")

@@ -152,8 +152,8 @@ def top_k(rows: DataFrame, id_column: str, vector_column: str, is_query, k: int
     width = (bytes_wide or 0) // 4
     # one row a component; the sample is bounded by its parameter
     ends = {r[0]: r[1:] for r in classes.select("vec").mapInArrow(_components, "at long, least long, most long")
-            .groupBy("at").agg(F.min("least"), F.max("most")).collect()}
-    picked = [r[0] for r in classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample).collect()]
+            .groupBy("at").agg(F.min("least"), F.max("most")).take(width)}
+    picked = [r[0] for r in classes.select("vec").orderBy(F.xxhash64("vec"), "vec").take(sample)]
     # components that shorter vectors lack count as zeros
     short = [0, 0] if any(len(v) < 4 * width for v in picked) or classes.filter(
         F.octet_length("vec") < 4 * width).limit(1).count() else None
