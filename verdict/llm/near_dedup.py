@@ -259,15 +259,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sigmas:
     star = members.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
     tried = stored(_close_enough(star, nodes, percent, sigmas), "pairs")
     comp = components(stored(_confirmed(tried, nodes, docs, width, percent), "links"), stored=stored)
-    for again in range(nearest_rounds + 1):
-        last = again == nearest_rounds
-        more = stored(_left_over(members, comp, nodes, percent, sigmas, tile, nearest=not last).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            if last:
-                break
+    settled = False     # a round of nearest pairs that joins nothing would find the same ones again
+    for nearest in [True] * nearest_rounds + [False]:
+        if nearest and settled:
+            continue
+        more = stored(_left_over(members, comp, nodes, percent, sigmas, tile, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        settled = more.isEmpty()
+        if settled:
             continue
         links = stored(_confirmed(more, nodes, docs, width, percent), "links")
-        if not links.isEmpty():
+        settled = links.isEmpty()
+        if not settled:
             comp = components(comp.toDF("a", "b").unionByName(links), stored=stored)
         tried = tried.unionByName(more)
     named = (nodes.select("set_id", "min_doc").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
