@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import release, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -41,6 +41,7 @@ def components(edges: DataFrame, max_rounds: int = 60, stored=stored) -> DataFra
         if now == before:
             break
         before = now
+        release(cur.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return (cur.select(F.col("u").alias("node"), F.col("v").alias("component"))

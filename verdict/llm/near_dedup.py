@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import Scratch
+from .store import Scratch, release
 from .words import Words, constants, mix64, runs, slices
 
 _U = np.uint64
@@ -264,6 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sigmas:
         if nearest and settled:
             continue
         more = stored(_left_over(members, comp, nodes, percent, sigmas, tile, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        release(docs.sparkSession)
         settled = more.isEmpty()
         if settled:
             continue

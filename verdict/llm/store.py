@@ -27,6 +27,12 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the plans, broadcasts and shuffle files of what a loop of the
+    driver has finished; Spark does so when the driver's garbage is collected."""
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Intermediate tables of one operator, which go when its result is stored."""
 
