@@ -37,3 +37,24 @@ def test_stream_resume(spark, scratch):
     q = start_enrichment_stream(spark, src, out, captioner, st, name="t1")
     q.awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_repeated_ids_are_one_claim(spark, scratch):
+    out = os.path.join(scratch, "out")
+    claims = spark.createDataFrame([(1, "b", "1.jpg"), (1, "a", "1.jpg"), (None, "x", "x.jpg"), (4, "d", "4.jpg")],
+                                   "id long, text string, image string")
+    assert enrich_pending(claims, out, captioner) == 2
+    assert {r.id: r.enriched for r in spark.read.parquet(out).collect()} == {1: "a. cap1", 4: "d"}
+
+
+def test_stream_checkpoint_is_found_by_the_next_application(spark, scratch):
+    from pyspark.sql import types as T
+    src, out, folder = (os.path.join(scratch, x) for x in ("src", "out", "ckpt"))
+    schema = "id long, text string, image string"
+    spark.createDataFrame([(1, "a", "1.jpg")], schema).write.parquet(src)
+    for _ in range(2):     # Spark gives every application a folder of its own under the named one
+        spark.sparkContext.setCheckpointDir(folder)
+        q = start_enrichment_stream(spark, src, out, captioner, T._parse_datatype_string(schema), name="t2")
+        q.awaitTermination()
+    assert os.path.isdir(os.path.join(folder, "t2-stream", "commits"))
+    assert [x for x in os.listdir(os.path.join(folder, "t2-stream", "commits")) if not x.startswith(".")] == ["0"]

@@ -23,6 +23,14 @@ def confusion(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> Dat
             .agg(F.count("*").alias("n")))
 
 
+def full_matrix(conf: DataFrame, classes: list[str]) -> DataFrame:
+    """A15 with the empty cells: every (truth, pred) of ``classes`` has its row,
+    0 where nothing falls; other cells of ``conf`` stay."""
+    cells = conf.sparkSession.createDataFrame([(t, p) for t in classes for p in classes], "truth string, pred string")
+    return (cells.join(conf, ["truth", "pred"], "full")
+            .select("truth", "pred", F.coalesce("n", F.lit(0)).alias("n")))
+
+
 def class_counts(conf: DataFrame, by: list[str] | None = None,
                  classes: DataFrame | None = None) -> DataFrame:
     """Per class: tp, support (true count), predicted count. The class

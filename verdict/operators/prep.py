@@ -32,12 +32,14 @@ PROMPT_MULTIMODAL = "<image>\nUSER:{question}\n claim:{claim}\n text evidence:{e
 PROMPT_IMAGE = "{question}\n claim:{claim}"
 PROMPT_VERIFY_TEXT = "{question}\n ### claim:{claim}\n ### evidence:{evidence} ### Answer:"
 PROMPT_RETRIEVE_TEXT = "{question}\n ### query:{claim}\n ### corpus:{evidence} ### Answer:"
+PROMPT_TEXT_QUERY = "{question}\n text query:{claim}"
 PROMPTS = {
     "fact_check": PROMPT_FACT_CHECK,
     "multimodal": PROMPT_MULTIMODAL,
     "image": PROMPT_IMAGE,
     "verify_text": PROMPT_VERIFY_TEXT,
     "retrieve_text": PROMPT_RETRIEVE_TEXT,
+    "text_query": PROMPT_TEXT_QUERY,
 }
 # ---------------------------------------------------------------------------
 
@@ -75,7 +77,10 @@ def attach_paths(claims: DataFrame, listing: DataFrame, *, id_col: str = "id",
     """``claim_image`` / ``evidence_image`` = the listed path named
     ``{id}_claim.jpg`` / ``{id}_evidence.jpg`` if it exists, else null. The
     listing is reduced to one row per id (max path per role) and left-joined
-    once; no per-row filesystem probe."""
+    once; no per-row filesystem probe. Columns of these names that the claims
+    have already are kept as ``*_original``."""
+    for role in ("claim_image", "evidence_image"):
+        claims = claims.withColumnRenamed(role, f"{role}_original")
     name = F.element_at(F.split(F.col(path_col), "/"), -1)
     m = F.regexp_extract(name, r"^(\d+)_(claim|evidence)\.jpg$", 0)
     lst = listing.select(F.col(path_col).alias("_p"), name.alias("_n")).filter(m != "")

@@ -15,13 +15,21 @@ from ..functions.labels import NEI, REFUTE, SUPPORT
 
 
 def majority_vote(answers: DataFrame, *, claim: str, label: str, score: str,
-                  out: str = "final_label") -> DataFrame:
+                  out: str = "final_label", claims: DataFrame | None = None,
+                  nei_label: str = "NEI") -> DataFrame:
     """The most frequent label; ties by the highest single score, then
-    by label ascending. Output ``claim, out, votes, max_score``."""
+    by label ascending. Output ``claim, out, votes, max_score``. ``claims``: a table
+    with the claim column; its claims without answers get ``nei_label``, no votes
+    and a null score."""
     g = answers.groupBy(claim, label).agg(F.count("*").alias("votes"), F.max(score).alias("max_score"))
     key = F.struct(F.negative("votes"), F.negative("max_score"), F.col(label))
     best = F.min_by(F.struct(F.col(label).alias(out), "votes", "max_score"), key)
-    return g.groupBy(claim).agg(best.alias("b")).select(claim, "b.*")
+    won = g.groupBy(claim).agg(best.alias("b")).select(claim, "b.*")
+    if claims is None:
+        return won
+    return (claims.select(claim).distinct().join(won, claim, "left")
+            .select(claim, F.coalesce(out, F.lit(nei_label)).alias(out),
+                    F.coalesce("votes", F.lit(0)).alias("votes"), "max_score"))
 
 
 def claim_verdict(evidence: DataFrame, *, claim: str, position: str, verdict: str,
@@ -55,15 +63,17 @@ def claim_verdict(evidence: DataFrame, *, claim: str, position: str, verdict: st
 
 
 def two_level_verdict(level1: DataFrame, level2: DataFrame, *, claim: str, label: str,
-                      score: str, nei_label: str = "NEI") -> DataFrame:
+                      score: str, nei_label: str = "NEI",
+                      claims: DataFrame | None = None) -> DataFrame:
     """A7 vote over level-1 answers; claims voted ``NEI`` are final
     there; the rest take the A6 vote over their level-2 answers (U3 union of
-    the disjoint halves)."""
-    v1 = majority_vote(level1, claim=claim, label=label, score=score)
+    the disjoint halves). Claims that go on without a level-2 answer, and those of
+    ``claims`` without a level-1 answer, get ``NEI`` at that level."""
+    v1 = majority_vote(level1, claim=claim, label=label, score=score, claims=claims, nei_label=nei_label)
     nei = v1.filter(F.col("final_label") == nei_label).select(claim, "final_label", F.lit(1).alias("level"))
     go_on = v1.filter(F.col("final_label") != nei_label).select(claim)
     l2 = level2.join(go_on, claim, "left_semi")
-    v2 = majority_vote(l2, claim=claim, label=label, score=score) \
+    v2 = majority_vote(l2, claim=claim, label=label, score=score, claims=go_on, nei_label=nei_label) \
         .select(claim, "final_label", F.lit(2).alias("level"))
     return nei.unionByName(v2)
 

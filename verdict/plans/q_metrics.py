@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import category_name
 from ..functions.vectors import argmax, dims, softmax
 from ..operators.metrics import (category_accuracy, class_counts, confusion, count_windows,
-                                 cross_entropy, report, weighted_accuracy, weighted_f1_from_counts,
+                                 cross_entropy, full_matrix, report, weighted_accuracy, weighted_f1_from_counts,
                                  best_so_far)
 from ..schemas import CATEGORIES, PATHS, REFUTE_WEIGHT
 from .bindings import neighbours, sql_neighbours
@@ -70,9 +70,11 @@ def _spine(spark):
 
 
 @register("confusion_matrix", f"""WITH {sql_neighbours(1)}, {_SQL_CAT_D}
-SELECT y AS truth, p AS pred, count(*) AS n FROM d GROUP BY y, p""", "A15")
+, spine AS (SELECT unnest([{", ".join(f"'{c}'" for c in CATEGORIES)}]) AS cls)
+SELECT t.cls AS truth, p.cls AS pred, count(d.y) AS n
+FROM spine t JOIN spine p ON true LEFT JOIN d ON d.y = t.cls AND d.p = p.cls GROUP BY t.cls, p.cls""", "A15")
 def q_confusion_matrix(spark, sf_dir):
-    return confusion(_cat5(spark, sf_dir), "y", "p")
+    return full_matrix(confusion(_cat5(spark, sf_dir), "y", "p"), CATEGORIES)
 
 
 @register("weighted_accuracy", f"""WITH {sql_neighbours(1)}, {_SQL_CAT_D}

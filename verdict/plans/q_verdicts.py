@@ -60,6 +60,16 @@ def q_four_path_fold(spark, sf_dir):
     return p.withColumn("final", fold_paths("text_text", "text_image", "image_text", "image_image"))
 
 
+# from all claims, so that one without evidence keeps its row
+_SQL_EVERY_CLAIM = """SELECT q.query_id, coalesce(f.verdict, 'not_enough_information') AS verdict,
+       coalesce(f.n_support, 0) AS n_support, coalesce(f.n_refute, 0) AS n_refute, coalesce(f.n_nei, 0) AS n_nei,
+       coalesce(string_agg(ev.pos::VARCHAR, ',' ORDER BY ev.pos) FILTER (WHERE ev.v = f.verdict), '')
+         AS contributing
+FROM (SELECT DISTINCT vec_id AS query_id FROM embeddings) q
+LEFT JOIN f ON f.query_id = q.query_id LEFT JOIN ev ON ev.query_id = q.query_id
+GROUP BY q.query_id, f.verdict, f.n_support, f.n_refute, f.n_nei"""
+
+
 @register("claim_verdict", f"""WITH {sql_neighbours(3, 'list_slice(embedding, 1, 32)', 'tx')},
 {sql_neighbours(2, 'list_slice(embedding, 33, 64)', 'im')},
 ev AS (SELECT query_id, rank AS pos, {_SQL_VERDICT3.format(x='c_label % 3')} AS v FROM tx
@@ -71,11 +81,7 @@ g AS (SELECT query_id, count(*) FILTER (WHERE v = 'support') AS n_support,
 f AS (SELECT *, CASE WHEN n_support = 0 AND n_refute = 0 THEN 'not_enough_information'
                      WHEN n_support = n_refute THEN 'not_enough_information'
                      WHEN n_support > n_refute THEN 'support' ELSE 'refute' END AS verdict FROM g)
-SELECT f.query_id, f.verdict, f.n_support, f.n_refute, f.n_nei,
-       coalesce(string_agg(ev.pos::VARCHAR, ',' ORDER BY ev.pos) FILTER (WHERE ev.v = f.verdict), '')
-         AS contributing
-FROM f JOIN ev ON ev.query_id = f.query_id
-GROUP BY f.query_id, f.verdict, f.n_support, f.n_refute, f.n_nei""", "A8 U2")
+{_SQL_EVERY_CLAIM}""", "A8 U2")
 def q_claim_verdict(spark, sf_dir):
     e = Tables(spark, sf_dir).embeddings
     tx = neighbours(e, 3, dims("embedding", 1, 32)).select("query_id", "rank", "c_label",
@@ -85,7 +91,11 @@ def q_claim_verdict(spark, sf_dir):
     ev = tx.unionByName(im)
     w = Window.partitionBy("query_id").orderBy("modality", "rank")
     ev = ev.withColumn("pos", F.row_number().over(w)).withColumn("v", verdict_of_code(F.col("c_label") % 3))
-    return claim_verdict(ev, claim="query_id", position="pos", verdict="v")
+    return claim_verdict(ev, claim="query_id", position="pos", verdict="v", claims=_claims(e))
+
+
+def _claims(embeddings):
+    return embeddings.select(F.col("vec_id").alias("query_id"))
 
 
 _SQL_VOTE = """SELECT query_id, label AS final_label, votes, max_score FROM (
@@ -96,12 +106,14 @@ WHERE rn = 1"""
 
 @register("majority_vote", f"""WITH {sql_neighbours(5)},
 a AS (SELECT query_id, CASE WHEN c_label % 2 = 0 THEN 'supported' ELSE 'refuted' END AS label, score FROM nn)
-{_SQL_VOTE.format(src='a')}""", "A6 T2")
+, v AS ({_SQL_VOTE.format(src='a')})
+SELECT q.query_id, coalesce(final_label, 'NEI') AS final_label, coalesce(votes, 0) AS votes, max_score
+FROM (SELECT DISTINCT vec_id AS query_id FROM embeddings) q LEFT JOIN v ON v.query_id = q.query_id""", "A6 T2")
 def q_majority_vote(spark, sf_dir):
     e = Tables(spark, sf_dir).embeddings
     a = neighbours(e, 5).select("query_id", F.when(F.col("c_label") % 2 == 0, "supported")
                                 .otherwise("refuted").alias("label"), "score")
-    return majority_vote(a, claim="query_id", label="label", score="score")
+    return majority_vote(a, claim="query_id", label="label", score="score", claims=_claims(e))
 
 
 @register("two_level_verdict", f"""WITH {sql_neighbours(5)},
@@ -110,9 +122,10 @@ v1 AS ({_SQL_VOTE.format(src='l1')}),
 l2 AS (SELECT query_id, CASE WHEN c_label % 2 = 0 THEN 'supported' ELSE 'refuted' END AS label, score
        FROM nn WHERE query_id IN (SELECT query_id FROM v1 WHERE final_label <> 'NEI')),
 v2 AS ({_SQL_VOTE.format(src='l2')})
-SELECT query_id, final_label, 1 AS level FROM v1 WHERE final_label = 'NEI'
-UNION ALL
-SELECT query_id, final_label, 2 AS level FROM v2""", "A7 R7 U3 P19")
+SELECT q.query_id, coalesce(v2.final_label, 'NEI') AS final_label,
+       CASE WHEN v1.final_label <> 'NEI' THEN 2 ELSE 1 END AS level
+FROM (SELECT DISTINCT vec_id AS query_id FROM embeddings) q
+LEFT JOIN v1 ON v1.query_id = q.query_id LEFT JOIN v2 ON v2.query_id = q.query_id""", "A7 R7 U3")
 def q_two_level_verdict(spark, sf_dir):
     e = Tables(spark, sf_dir).embeddings
     # both levels vote over the same evidence: materialise the (k per claim)
@@ -121,7 +134,7 @@ def q_two_level_verdict(spark, sf_dir):
     l1 = nn.select("query_id", F.when(F.col("c_label") % 3 == 1, "NEI").otherwise("yes").alias("label"), "score")
     l2 = nn.select("query_id", F.when(F.col("c_label") % 2 == 0, "supported")
                    .otherwise("refuted").alias("label"), "score")
-    return two_level_verdict(l1, l2, claim="query_id", label="label", score="score")
+    return two_level_verdict(l1, l2, claim="query_id", label="label", score="score", claims=_claims(e))
 
 
 def _sql_path(i: int) -> str:
@@ -164,11 +177,7 @@ g AS (SELECT query_id, count(*) FILTER (WHERE v = 'support') AS n_support,
 f AS (SELECT *, CASE WHEN n_support = 0 AND n_refute = 0 THEN 'not_enough_information'
                      WHEN n_support = n_refute THEN 'not_enough_information'
                      WHEN n_support > n_refute THEN 'support' ELSE 'refute' END AS verdict FROM g)
-SELECT f.query_id, f.verdict, f.n_support, f.n_refute, f.n_nei,
-       coalesce(string_agg(ev.pos::VARCHAR, ',' ORDER BY ev.pos) FILTER (WHERE ev.v = f.verdict), '')
-         AS contributing
-FROM f JOIN ev ON ev.query_id = f.query_id
-GROUP BY f.query_id, f.verdict, f.n_support, f.n_refute, f.n_nei"""
+{_SQL_EVERY_CLAIM}"""
 
 
 @register("verify_claims", _SQL_VERIFY, "R6 R2 R3 J2 J3 F2 P21 F9 A8")

@@ -40,11 +40,18 @@ def enrich_pending(claims: DataFrame, out_path: str,
                    captioner: Callable[[pd.DataFrame], pd.DataFrame]) -> int:
     """One incremental run over ``claims(id, text, image)``: returns the
     number of rows appended. ``captioner`` maps a pandas batch with ``id,
-    image`` to ``id, caption`` (the model hook, X2)."""
+    image`` to ``id, caption`` (the model hook, X2); the text passes it by. Of
+    rows that share an id the least (text, image) counts; rows without an id
+    are left out."""
     spark = claims.sparkSession
-    todo = pending(claims, _done(spark, out_path), "id")
-    caps = batch_score(todo.select("id", "image"), captioner, "id long, caption string")
-    out = todo.join(caps, "id").select(
+    todo = (pending(claims.filter("id is not null"), _done(spark, out_path), "id")
+            .groupBy("id").agg(F.min(F.struct("text", "image")).alias("c")).select("id", "c.*"))
+
+    def with_text(pdf: pd.DataFrame) -> pd.DataFrame:
+        caps = captioner(pdf[["id", "image"]])[["id", "caption"]].drop_duplicates("id")
+        return pdf[["id", "text"]].merge(caps, on="id", how="left")
+
+    out = batch_score(todo, with_text, "id long, text string, caption string").select(
         "id", F.coalesce("caption", F.lit("")).alias("caption"),
         enrich_online(F.col("text"), F.coalesce("caption", F.lit(""))).alias("enriched"))
     out = out.persist()
@@ -57,10 +64,13 @@ def enrich_pending(claims: DataFrame, out_path: str,
 
 def start_enrichment_stream(spark: SparkSession, claims_dir: str, out_path: str,
                             captioner: Callable[[pd.DataFrame], pd.DataFrame],
-                            claim_schema: T.StructType, name: str = "enrichment"):
+                            claim_schema: T.StructType, name: str = "enrichment",
+                            checkpoint: str | None = None):
     """Structured Streaming form of R1 over a folder of parquet claim
-    files. Returns the started query."""
-    ckpt = os.path.join(checkpoint_dir(spark), f"{name}-stream")
+    files. Returns the started query. ``checkpoint``: folder of the stream's
+    progress; by default ``{name}-stream`` beside the folders that Spark makes for
+    each application, so that a restarted application finds it again."""
+    ckpt = checkpoint or os.path.join(os.path.dirname(checkpoint_dir(spark).rstrip("/")), f"{name}-stream")
     stream = spark.readStream.schema(claim_schema).parquet(claims_dir)
 
     def step(batch: DataFrame, _epoch: int) -> None:
