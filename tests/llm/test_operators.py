@@ -263,3 +263,29 @@ def test_warc_round_trip(spark):
     empty = new_path(spark, "archives")
     write_archives(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert read_archives(spark, empty).count() == 0
+
+
+def test_near_duplicates_of_one_large_group(spark):
+    # strays of a group meet in many buckets; without nearest rounds the last round does all the work
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for j in rng.sample(range(200), rng.randint(2, 9)):
+            w[j] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(spark, texts), tile=16, nearest_rounds=0).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}

@@ -125,7 +125,8 @@ def most_different_bits(both, percent: int, sigmas: float, exp=np.exp, sqrt=lamb
 def _sketch_pairs(percent: int, sigmas: float, nearest: bool):
     """Rows sorted by (key, ti, tj): per run the pairs of different components
     whose sketches are close, or only the nearest of each; a run is at most two
-    tiles."""
+    tiles. A pair that shares several buckets comes from the first of its bands
+    only: there it is compared, or was as a pair with the bucket's hub."""
     most = 1 << 16      # beyond, the limit hardly changes and is taken at its end
     limits = most_different_bits(np.r_[1, 1:most, 1e12].astype(float), percent, sigmas).astype(np.uint16)
     limits[most - 1] = limits[most]
@@ -136,6 +137,7 @@ def _sketch_pairs(percent: int, sigmas: float, nearest: bool):
         tile = np.array([r[5] for r in run], np.int64)
         sk = np.array([r[6] for r in run], np.int64).view(np.uint64)
         size = np.array([r[7] for r in run], np.int64)
+        bands = None if nearest else np.array([r[8] for r in run], np.int64)
         left, right = run[0][1], run[0][2]
         a, b = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
         # members of the run's commonest component need no look at each other
@@ -160,6 +162,12 @@ def _sketch_pairs(percent: int, sigmas: float, nearest: bool):
                 q = q[p]
             else:
                 p, q = np.nonzero(d <= SKETCH_BITS)
+                first = [np.zeros(0, bool)]
+                for k in range(0, len(p), 65536):
+                    u, v = bands[x[p[k:k + 65536]]], bands[b[q[k:k + 65536]]]
+                    first.append(u[np.arange(len(u)), (u == v).argmax(1)] == run[0][0])
+                first = np.concatenate(first)
+                p, q = p[first], q[first]
             p, q = node[x[p]], node[b[q]]
             out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
@@ -168,7 +176,7 @@ def _sketch_pairs(percent: int, sigmas: float, nearest: bool):
         held: list[tuple] = []
         found, size = [], 0
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("key", "ti", "tj", "set_id", "component", "tile", "sketch", "size"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("key", "ti", "tj", "set_id", "component", "tile", "sketch", "size", "bands"))):
                 if held and held[0][:3] != r[:3]:
                     found.append(pairs(held))
                     size += len(found[-1])
@@ -231,9 +239,11 @@ def _left_over(members: DataFrame, comp: DataFrame, nodes: DataFrame, percent: i
               .withColumn("tile", F.expr("pmod(xxhash64(set_id), ceil(n / %d))" % tile).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
               .withColumn("ti", F.least("tile", "other")).withColumn("tj", F.greatest("tile", "other"))
-              .join(nodes.select("set_id", "sketch", "size"), "set_id"))
+              .join(nodes.select("set_id", "sketch", "size", *([] if nearest else ["bands"])), "set_id"))
+    if nearest:
+        placed = placed.withColumn("bands", F.lit(None).cast("array<long>"))
     return (placed.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
-            .select("key", "ti", "tj", "set_id", "component", "tile", "sketch", "size")
+            .select("key", "ti", "tj", "set_id", "component", "tile", "sketch", "size", "bands")
             .mapInArrow(_sketch_pairs(percent, sigmas, nearest), "a long, b long").distinct())
 
 
