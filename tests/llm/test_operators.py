@@ -289,3 +289,34 @@ def test_near_duplicates_of_one_large_group(spark):
                 root[y] = x
     got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(spark, texts), tile=16, nearest_rounds=0).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+
+
+def grouped_vectors(n, seed=11, width=64):
+    """Rows in order: a group of near copies of a third of all, groups of 300
+    (a fifth of all), isolated pairs (a fifth), and the rest alone."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    part = np.zeros(n, int)
+    third, fifth = n // 3, n // 5
+    groups = [(0, third, 1)] + [(a, min(a + 300, third + fifth), 2) for a in range(third, third + fifth, 300)] \
+        + [(a, a + 2, 3) for a in range(third + fifth, third + 2 * fifth - 1, 2)]
+    for a, z, kind in groups:
+        x[a:z] = np.sqrt(0.985) * x[a] + np.sqrt(0.015) * x[a:z]
+        part[a:z] = kind
+    x = x.astype(np.float32)
+    unit = x.astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    links = np.concatenate([(unit[i:i + 1000] @ unit.T >= 0.98).sum(1) for i in range(0, n, 1000)]) - 1
+    return x, part, links
+
+
+def test_pivots_keep_the_links_of_a_large_group(spark):
+    x, part, links = grouped_vectors(20_000)
+    frame = spark.createDataFrame([(i, r, 0) for i, r in enumerate(x.tolist())], VECTORS).repartition(8)
+    found = np.zeros(len(x), int)
+    for r in near_duplicate_vectors(frame, "vec_id", "embedding", "label").collect():
+        found[r.vec_id] = r.n_links
+    assert (found <= links).all()
+    for kind in (1, 2, 3):      # a third of the rows, groups of hundreds, isolated pairs
+        assert found[part == kind].sum() >= 0.99 * links[part == kind].sum() > 0

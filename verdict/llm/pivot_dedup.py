@@ -12,7 +12,11 @@ of rows that it links to, and a star for each group of linked classes: pairs are
 never written out.
 
 Pivots are a sample of the classes by hash: the square root of their number,
-from ``least_pivots`` to ``most_pivots``. Every row is indexed.
+from ``least_pivots`` to ``most_pivots``, taken from twice as many so that no two
+have a cosine of ``apart`` or more. A group of near copies, however large, so has
+one pivot of its own, and its members agree on the others as any near pair does.
+If nearly all vectors are that close, few pivots are left and the lists are long:
+more is compared, nothing is lost. Every row is indexed.
 
 Nulls: rows whose label is null, and vectors that are null, zero or hold null or
 non-finite components, link with nothing. A vector shorter than the widest counts
@@ -51,6 +55,25 @@ def _units(batches):
             [b.column("id"), b.column("label"), packed(unit + 0.0, offsets, ok, "<f8")], ["id", "label", "vec"])
 
 
+def _spaced(sample: np.ndarray, wanted: int, apart: float, step: int = 128) -> np.ndarray:
+    """The first ``wanted`` of the sample that have no cosine of ``apart`` or
+    more with one taken before."""
+    kept, n = np.empty((min(wanted, len(sample)), sample.shape[1])), 0
+    for i in range(0, len(sample), step):
+        part = sample[i:i + step]
+        part = part[(part @ kept[:n].T < apart).all(1)]
+        among, new = part @ part.T, []
+        for j in range(len(part)):
+            if (among[j, new] < apart).all():
+                new.append(j)
+        new = new[:len(kept) - n]
+        kept[n:n + len(new)] = part[new]
+        n += len(new)
+        if n == len(kept):
+            break
+    return kept[:n]
+
+
 def _prefixes(pivots: np.ndarray, prefix: int):
     """The ordered nearest pivots of each vector."""
     def run(batches):
@@ -149,9 +172,9 @@ def _tiles(width: int, shared: int, cosine: float, step: int = 256):
 
 def near_duplicate_vectors(rows: DataFrame, id_column: str, vector_column: str, label_column: str,
                            cosine: float = 0.98, prefix: int = 8, shared: int = 2, tile: int = 2048,
-                           least_pivots: int = 64, most_pivots: int = 65_536) -> DataFrame:
+                           least_pivots: int = 64, most_pivots: int = 65_536, apart: float = 0.9) -> DataFrame:
     """(<id_column>, n_links, component_id, kept) for every row; links need
-    equal labels and ``cosine`` or more."""
+    equal labels and ``cosine`` or more. No two pivots are as near as ``apart``."""
     whole = rows.select(F.col(id_column).alias("id"), F.col(label_column).alias("label"), F.col(vector_column).alias("vector"))
     types = {f.name: f.dataType.simpleString() for f in whole.schema.fields}
     whole = stored(whole.mapInArrow(_units, f"id {types['id']}, label {types['label']}, vec binary")
@@ -162,9 +185,10 @@ def near_duplicate_vectors(rows: DataFrame, id_column: str, vector_column: str,
     n, wide = classes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
     width = (wide or 0) // 8
     wanted = min(most_pivots, max(least_pivots, math.isqrt(n)))
-    picked = [r[0] for r in classes.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").take(wanted)]
+    picked = [r[0] for r in classes.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").take(2 * wanted)]
+    pivots = _spaced(stack(picked, "<f8", width), wanted, apart)
     indexed = stored(classes.select("class", "label", "n", "vec").mapInArrow(
-        _prefixes(stack(picked, "<f8", width), prefix),
+        _prefixes(pivots, prefix),
         f"class long, label {types['label']}, n long, vec binary, prefix array<int>"), "index")
     lists = indexed.withColumn("pivot", F.explode("prefix"))
     sizes = (lists.groupBy("label", "pivot").agg(F.count("*").alias("tiles")).filter("tiles > 1")
