@@ -320,3 +320,22 @@ def test_pivots_keep_the_links_of_a_large_group(spark):
     assert (found <= links).all()
     for kind in (1, 2, 3):      # a third of the rows, groups of hundreds, isolated pairs
         assert found[part == kind].sum() >= 0.99 * links[part == kind].sum() > 0
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(12)
+    rows = [[float(v) for v in r] for r in rng.normal(size=(120, 4))]
+    rows[:8] = [[300_000.5, 1, 0, 0], [400_000.5, 1, 0, 0], [500_000.5, -1, 0, 0], [0.5, 1e12, 0, 0], [0.25, -1e12, 0, 0],
+                [0, 0, 1e25, 1], [0, 0, -1e25, 1], [0, 0, 1e160, 2]]
+    rows += [[300_000.5, 1, 0, 0], [-0.0, 0, 0, 0], [0.0, 0, 0, 0], [1e300, 1e304, -1e300, 1]]
+    rows = [[float(v) for v in r] for r in rows]
+    ints = [[int(np.floor(1024 * v)) for v in r] for r in rows]
+    frame = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = {}
+    for r in top_k(frame, "vec_id", "embedding", F.col("id") >= 0, k=5, sample=40, query_block=50, class_block=40, tile=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    cut = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    assert len(got) == len(rows)
+    for q, found in got.items():
+        best = sorted((-cut(sum(a * b for a, b in zip(ints[q], v))), i) for i, v in enumerate(ints) if i != q)[:5]
+        assert sorted(found) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]

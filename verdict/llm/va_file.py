@@ -13,8 +13,9 @@
 
 Nulls: vectors that are null or hold null or non-finite components, and rows
 with a null id, take no part. A vector shorter than the widest counts as ending
-in zeros. Components beyond 2**28 after scaling are cut to that, as scores would
-not fit a long. Repeated rows are rows of their own: each is a query, and a
+in zeros. Components are not bounded: they are kept as doubles, which hold every
+floor exactly, and scores are summed as whole numbers of any size. Only a score
+that does not fit a long is cut to the least or greatest long. Repeated rows are rows of their own: each is a query, and a
 candidate of the others. Ties go to the smaller id. An empty table gives no rows.
 """
 
@@ -28,15 +29,15 @@ from pyspark.sql import functions as F
 from .dense import packed, stack, vectors
 from .store import stored
 
-MOST = 1 << 28
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _integers(scale: int):
     def run(batches):
         for b in batches:
             flat, offsets, ok = vectors(b.column("vector"))
-            whole = np.clip(np.floor(np.nan_to_num(flat, posinf=0, neginf=0) * scale), -MOST, MOST)
-            yield pa.RecordBatch.from_arrays([b.column("id"), packed(whole, offsets, ok, "<i4")], ["id", "vec"])
+            whole = np.nan_to_num(np.floor(np.nan_to_num(flat, posinf=0, neginf=0) * scale)) + 0.0    # no -0
+            yield pa.RecordBatch.from_arrays([b.column("id"), packed(whole, offsets, ok, "<f8")], ["id", "vec"])
     return run
 
 
@@ -45,9 +46,9 @@ def _components(batches):
     for b in batches:
         rows = b.column("vec").to_pylist()
         if rows:
-            x = stack(rows, "<i4", max(len(r) for r in rows) // 4)
+            x = stack(rows, "<f8", max(len(r) for r in rows) // 8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(x.shape[1])), pa.array(x.min(0).astype(np.int64)), pa.array(x.max(0).astype(np.int64))],
+                [pa.array(np.arange(x.shape[1])), pa.array(x.min(0)), pa.array(x.max(0))],
                 ["at", "least", "most"])
 
 
@@ -59,7 +60,8 @@ class Cells:
         self.borders = np.clip(np.floor(inner), least[:, None], most[:, None] + 1)
         low = np.concatenate([least[:, None], self.borders], 1)
         high = np.maximum(low, np.concatenate([self.borders - 1, most[:, None]], 1))
-        self.middle, self.half = (low + high) / 2, (high - low) / 2
+        self.middle, self.half = low / 2 + high / 2, high / 2 - low / 2
+        self.half += 1e-12 * (np.abs(self.middle) + self.half)    # more than the rounding of the sums
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(x.shape, np.uint8)
@@ -75,7 +77,7 @@ class Cells:
 def _encode(cells: Cells, width: int):
     def run(batches):
         for b in batches:
-            codes = cells.codes(stack(b.column("vec").to_pylist(), "<i4", width))
+            codes = cells.codes(stack(b.column("vec").to_pylist(), "<f8", width))
             yield pa.RecordBatch.from_arrays(
                 [b.column("class"), pa.array([c.tobytes() for c in codes], pa.binary())], ["class", "code"])
     return run
@@ -86,31 +88,44 @@ def _scan(cells: Cells, width: int, k: int, tile: int):
     def run(queries: pa.Table, codes: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if queries.num_rows and codes.num_rows:
-            q = stack(queries.column("vec").to_pylist(), "<i4", width).astype(float)
+            q = stack(queries.column("vec").to_pylist(), "<f8", width)
             c = stack(codes.column("code").to_pylist(), "u1", width)
             ids, own = codes.column("class").to_numpy(), queries.column("class").to_numpy()
             middle, half = cells.ranges(c)
-            reach = np.abs(middle).max(0, initial=0) + half.max(0, initial=0)
             for i in range(0, len(q), tile):
                 x = q[i:i + tile]
-                centre, spread = x @ middle.T, np.abs(x) @ half.T
-                spread += 1e-12 * (np.abs(x) @ reach)[:, None]    # more than the rounding of the sums
+                with np.errstate(over="ignore", invalid="ignore"):
+                    centre, spread = x @ middle.T, np.abs(x) @ half.T
+                    # sums beyond a double bound nothing; scores end where longs do
+                    lower = np.clip(np.nan_to_num(centre - spread, nan=-np.inf, posinf=MOST, neginf=LEAST), LEAST, MOST)
+                    upper = np.clip(np.nan_to_num(centre + spread, nan=np.inf, posinf=MOST, neginf=LEAST), LEAST, MOST)
                 same = own[i:i + tile][:, None] == ids[None, :]
-                lower = np.where(same, -np.inf, centre - spread)
+                lower[same] = -np.inf
                 kth = np.partition(lower, -k, 1)[:, -k] if lower.shape[1] >= k else np.full(len(x), -np.inf)
-                a, b = np.nonzero((centre + spread >= kth[:, None]) & ~same)
-                out.append((own[i + a], ids[b], lower[a, b], (centre + spread)[a, b]))
+                a, b = np.nonzero((upper >= kth[:, None]) & ~same)
+                out.append((own[i + a], ids[b], lower[a, b], upper[a, b]))
         cols = [np.concatenate(p) for p in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
         return pa.table(cols, names=["query", "class", "lower", "upper"])
     return run
 
 
+def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The inner product of each two rows of whole numbers, cut to a long."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        small = ((np.abs(x) * np.abs(y)).sum(1) < 2.0 ** 62) & (np.abs(x) < 2.0 ** 63).all(1) & (np.abs(y) < 2.0 ** 63).all(1)
+    out = np.empty(len(x), np.int64)
+    out[small] = (x[small].astype(np.int64) * y[small].astype(np.int64)).sum(1)
+    for i in np.flatnonzero(~small):
+        out[i] = min(max(sum(int(a) * int(b) for a, b in zip(x[i], y[i])), LEAST), MOST)
+    return out
+
+
 def _exact(width: int):
     def run(batches):
         for b in batches:
-            x, y = (stack(b.column(c).to_pylist(), "<i4", width).astype(np.int64) for c in ("x", "y"))
+            x, y = (stack(b.column(c).to_pylist(), "<f8", width) for c in ("x", "y"))
             yield pa.RecordBatch.from_arrays(
-                [b.column("query"), b.column("class"), pa.array((x * y).sum(1))], ["query", "class", "score"])
+                [b.column("query"), b.column("class"), pa.array(_products(x, y))], ["query", "class", "score"])
     return run
 
 
@@ -149,17 +164,17 @@ def top_k(rows: DataFrame, id_column: str, vector_column: str, is_query, k: int
     asked = stored(asked.join(hashed, (F.xxhash64("vec") == F.col("hash")) & (F.col("vec") == F.col("same")))
                    .select("id", "uid", "class"), "queries")
     n, bytes_wide = classes.agg(F.count("*"), F.max(F.octet_length("vec"))).first()
-    width = (bytes_wide or 0) // 4
+    width = (bytes_wide or 0) // 8
     # one row a component; the sample is bounded by its parameter
-    ends = {r[0]: r[1:] for r in classes.select("vec").mapInArrow(_components, "at long, least long, most long")
+    ends = {r[0]: r[1:] for r in classes.select("vec").mapInArrow(_components, "at long, least double, most double")
             .groupBy("at").agg(F.min("least"), F.max("most")).take(width)}
     picked = [r[0] for r in classes.select("vec").orderBy(F.xxhash64("vec"), "vec").take(sample)]
     # components that shorter vectors lack count as zeros
-    short = [0, 0] if any(len(v) < 4 * width for v in picked) or classes.filter(
-        F.octet_length("vec") < 4 * width).limit(1).count() else None
+    short = [0, 0] if any(len(v) < 8 * width for v in picked) or classes.filter(
+        F.octet_length("vec") < 8 * width).limit(1).count() else None
     ranges = np.array([[min(ends[d][0], *(short or ends[d])), max(ends[d][1], *(short or ends[d]))]
                        for d in range(width)], float).reshape(width, 2)
-    cells = Cells(stack(picked, "<i4", width), ranges[:, 0], ranges[:, 1])
+    cells = Cells(stack(picked, "<f8", width), ranges[:, 0], ranges[:, 1])
     codes = stored(classes.select("class", "vec").mapInArrow(_encode(cells, width), "class long, code binary"), "approximations")
     queries = asked.select("class").distinct().join(classes.select("class", "vec"), "class")
     across = max(1, -(-n // class_block))
