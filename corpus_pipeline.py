@@ -6,7 +6,8 @@ next one's documents. The first three return the columns of documents.
 
 Nulls and odd rows: a null text counts as empty and is kept; rows with a null
 doc_id are judged by no filter and kept; rows that share a doc_id are one
-document (they go if any of them is toxic, and stay together otherwise); a text
+document (they go if any of them is toxic or none is the one kept of its group of
+near copies, and stay together otherwise); a text
 from which nothing is removed stays as it is. Extra columns pass through to the
 third stage. Empty tables give empty results.
 """
@@ -32,8 +33,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_duplicates(docs, width=5, percent=75).filter("doc_id is not null and not kept")
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    judged = near_duplicates(docs, width=5, percent=75).filter("doc_id is not null")
+    gone = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept")
+    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
 def strike_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -339,3 +339,12 @@ def test_top_k_of_large_components(spark):
     for q, found in got.items():
         best = sorted((-cut(sum(a * b for a, b in zip(ints[q], v))), i) for i, v in enumerate(ints) if i != q)[:5]
         assert sorted(found) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
+def test_pipeline_keeps_a_document_of_each_group(spark):
+    from corpus_pipeline import drop_near_duplicates
+
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, a), (5, "alone"), (None, a)], "doc_id long, text string")
+    kept = drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (1, a), (2, a), (2, b), (5, "alone")])
