@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verdict.llm import unigram as u
 from verdict.llm.chat import CALLS, format_chat
 from verdict.llm.near_dedup import near_duplicates
-from verdict.llm.packing import pack
+from verdict.llm.packing import _rounded, pack, plan_sequences
 from verdict.llm.pivot_dedup import near_duplicate_vectors
 from verdict.llm.queries import URL_RULES
 from verdict.llm.store import new_path
@@ -348,3 +348,17 @@ def test_pipeline_keeps_a_document_of_each_group(spark):
     docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, a), (5, "alone"), (None, a)], "doc_id long, text string")
     kept = drop_near_duplicates(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (1, a), (2, a), (2, b), (5, "alone")])
+
+
+def test_packing_program_beats_plain_best_fit():
+    rng = np.random.default_rng(13)
+    counts = np.bincount(rng.integers(40, 129, 6000), minlength=257)
+    plan = plan_sequences(counts, 256)
+    used = np.zeros(257, int)
+    for config, times in plan:
+        assert sum(l * k for l, k in config.items()) <= 256
+        for l, k in config.items():
+            used[l] += k * times
+    assert (used == counts).all()
+    assert sum(n for _, n in plan) < sum(n for _, n in _rounded(counts, 256, []))
+    assert sum(n for _, n in plan) <= 1.002 * (counts * np.arange(257)).sum() / 256

@@ -6,11 +6,13 @@
 2. Configurations are multisets of lengths that fit one sequence. The covering
    program (fewest configurations that cover the histogram) is solved by
    multiplicative weights: each round prices the lengths, finds the best
-   configuration by a knapsack dynamic program, and raises the weights of
-   lengths it leaves short.
-3. The fractional solution is rounded down to whole configurations; what is
-   left over is packed best-fit decreasing, on counts, into the room that is
-   left and into new sequences.
+   configuration by a knapsack dynamic program, and lowers the weights of
+   the lengths it covers. Weights start a little above the share of a sequence for
+   long pieces, so that short ones are not used up while long ones still need them.
+3. The fractional solution is rounded down to whole configurations, as often as
+   pieces are left for them, and the program is solved again for the rest, ``solves``
+   times in all. What is then left over is packed best-fit decreasing, on counts,
+   into the room that is left and into new sequences.
 4. Each piece gets its rank among the pieces of its length (two-level, salted,
    so no length has to fit a task) and looks its place up in the plan.
 
@@ -100,18 +102,17 @@ def _best_configuration(price: np.ndarray, capacity: int) -> Counter:
     return out
 
 
-def fractional_cover(counts: np.ndarray, capacity: int, rounds: int = 400, rate: float = 0.25):
+def fractional_cover(counts: np.ndarray, capacity: int, rounds: int = 400, rate: float = 0.02, longer: float = 0.1):
     """Multiplicative weights on the covering program: configurations and the
-    amount of each, covering every length's count (up to rounding)."""
+    amount of each, until every length is covered or ``rounds`` are over. Lengths
+    may be covered more than once; the rounding takes what there is."""
     need = np.flatnonzero(counts)
-    if not len(need):
-        return []
-    # a configuration of one length only, for every length: the start
+    part = need / capacity
     load = np.zeros(capacity + 1)
     weight = np.zeros(capacity + 1)
-    weight[need] = need / capacity
+    weight[need] = (part + longer * part ** 2) * counts[need]
     seen: dict[tuple, float] = {}
-    for _ in range(rounds):
+    for _ in range(rounds if len(need) else 0):
         price = np.zeros(capacity + 1)
         price[need] = weight[need] / counts[need]
         c = _best_configuration(price, capacity)
@@ -124,20 +125,24 @@ def fractional_cover(counts: np.ndarray, capacity: int, rounds: int = 400, rate:
         covered = amount * times / counts[lengths]
         load[lengths] += covered
         weight[lengths] *= (1 - rate) ** covered
-        weight[need] /= weight[need].max()
-    # scale so that the best covered length is covered once, not more
-    over = load[need].max()
-    return [(dict(c), x / over) for c, x in seen.items()]
+        if load[need].min() >= 1:
+            break
+    return [(dict(c), x) for c, x in seen.items()]
 
 
-def plan_sequences(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+def plan_sequences(counts: np.ndarray, capacity: int, solves: int = 3) -> list[tuple[dict[int, int], int]]:
     """Whole configurations (lengths with multiplicity, how often) that use
-    every piece of the histogram exactly once. The fractional solution is
-    rounded in a few ways; the one with fewest sequences is taken."""
-    cover = sorted(fractional_cover(counts.astype(float), capacity), key=lambda c: -c[1])
-    plans = [_rounded(counts, capacity, [(c, int(x + up)) for c, x in cover]) for up in (0, 0.5, 0.999)]
-    plans.append(_rounded(counts, capacity, []))
-    return min(plans, key=lambda p: sum(n for _, n in p))
+    every piece of the histogram exactly once: the rounded solutions of the
+    program and of its residuals, completed by best fit."""
+    left, taken = counts.astype(np.int64), []
+    for _ in range(solves):
+        for c, x in sorted(fractional_cover(left.astype(float), capacity), key=lambda c: -c[1]):
+            times = min(int(x), int(min(left[l] // k for l, k in c.items())))
+            if times:
+                taken.append((c, times))
+                for l, k in c.items():
+                    left[l] -= k * times
+    return _rounded(counts, capacity, taken)
 
 
 def _rounded(counts: np.ndarray, capacity: int, cover) -> list[tuple[dict[int, int], int]]:
