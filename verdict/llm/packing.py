@@ -103,9 +103,9 @@ def _best_configuration(price: np.ndarray, capacity: int) -> Counter:
 
 
 def fractional_cover(counts: np.ndarray, capacity: int, rounds: int = 400, rate: float = 0.02, longer: float = 0.1):
-    """Multiplicative weights on the covering program: configurations and the
-    amount of each, until every length is covered or ``rounds`` are over. Lengths
-    may be covered more than once; the rounding takes what there is."""
+    """Multiplicative weights on the covering program: configurations, the amount
+    of each, and that amount over the load of the most covered of its lengths, by
+    which no length is covered more than once."""
     need = np.flatnonzero(counts)
     part = need / capacity
     load = np.zeros(capacity + 1)
@@ -125,24 +125,28 @@ def fractional_cover(counts: np.ndarray, capacity: int, rounds: int = 400, rate:
         covered = amount * times / counts[lengths]
         load[lengths] += covered
         weight[lengths] *= (1 - rate) ** covered
-        if load[need].min() >= 1:
-            break
-    return [(dict(c), x) for c, x in seen.items()]
+    return [(dict(c), x, x / max(1.0, max(load[l] for l, _ in c))) for c, x in seen.items()]
 
 
 def plan_sequences(counts: np.ndarray, capacity: int, solves: int = 3) -> list[tuple[dict[int, int], int]]:
     """Whole configurations (lengths with multiplicity, how often) that use
-    every piece of the histogram exactly once: the rounded solutions of the
-    program and of its residuals, completed by best fit."""
+    every piece of the histogram exactly once. The fractional solution is rounded
+    in two ways, by its scaled amounts, and by its whole amounts as far as pieces
+    are left, then those of its residuals; the one with fewest sequences is taken."""
+    cover = sorted(fractional_cover(counts.astype(float), capacity), key=lambda c: -c[1])
+    plans = [_rounded(counts, capacity, [(c, int(x + up)) for c, _, x in cover]) for up in (0, 0.5, 0.999)]
     left, taken = counts.astype(np.int64), []
-    for _ in range(solves):
-        for c, x in sorted(fractional_cover(left.astype(float), capacity), key=lambda c: -c[1]):
+    for solve in range(solves):
+        if solve:
+            cover = sorted(fractional_cover(left.astype(float), capacity), key=lambda c: -c[1])
+        for c, x, _ in cover:
             times = min(int(x), int(min(left[l] // k for l, k in c.items())))
             if times:
                 taken.append((c, times))
                 for l, k in c.items():
                     left[l] -= k * times
-    return _rounded(counts, capacity, taken)
+    plans.append(_rounded(counts, capacity, taken))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def _rounded(counts: np.ndarray, capacity: int, cover) -> list[tuple[dict[int, int], int]]:
