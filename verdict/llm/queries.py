@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import CALLS, format_chat
+from .collocations import collocations
+from .hard_negatives import hard_negatives
 from .near_dedup import near_duplicates
 from .packing import pack, token_pieces
 from .pivot_dedup import near_duplicate_vectors
+from .quality_rules import judge_quality
 from .store import new_path, stored
 from .substring import remove_repeats
 from .toxicity import score_toxicity
@@ -137,3 +140,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "archives")
     write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path, min_bytes=0)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(rows, "vec_id", "embedding", "label", is_anchor=F.col("id") % 50 == 0)
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), support=30, longest=4, first=2000)
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(_table(spark, sf_dir, "documents"))
