@@ -12,8 +12,8 @@
 4. Frequent phrases of two and more words are candidates; each is scored by its
    weakest cut, dropped if a longer candidate mostly holds it, and ranked.
 
-Proposals are tested in a Bloom filter of at most ``max_filter_bits`` bits, the only
-thing that is broadcast. A false positive counts a phrase that need not be counted, and
+Proposals are tested in a Bloom filter of about 16 bits a phrase and at most
+``max_filter_bits`` bits, the only thing that is broadcast. A false positive counts a phrase that need not be counted, and
 is not a failure; all passes agree on it, so results do not depend on
 the filter's size nor on the sample. Counts are by the phrases' texts, summed per batch before the
 shuffle.
@@ -232,13 +232,16 @@ def _frequent(texts: DataFrame, support: int, longest: int, proposed: DataFrame
     ``support`` times, and the number of all words (words 0, phrase null). Without
     proposals each pass counts the next level."""
     sc = texts.sparkSession.sparkContext
-    size = _BLOCK
-    if proposed is not None:
-        while 64 * size < min(16 * proposed.count(), max_filter_bits):
+
+    def sized(keys: int) -> int:
+        """Words of a filter with 16 bits a key, within the bound."""
+        size = _BLOCK
+        while 64 * size < 16 * keys and 128 * size <= max_filter_bits:
             size *= 2
-    else:
-        size = max(_BLOCK, max_filter_bits // 64 // _BLOCK * _BLOCK)
-    now = sc.broadcast(_filter(proposed, size) if proposed is not None else bytes(8 * size))
+        return size
+
+    size = _BLOCK if proposed is None else sized(proposed.count())
+    now = sc.broadcast(bytes(8 * size) if proposed is None else _filter(proposed, size))
     before, found = None, None
     while True:
         part = scratch.stored(
@@ -248,15 +251,17 @@ def _frequent(texts: DataFrame, support: int, longest: int, proposed: DataFrame
         # a phrase of full length lets no other in
         failed = scratch.stored(part.filter(f"words between 1 and {longest - 1}")
                                 .mapInArrow(_failures(now), _COUNTS), "failures")
-        done = failed.isEmpty()
         if before is not None:
-            before.unpersist()
-        if done:
-            now.unpersist()
-            break
+            before.destroy()
+        n_failed = failed.count()
+        if not n_failed:
+            now.destroy()
+            return found
         old = np.frombuffer(now.value, np.uint64)
+        if proposed is None and before is None:     # the empty filter is part of any: these are the words, of some levels
+            size = sized(longest * n_failed)
+            old = np.zeros(size, np.uint64)
         before, now = now, sc.broadcast((old | np.frombuffer(_filter(failed, size), np.uint64)).tobytes())
-    return found
 
 
 def _cuts(words: str, phrase: str):
