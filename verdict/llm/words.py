@@ -44,7 +44,17 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
 _BASE = int(constants(12, 1)[0])
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+
+
+class _Cache(dict):
+    """Arrays made once a process. Pickled empty: functions that are sent by
+    value take no arrays of the driver with them."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_powers = _Cache()
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
