@@ -6,9 +6,11 @@
    phrase of n words is counted if n is 1 or both of its phrases of n - 1 words are
    proposed. The border is so given by the phrases that occur, never listed.
 3. A counted phrase that reaches the support but was not proposed is a border
-   failure. Failures join the proposals, and a further pass counts what this lets in
-   that was not counted before, until a pass has no failure. As no part of a
-   phrase occurs less often than the phrase, all frequent phrases are then counted.
+   failure. Failures join the proposals, and an expansion pass counts what they let
+   in: each phrase that was not counted yet and of whose parts none is known to be
+   rare. No phrase is frequent beyond these, as no part of a phrase occurs less often
+   than the phrase, so this pass closes. (The sample, which starts from no
+   proposals, takes an expansion pass a level until one has no failure.)
 4. Frequent phrases of two and more words are candidates; each is scored by its
    weakest cut, dropped if a longer candidate mostly holds it, and ranked.
 
@@ -22,7 +24,7 @@ Words are ``[^\\x20\\x09]+`` of the pieces between ``[.,;:!?\\x0A-\\x0D]``, with
 
 Nulls: a null text is empty, a null language is ``und``; ids are not read. Repeated
 rows count each. Ties of the cut go to the shorter first part, ties of the rank to the
-greater count, then the smaller phrase in byte order. A text is never cut: from 4 MB on it is a
+greater count, then the smaller phrase in byte order. A text is never cut: from 2 MB on it is a
 batch of its own, whose phrases are counted in runs of words. An empty table gives no rows. Other columns
 are not read.
 """
@@ -48,20 +50,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _STEP = constants(41, 8)
 _BLOCK = 4096           # 64-bit words of a block of the filter
-SLICE_BYTES = 4 << 20   # text bytes counted at a time
-RUN = 1 << 19           # words whose phrases are counted at a time
+SLICE_BYTES = 2 << 20   # text bytes counted at a time
+RUN = 1 << 17           # words whose phrases are counted at a time
 
 
 def _lang_hashes(names: list[str]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "little") for n in names], np.uint64)
 
 
-def _keys(h: np.ndarray, lang: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each n consecutive words and the language of the first."""
+def _keys(h: np.ndarray, lang: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on, and of their language."""
     with np.errstate(over="ignore"):
-        total = lang[:len(h) - n + 1] * _STEP[7] + _U(n)
+        total = lang[at] * _STEP[7] + _U(n)
         for j in range(n):
-            total += h[j:len(h) - n + 1 + j] * _STEP[j]
+            total += h[at + j] * _STEP[j]
     return mix64(total)
 
 
@@ -116,23 +118,41 @@ class Phrases:
             pa.large_binary(), len(at), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _counts(longest: int, now, before):
-    """(lang, words, phrase, n) of the phrases that ``now`` lets in and ``before``
-    did not; with no ``before`` also the number of all words (phrase null)."""
-    def admitted(has: list, n: int, count: int):
-        if n == 1:
-            return np.ones(count, bool)
-        part = has[n - 1]
-        return part[:-1] & part[1:]
-
+def _let_in(h: np.ndarray, lang: np.ndarray, piece: np.ndarray, longest: int, new: Filter, old: Filter | None, closing: bool):
+    """(n, places) of the phrases of n words that ``new`` lets in and ``old`` did not.
+    ``closing`` also lets in what stands on phrases that were not counted before."""
+    every = np.arange(len(h))
+    key = _keys(h, lang, every, 1)
+    part = new.has(key)
+    old_part = part & old.has(key) if old is not None else np.zeros(len(h), bool)
+    if old is None:
+        yield 1, every
+    for n in range(2, longest + 1):
+        if len(h) < n:
+            return
+        at = np.flatnonzero(part[:-1] & part[1:] & (piece[:len(h) - n + 1] == piece[n - 1:]))
+        counted = old_part[at] & old_part[at + 1]
+        yield n, at[~counted]
+        if n == longest:
+            return
+        key = _keys(h, lang, at, n)
+        known = new.has(key)
+        part, old_part = np.zeros(len(h) - n + 1, bool), np.zeros(len(h) - n + 1, bool)
+        part[at] = known | ~counted if closing and old is not None else known
+        if old is not None:
+            old_part[at] = counted & old.has(key)
+
+
+def _counts(longest: int, now, before, closing: bool = False):
+    """(lang, words, phrase, n) of the phrases of a pass; the first pass, with no
+    ``before``, also gives the number of all words (phrase null)."""
     def run(batches):
         new = Filter(np.frombuffer(now.value, np.uint64))
         old = Filter(np.frombuffer(before.value, np.uint64)) if before is not None else None
         for b in slices(batches, max_bytes=SLICE_BYTES):
             langs = b.column("lang").dictionary_encode()
             names = langs.dictionary.to_pylist()
-            code = langs.indices.to_numpy(zero_copy_only=False)
-            p = Phrases(b.column("text"), code)
+            p = Phrases(b.column("text"), langs.indices.to_numpy(zero_copy_only=False))
             seeds = _lang_hashes(names)
             if old is None:
                 total = np.bincount(p.lang, minlength=len(names))
@@ -140,18 +160,8 @@ def _counts(longest: int, now, before):
             for i in range(0, len(p.h), RUN):
                 # the words of the run, and what phrases that begin in it need of the next
                 reach = slice(i, i + RUN + longest - 1)
-                h, lang, piece = p.h[reach], seeds[p.lang[reach]], p.piece[reach]
-                has_new, has_old = [None], [None]
-                for n in range(1, longest + 1):
-                    if len(h) < n:
-                        break
-                    key = _keys(h, lang, n)
-                    whole = piece[:len(h) - n + 1] == piece[n - 1:]
-                    let_in = whole & admitted(has_new, n, len(key))
-                    counted = whole & admitted(has_old, n, len(key)) if old is not None else np.zeros(len(key), bool)
-                    has_new.append(let_in & new.has(key))
-                    has_old.append(counted & old.has(key) if old is not None else counted)
-                    at = i + np.flatnonzero((let_in & ~counted)[:RUN])
+                for n, at in _let_in(p.h[reach], seeds[p.lang[reach]], p.piece[reach], longest, new, old, closing):
+                    at = i + at[at < RUN]
                     if len(at):
                         t = pa.table({"lang": pa.array(p.lang[at].astype(np.int32)), "phrase": p.strings(at, n)}) \
                             .group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
@@ -230,7 +240,8 @@ def _frequent(texts: DataFrame, support: int, longest: int, proposed: DataFrame
               scratch: Scratch) -> DataFrame:
     """(lang, words, phrase, n) of all phrases of up to ``longest`` words that occur
     ``support`` times, and the number of all words (words 0, phrase null). Without
-    proposals each pass counts the next level."""
+    proposals each pass counts the next level; with proposals the pass after the
+    first one closes."""
     sc = texts.sparkSession.sparkContext
 
     def sized(keys: int) -> int:
@@ -242,18 +253,20 @@ def _frequent(texts: DataFrame, support: int, longest: int, proposed: DataFrame
 
     size = _BLOCK if proposed is None else sized(proposed.count())
     now = sc.broadcast(bytes(8 * size) if proposed is None else _filter(proposed, size))
-    before, found = None, None
+    before, found, closing = None, None, proposed is not None
     while True:
         part = scratch.stored(
-            texts.mapInArrow(_counts(longest, now, before), _COUNTS).groupBy("lang", "words", "phrase")
+            texts.mapInArrow(_counts(longest, now, before, closing), _COUNTS).groupBy("lang", "words", "phrase")
             .agg(F.sum("n").alias("n")).filter(f"words = 0 or n >= {support}"), "counts")
         found = part if found is None else found.unionByName(part)
-        # a phrase of full length lets no other in
-        failed = scratch.stored(part.filter(f"words between 1 and {longest - 1}")
-                                .mapInArrow(_failures(now), _COUNTS), "failures")
+        n_failed = 0
+        if before is None or not closing:
+            # a phrase of full length lets no other in
+            failed = scratch.stored(part.filter(f"words between 1 and {longest - 1}")
+                                    .mapInArrow(_failures(now), _COUNTS), "failures")
+            n_failed = failed.count()
         if before is not None:
             before.destroy()
-        n_failed = failed.count()
         if not n_failed:
             now.destroy()
             return found
@@ -281,7 +294,7 @@ def _inner(words: str, phrase: str):
 
 
 def collocations(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", support: int = 30, longest: int = 4,
-                 scale: int = 2_000_000, held: int = 80, first: int = 2000, share: float = 0.125, lowered: float = 0.5,
+                 scale: int = 2_000_000, held: int = 80, first: int = 2000, share: float = 0.125, lowered: float = 0.8,
                  max_filter_bits: int = 1 << 27) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases of 2 to
     ``longest`` words that occur ``support`` times.
