@@ -156,7 +156,7 @@ def test_collocations_in_runs_of_a_very_long_text(spark, monkeypatch):
         n = Counter()
         for b in c._counts(4, Held, None)([pa.RecordBatch.from_arrays([texts, langs], ["text", "lang"])]):
             for r in b.to_pylist():
-                n[r["words"], r["phrase"]] += r["n"]
+                n[r["key"]] += r["n"]
         rows[run] = n
     assert rows[7] == rows[1 << 19]
 

@@ -24,7 +24,7 @@ Words are ``[^\\x20\\x09]+`` of the pieces between ``[.,;:!?\\x0A-\\x0D]``, with
 
 Nulls: a null text is empty, a null language is ``und``; ids are not read. Repeated
 rows count each. Ties of the cut go to the shorter first part, ties of the rank to the
-greater count, then the smaller phrase in byte order. A text is never cut: from 2 MB on it is a
+greater count, then the smaller phrase in byte order. A text is never cut: from 1 MB on it is a
 batch of its own, whose phrases are counted in runs of words. An empty table gives no rows. Other columns
 are not read.
 """
@@ -35,6 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +51,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _STEP = constants(41, 8)
 _BLOCK = 4096           # 64-bit words of a block of the filter
-SLICE_BYTES = 2 << 20   # text bytes counted at a time
-RUN = 1 << 17           # words whose phrases are counted at a time
+SLICE_BYTES = 1 << 20   # text bytes counted at a time
+RUN = 1 << 16           # words whose phrases are counted at a time
 
 
 def _lang_hashes(names: list[str]) -> np.ndarray:
@@ -94,7 +95,7 @@ class Phrases:
         w = Words(texts, _IS_WORD)
         self.h = w.hashes(lower=True)
         n = len(w.start)
-        cut = np.cumsum(_IS_CUT[w.raw])
+        cut = np.cumsum(_IS_CUT[w.raw], dtype=np.int32 if len(w.raw) < 1 << 31 else np.int64)
         new = np.ones(n, bool)
         if n:
             at = cut[w.start]
@@ -113,7 +114,10 @@ class Phrases:
     def strings(self, at: np.ndarray, n: int) -> pa.Array:
         start, length = self.start[at], self.end[at + n - 1] - self.start[at]
         ends = np.cumsum(length)
-        data = self.text[np.arange(ends[-1] if len(at) else 0) + np.repeat(start - (ends - length), length)]
+        low = start[0]
+        small = int(ends[-1]) + int(start[-1] - low) < 1 << 31
+        kind = np.int32 if small else np.int64
+        data = self.text[low:][np.arange(ends[-1], dtype=kind) + np.repeat((start - low - (ends - length)).astype(kind), length)]
         return pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(at), [None, pa.py_buffer(np.r_[0, ends].astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
 
@@ -144,8 +148,8 @@ def _let_in(h: np.ndarray, lang: np.ndarray, piece: np.ndarray, longest: int, ne
 
 
 def _counts(longest: int, now, before, closing: bool = False):
-    """(lang, words, phrase, n) of the phrases of a pass; the first pass, with no
-    ``before``, also gives the number of all words (phrase null)."""
+    """(key, n) of the phrases of a pass; the first pass, with no ``before``, also
+    gives the number of all words (as the empty phrase)."""
     def run(batches):
         new = Filter(np.frombuffer(now.value, np.uint64))
         old = Filter(np.frombuffer(before.value, np.uint64)) if before is not None else None
@@ -156,7 +160,7 @@ def _counts(longest: int, now, before, closing: bool = False):
             seeds = _lang_hashes(names)
             if old is None:
                 total = np.bincount(p.lang, minlength=len(names))
-                yield _rows(names, np.arange(len(names)), 0, pa.nulls(len(names), pa.string()), total)
+                yield _rows(names, np.arange(len(names)), pa.array([""] * len(names), pa.string()), total)
             for i in range(0, len(p.h), RUN):
                 # the words of the run, and what phrases that begin in it need of the next
                 reach = slice(i, i + RUN + longest - 1)
@@ -165,21 +169,28 @@ def _counts(longest: int, now, before, closing: bool = False):
                     if len(at):
                         t = pa.table({"lang": pa.array(p.lang[at].astype(np.int32)), "phrase": p.strings(at, n)}) \
                             .group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
-                        yield _rows(names, t.column("lang").to_numpy(), n,
-                                    t.column("phrase").cast(pa.string()).combine_chunks(), t.column("count_all").to_numpy())
+                        yield _rows(names, t.column("lang").to_numpy(), t.column("phrase").cast(pa.string()).combine_chunks(),
+                                    t.column("count_all").to_numpy())
     return run
 
 
-def _rows(names: list[str], code: np.ndarray, words: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    lang = pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
-    return pa.RecordBatch.from_arrays(
-        [lang, pa.array(np.full(len(code), words, np.int32)), phrase, pa.array(n.astype(np.int64))],
-        ["lang", "words", "phrase", "n"])
+def _rows(names: list[str], code: np.ndarray, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    """(key, n): a key is the phrase, a tab (which no phrase holds) and the language."""
+    lang = pa.array(names, pa.string()).take(pa.array(code))
+    return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(phrase, lang, "\t"), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
 _COUNTS = "lang string, words int, phrase string, n long"
 
 
+def _summed(rows: DataFrame, support: int) -> DataFrame:
+    """Sums of (key, n) from ``support`` on, and of the rows without a phrase."""
+    phrase = F.substring_index("key", "\t", 1)
+    return (rows.groupBy("key").agg(F.sum("n").alias("n")).filter(f"n >= {support} or key like '\t%'")
+            .select(F.expr("substring(key, instr(key, '\t') + 1)").alias("lang"),
+                    F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("words"), phrase.alias("phrase"), "n"))
+
+
 def _phrase_keys(b: pa.RecordBatch) -> np.ndarray:
     """The hash of each phrase of a counts table."""
     out = np.zeros(b.num_rows, np.uint64)
@@ -239,7 +250,7 @@ def _filter(phrases: DataFrame, size: int) -> bytes:
 def _frequent(texts: DataFrame, support: int, longest: int, proposed: DataFrame | None, max_filter_bits: int,
               scratch: Scratch) -> DataFrame:
     """(lang, words, phrase, n) of all phrases of up to ``longest`` words that occur
-    ``support`` times, and the number of all words (words 0, phrase null). Without
+    ``support`` times, and the number of all words (words 0). Without
     proposals each pass counts the next level; with proposals the pass after the
     first one closes."""
     sc = texts.sparkSession.sparkContext
@@ -256,8 +267,7 @@ def _frequent(texts: DataFrame, support: int, longest: int, proposed: DataFrame
     before, found, closing = None, None, proposed is not None
     while True:
         part = scratch.stored(
-            texts.mapInArrow(_counts(longest, now, before, closing), _COUNTS).groupBy("lang", "words", "phrase")
-            .agg(F.sum("n").alias("n")).filter(f"words = 0 or n >= {support}"), "counts")
+            _summed(texts.mapInArrow(_counts(longest, now, before, closing), "key string, n long"), support), "counts")
         found = part if found is None else found.unionByName(part)
         n_failed = 0
         if before is None or not closing:
