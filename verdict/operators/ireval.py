@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import RETRIEVAL_KS
+from .idsets import id_sets, in_sets, set_sizes
 
 
 def _ks_long(per_k: DataFrame, ks: list[int], cols: list[str]) -> DataFrame:
@@ -87,6 +88,26 @@ def same_label_relevance(items: DataFrame, *, id_col: str, label_col: str,
                     F.when(i == F.col("_max1"), F.col("_max2")).otherwise(F.col("_max1")).alias("max_relevant")))
 
 
+def relevant_sets(judged: DataFrame) -> DataFrame:
+    """Per query the set of its positive documents, from judgements
+    ``(query_id, doc_id, positive)``, as bitmap containers."""
+    return id_sets(judged.filter("positive"), ["query_id"], "doc_id")
+
+
+def judged_metrics(ranked: DataFrame, queries: DataFrame, sets: DataFrame, *, ks: list[int] = RETRIEVAL_KS) -> DataFrame:
+    """A17 against judgements: ``ranked`` has ``query_id, corpus_id, rank`` and
+    ``queries`` has ``query_id, claim_id``, the claim whose relevant set judges the
+    query's list. The query's own document does not count as relevant to it. Hits are
+    told by membership; a set is never listed."""
+    by_claim = sets.withColumnRenamed("query_id", "claim_id")
+    sizes = set_sizes(by_claim, ["claim_id"], "n_set")
+    own = in_sets(queries.select("query_id", "claim_id"), by_claim, ["claim_id"], "query_id", "own")
+    n_gold = own.join(sizes, "claim_id", "left").select(
+        "query_id", (F.coalesce("n_set", F.lit(0)) - F.col("own").cast("long")).alias("n_gold"))
+    hits = ranked.select("query_id", "corpus_id", "rank").join(queries.select("query_id", "claim_id"), "query_id")
+    return prf_map_at_k(in_sets(hits, by_claim, ["claim_id"], "corpus_id", "is_rel"), n_gold, ks=ks)
+
+
 def qrels_summary(qrels: DataFrame, *, q_id: str, doc_id: str, level: str) -> DataFrame:
     """S7 + A24: judgements with ``level == 1`` are positive; per query the
     positive set is summarised by size, min and max id."""

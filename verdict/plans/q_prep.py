@@ -386,6 +386,35 @@ def q_nested_claims(spark, sf_dir):
         F.col("total_chars").cast("long").alias("total_chars"), "first_text", "last_text")
 
 
+@register("nested_claim_documents", """WITH i AS (
+  SELECT conv_id AS claim_id, role AS doc_id, turn AS place, 'text' AS kind, text AS content FROM conversations UNION ALL
+  SELECT conv_id, role, turn, 'image', conv_id || '-' || turn || '.jpg' FROM conversations WHERE role = 'assistant'),
+o AS (
+  SELECT *, coalesce(sum(strlen(content)) OVER (PARTITION BY claim_id ORDER BY doc_id, place, kind, content
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2000 AS segment
+  FROM i WHERE length(content) > 0),
+d AS (
+  SELECT claim_id, segment::BIGINT AS segment, doc_id, count(*) FILTER (kind = 'text') AS texts, count(*) FILTER (kind = 'image') AS images,
+    doc_id || chr(30) || coalesce(string_agg(content, chr(31) ORDER BY place, content) FILTER (kind = 'text'), '') || chr(30)
+      || coalesce(string_agg(content, chr(31) ORDER BY place, content) FILTER (kind = 'image'), '') AS body
+  FROM o GROUP BY 1, 2, 3)
+SELECT claim_id, segment, count(*) AS n_documents, sum(texts)::BIGINT AS n_texts, sum(images)::BIGINT AS n_images,
+  md5(string_agg(body, chr(29) ORDER BY doc_id)) AS content_md5
+FROM d GROUP BY 1, 2""", "A25 P20")
+def q_nested_claim_documents(spark, sf_dir):
+    from ..operators.nested import IMAGE, TEXT, claim_documents, content_digest
+    c = Tables(spark, sf_dir).conversations
+    turn = c.select(F.col("conv_id").alias("claim_id"), F.col("role").alias("doc_id"), F.col("turn").alias("place"), "text")
+    image = F.concat(F.col("claim_id").cast("string"), F.lit("-"), F.col("place").cast("string"), F.lit(".jpg"))
+    items = turn.select("claim_id", "doc_id", "place", F.lit(TEXT).alias("kind"), F.col("text").alias("content")).unionByName(
+        turn.filter("doc_id = 'assistant'").select("claim_id", "doc_id", "place", F.lit(IMAGE).alias("kind"), image.alias("content")))
+    nested = claim_documents(items, segment_bytes=2000)
+    count = lambda kind: F.aggregate("documents", F.lit(0).cast("long"), lambda n, d: n + F.size(d[kind]))
+    return nested.select("claim_id", "segment", F.size("documents").cast("long").alias("n_documents"),
+                         count("texts").alias("n_texts"), count("images").alias("n_images"),
+                         content_digest().alias("content_md5"))
+
+
 @register("metrics_history_latest", """WITH h AS (SELECT 'user_' || user_id AS model, ts::DATE AS run_day,
         count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY user_id, ts::DATE)
 SELECT model, arg_max(run_day, run_day) AS run_day, arg_max(n, run_day) AS n,

@@ -12,26 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import CANDIDATES, IMAGE_CORPUS, QRELS, RAW_CLAIMS, TEXT_CORPUS
+from .quoted import read_quoted
 
 
 def read_claims_tsv(spark: SparkSession, path: str, schema: T.StructType = RAW_CLAIMS) -> DataFrame:
     """Tab-separated, one header row skipped, names imposed; quoted
-    fields may hold tabs, quotes (doubled) and newlines."""
-    return (spark.read.schema(schema).option("sep", "\t").option("header", True)
-            .option("multiLine", True).option("quote", '"').option("escape", '"')
-            .option("mode", "FAILFAST").csv(path))
+    fields may hold tabs, quotes (doubled) and newlines. Many tasks read a file."""
+    return read_quoted(spark, path, schema, sep="\t", mode="FAILFAST")
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
                schema: T.StructType | None = None, columns: list[str] | None = None) -> DataFrame:
     """A preprocessed table; ``columns`` is pushed into the scan
-    (P2 column pruning: only those columns are read)."""
-    r = spark.read.format(fmt)
-    if schema is not None:
-        r = r.schema(schema)
-    if fmt == "csv":
-        r = r.option("header", True).option("multiLine", True).option("escape", '"')
-    df = r.load(path)
+    (P2 column pruning: only those columns are read). A csv file with a schema is read by
+    many tasks; without one Spark takes the names of its header, one task a file."""
+    if fmt == "csv" and schema is not None:
+        df = read_quoted(spark, path, schema)
+    else:
+        r = spark.read.format(fmt)
+        if schema is not None:
+            r = r.schema(schema)
+        if fmt == "csv":
+            r = r.option("header", True).option("multiLine", True).option("escape", '"')
+        df = r.load(path)
     return df.select(*columns) if columns else df
 
 
@@ -45,9 +48,14 @@ def read_vectors(spark: SparkSession, path: str, kind: str = "text") -> DataFram
 def read_qrels(spark: SparkSession, path: str, level: str = "RELEVANCY") -> DataFrame:
     """Judgements; ``level`` chooses RELEVANCY or evidence_relevant;
     value 1 is positive, anything else negative."""
-    df = spark.read.schema(QRELS).option("header", True).csv(path)
-    return df.select(F.col("TOPIC").alias("query_id"), F.col("DOCUMENT#").alias("doc_id"),
-                     (F.col(level) == 1).alias("positive"))
+    return judgements(spark.read.schema(QRELS).option("header", True).csv(path), level)
+
+
+def judgements(qrels: DataFrame, level: str = "RELEVANCY") -> DataFrame:
+    """S7 on a table of judgements: ``query_id, doc_id, positive`` at one level;
+    a null judgement is negative."""
+    return qrels.select(F.col("TOPIC").alias("query_id"), F.col("DOCUMENT#").alias("doc_id"),
+                        F.coalesce(F.col(level) == 1, F.lit(False)).alias("positive"))
 
 
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
@@ -56,8 +64,7 @@ def read_passages(spark: SparkSession, path: str) -> DataFrame:
                            T.StructField("relevant_document_id", T.LongType()),
                            T.StructField("paragraph_id", T.LongType()),
                            T.StructField("paragraph", T.StringType())])
-    df = spark.read.schema(schema).option("header", True).option("multiLine", True) \
-        .option("escape", '"').csv(path)
+    df = read_quoted(spark, path, schema)
     return df.select(F.concat_ws("-", "claim_id", "relevant_document_id", "paragraph_id").alias("key"),
                      F.regexp_replace("paragraph", r"^\s+|\s+$", "").alias("text"))
 
@@ -118,10 +125,9 @@ CLAIMS_TRUTH = T.StructType([
 
 def read_claims_truth(spark: SparkSession, path: str) -> DataFrame:
     """Claims with their truthfulness label (CSV with header, quoted
-    multi-line fields). ``_pos`` keeps the file order for "last row wins"."""
-    df = (spark.read.schema(CLAIMS_TRUTH).option("header", True).option("multiLine", True)
-          .option("escape", '"').csv(path))
-    return df.withColumn("_pos", F.monotonically_increasing_id())
+    multi-line fields). ``_pos`` is the place in the files, by name, split and number, for
+    "last row wins"."""
+    return read_quoted(spark, path, CLAIMS_TRUTH, position="_pos")
 
 
 def judged_claims(claims: DataFrame, judged: DataFrame, *, q_id: str = "claim_id") -> DataFrame:
