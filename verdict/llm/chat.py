@@ -6,7 +6,9 @@ a call on the result of the call that it names in ``after``; each event so has o
 predecessor at most, and pointer jumping gives the length of its chain and the
 latest turn on it. Ordered by that turn, then that length, every event follows
 what it depends on. Arguments are validated against the tool's schema, and each
-event is serialised as canonical JSON (sorted keys, no blanks, shortest numbers).
+event is serialised as canonical JSON (sorted keys, no blanks, shortest numbers, with an
+exponent below a millionth and from 1e21 on). Arguments with numbers that no double
+holds, integers of over 4,300 digits or too deep nesting count as not JSON.
 
 Status: ok; for calls also unanswered, duplicate (not the first of its id),
 unknown_tool, invalid (with the path in ``problem``), waits_for_none (``after`` names no
@@ -52,7 +54,12 @@ def canonical(x) -> str:
     if isinstance(x, float):
         if not math.isfinite(x):
             raise ValueError("not a JSON number")
-        return str(int(x)) if x == int(x) and abs(x) < 1e21 else repr(x).replace("e-0", "e-")
+        if x == int(x) and abs(x) < 1e21:
+            return str(int(x))
+        if 1e-6 <= abs(x) < 1e-4:       # no exponent down to a millionth
+            digits, power = repr(abs(x)).split("e-")
+            return "-" * (x < 0) + "0." + "0" * (int(power) - 1) + digits.replace(".", "")
+        return repr(x).replace("e-0", "e-")
     return _string(x)
 
 
@@ -97,6 +104,13 @@ def problem(x, schema: dict, at: str = "$") -> str | None:
     return None
 
 
+def _finite(number: str) -> float:
+    x = float(number)
+    if not math.isfinite(x):
+        raise ValueError("not a JSON number")
+    return x
+
+
 def _written(schemas: dict[str, dict]):
     """Adds problem and message (canonical JSON) to events."""
     def one(r: dict) -> tuple[str | None, str]:
@@ -107,7 +121,7 @@ def _written(schemas: dict[str, dict]):
             return None, canonical(body)
         wrong, arguments = None, None
         try:
-            arguments = json.loads(r["text"] or "", parse_constant=lambda c: float("nan"))
+            arguments = json.loads(r["text"] or "", parse_constant=_finite, parse_float=_finite)
             wrong = problem(arguments, schemas[r["name"]]) if r["name"] in schemas else None
             text = canonical(arguments)
         except (ValueError, RecursionError):

@@ -46,8 +46,25 @@ def _encoding(vocabulary: str, pattern: str, special: dict[str, int]):
     return _encodings[vocabulary]
 
 
+_tokenizers: dict[str, object] = {}
+
+
+def _ids(text: str, vocabulary: str, pattern: str, special: dict[str, int], whole: str | None) -> list[int]:
+    """A text's ids. The ranks' pattern gives up on runs of some 100,000 blanks; the
+    same vocabulary's own tokenizer (``whole``) takes them, slower."""
+    try:
+        return _encoding(vocabulary, pattern, special).encode(text, allowed_special="all")
+    except ValueError:
+        if whole is None:
+            raise
+        if whole not in _tokenizers:
+            from tokenizers import Tokenizer
+            _tokenizers[whole] = Tokenizer.from_file(whole)
+        return _tokenizers[whole].encode(text, add_special_tokens=False).ids
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, capacity: int,
-                 special: dict[str, int] | None = None) -> DataFrame:
+                 special: dict[str, int] | None = None, whole: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids): the token ids of every text and
     ``end_id``, cut to ``capacity``; a longer document's first piece takes the
     remainder. ids: little-endian unsigned 32-bit. ``special``: strings that are one
@@ -56,10 +73,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, ca
 
     def run(batches):
         for b in slices(batches, max_bytes=1 << 20):
-            encoding = _encoding(vocabulary, pattern, special)
             row, piece, start, length, ids = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                raw = np.array(encoding.encode(text or "", allowed_special="all") + [end_id], "<u4").tobytes()
+                raw = np.array(_ids(text or "", vocabulary, pattern, special, whole) + [end_id], "<u4").tobytes()
                 n = len(raw) // 4
                 a, z = 0, n % capacity or capacity
                 while a < n:

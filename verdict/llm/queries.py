@@ -38,7 +38,8 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                          public_tokenizers.PATTERN, end_id=2, capacity=1024, special={"<|endoftext|>": 50256})
+                          public_tokenizers.PATTERN, end_id=2, capacity=1024, special={"<|endoftext|>": 50256},
+                          whole=public_tokenizers.path("byte_bpe_50k.json"))
     pieces = stored(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return pack(pieces, capacity=1024)
 

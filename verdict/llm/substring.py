@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fm_index import FMIndex
 from .words import Words, constants, mix64, runs, slices
@@ -271,7 +272,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 4, hot: int =
     more = [c for c in names if c not in ("doc_id", "text")]
     # rows of one doc_id with other text keep apart by a mark of the text
     marked = docs.select("doc_id", "text", (F.xxhash64("text") % F.lit(1 << 20)).alias("mark"),
-                         *([F.struct(*more).alias("more")] if more else []))
+                         *([F.struct(*(F.col(f"`{c}`") for c in more)).alias("more")] if more else []))
     text = marked.select("doc_id", "text", "mark")
     found = (text.filter("doc_id is not null and text is not null")
              .mapInArrow(_anchors(width, anchor), "key long, seg long, doc_id long, mark long, at long"))
@@ -295,7 +296,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, anchor: int = 4, hot: int =
             .mapInArrow(_search(width, block_words), "doc_id long, mark long, spans binary"))
     spans = hits.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("spans"))
     kept = [c for c in marked.columns if c != "mark"]
-    types = ", ".join(f"{c} {marked.schema[c].dataType.simpleString()}" for c in kept)
+    schema = T.StructType([marked.schema[c] for c in kept]).add("kept_text", "string").add("n_words", "long").add("n_removed", "long")
     out = (marked.join(spans, ["doc_id", "mark"], "left").select(*kept, "spans")
-           .mapInArrow(_strike(kept), f"{types}, kept_text string, n_words long, n_removed long"))
-    return out.select(*(F.col(f"more.`{c}`") if c in more else c for c in names), *new)
+           .mapInArrow(_strike(kept), schema))
+    return out.select(*(F.col(f"more.`{c}`").alias(c) if c in more else c for c in names), *new)
