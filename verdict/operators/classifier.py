@@ -11,12 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shuffled(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Seeded random order of training rows (a range-partitioned sort on
-    a seeded random key, reproducible for a fixed input partitioning)."""
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").drop("_r")
-
-
 def train_and_predict(pairs: DataFrame, *, claim_vec: str, evidence_vec: str, label: str,
                       max_iter: int = 50, reg: float = 0.01) -> DataFrame:
     feats = pairs.withColumn("features", array_to_vector(
