@@ -151,7 +151,7 @@ def test_path_rewrite_rules(spark):
     got = sorted(r.p for r in df.select(prep.canonical_path(F.col("n")).alias("p")).collect())
     assert got == ["images/test/3_evidence.jpg", "images/train/12_evidence.jpg"]
     bad = spark.createDataFrame([("dev_4_evidence.jpg",)], "n string")
-    with _pt.raises(Exception, match="Unexpected filename format"):
+    with _pt.raises(Exception, match="no split prefix in the file name"):
         bad.select(prep.canonical_path(F.col("n"))).collect()
     raw = spark.createDataFrame([("a" + chr(92) + "b" + chr(92) + "x.jpg", 1), ("a/b/x.jpg", 2)], "p string, v long")
     norm = raw.select(prep.normalise_separators(F.col("p")).alias("k"), "v")

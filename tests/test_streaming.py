@@ -58,3 +58,17 @@ def test_stream_checkpoint_is_found_by_the_next_application(spark, scratch):
         q.awaitTermination()
     assert os.path.isdir(os.path.join(folder, "t2-stream", "commits"))
     assert [x for x in os.listdir(os.path.join(folder, "t2-stream", "commits")) if not x.startswith(".")] == ["0"]
+
+
+def test_failing_rows_are_null_and_stand_alone(spark):
+    from verdict.operators.prep import batch_score
+
+    def scorer(pdf):
+        if pdf["text"].isna().any() or (pdf["text"] == "bad").any():
+            raise RuntimeError("model failed")
+        return pdf.assign(n=pdf["text"].str.len())[["id", "n"]]
+    rows = [(i, "bad" if i in (3, 50, 51) else None if i == 70 else "x" * i) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    got = {r.id: r.n for r in batch_score(df, scorer, "id long, n long").collect()}
+    assert got == {i: None if t in ("bad", None) else i for i, t in rows}
+    assert batch_score(df.filter("false"), scorer, "id long, n long").count() == 0

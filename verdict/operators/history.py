@@ -1,7 +1,6 @@
-"""Append-only metrics history (K2, U4) and the model comparison table.
+"""The model comparison table (R11) of the append-only metrics history (K2, U4).
 
-A run appends its metric rows with ``mode("append")`` (no read-modify-write
-of the whole history); the latest row per model is a ``max_by`` aggregate,
+A run appends its metric rows by ``sources.sinks.append_history``; the latest row per model is a ``max_by`` aggregate,
 partial-aggregated map side, so a model with a long history is never
 gathered in one task.
 """
@@ -12,10 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.withColumn("run_ts", F.current_timestamp()).write.mode("append").parquet(path)
-
-
 def latest_per_model(history: DataFrame, *, model: str, ts: str) -> DataFrame:
     others = [c for c in history.columns if c != model]
     best = F.max_by(F.struct(*others), F.col(ts))

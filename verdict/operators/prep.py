@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import after_marker, has_marker, parse_answer_label
 from ..session import cut_lineage, ship_package
@@ -173,7 +174,7 @@ def canonical_path(name: Column, base: str = "images") -> Column:
     after_first = F.regexp_extract(name, r"^[^_]*_(.*)$", 1)
     return (F.when(name.startswith("test"), F.concat(F.lit(f"{base}/test/"), after_first))
             .when(name.startswith("train"), F.concat(F.lit(f"{base}/train/"), after_first))
-            .otherwise(F.raise_error(F.concat(F.lit("Unexpected filename format: "), name))))
+            .otherwise(F.raise_error(F.concat(F.lit("no split prefix in the file name: "), name))))
 
 
 def pending(claims: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -184,11 +185,24 @@ def pending(claims: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def batch_score(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Apply a batch scorer (built once per task by the caller's closure)
     to Arrow batches of rows; ``fn`` maps a pandas batch to the output
-    columns of ``schema``. A failing batch must yield null/empty values
-    rather than raise, so one bad row does not fail the job."""
+    columns of ``schema``. A batch that fails is halved until the failing rows stand
+    alone: such a row keeps the columns that input and output share, and is null in the rest."""
     ship_package(df.sparkSession)
+    names = T.StructType.fromDDL(schema).names
+
+    def scored(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield fn(pdf)
+        except Exception:  # noqa: BLE001  (whatever a model raises concerns its rows only)
+            if len(pdf) == 1:
+                yield pd.DataFrame({c: pdf[c].to_list() if c in pdf else [None] for c in names})
+            else:
+                half = len(pdf) // 2
+                yield from scored(pdf.iloc[:half].reset_index(drop=True))
+                yield from scored(pdf.iloc[half:].reset_index(drop=True))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield fn(pdf)
+            if len(pdf):
+                yield from scored(pdf)
     return df.mapInPandas(run, schema)

@@ -269,7 +269,7 @@ b AS (SELECT doc_id, string_split(replace(raw, '\\', '/'), '/')[-1] AS name FROM
 e AS (SELECT * FROM b WHERE split_part(string_split(name, '_')[-1], '.', 1) = 'evidence')
 SELECT CASE WHEN starts_with(name, 'test') THEN 'images/test/' || regexp_extract(name, '^[^_]*_(.*)$', 1)
             WHEN starts_with(name, 'train') THEN 'images/train/' || regexp_extract(name, '^[^_]*_(.*)$', 1)
-            ELSE error('Unexpected filename format: ' || name) END AS new_path,
+            ELSE error('no split prefix in the file name: ' || name) END AS new_path,
        max(doc_id) AS doc_id
 FROM e GROUP BY 1""", "P16 P17 P18")
 def q_rewrite_paths(spark, sf_dir):
