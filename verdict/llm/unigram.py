@@ -8,7 +8,9 @@ how far before it the last cut lies.
 
 Documents of more than ``giant`` characters are split into chunks, each with its
 transfer matrix. Matrices are combined associatively, ``fan`` chunks to a group and
-then the groups of a document; the state at every boundary follows, and each
+then the groups of a document; the best scores ahead of every boundary follow. With
+them each chunk says which state at its begin each state at its end leads back to;
+these maps are combined in the same way from the end, and each
 chunk is traced back by itself. Other documents are one chunk. Where no piece can
 span a place (before a blank that follows no blank, in vocabularies whose pieces
 have blanks at their begin only), the matrix is an outer sum, and equal stretches
@@ -21,7 +23,9 @@ are refused. Decoding is exact, but for U+2581 in a text, which comes back as bl
 
 Nulls: a null or empty text has no pieces and decodes as empty. Repeated rows are
 encoded each. Extra columns are kept, but ``ids`` and ``decoded`` are replaced. An empty
-table gives an empty result. Equal scores: the longest last piece wins within a chunk.
+table gives an empty result. Equal scores: of the best cuttings up to a place, the one with
+the longest last piece; this is the same in one chunk and in many, as scores are
+multiples of 2**-20 (rounded, where a model has finer ones), whose sums are exact.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ _STEP = int(constants(301, 1)[0])
 _STEP_INVERSE = pow(_STEP, -1, 1 << 64)
 FILTER_BITS = 18
 NONE = -np.inf
+QUANTUM = 1 << 20   # scores are multiples of its inverse: sums are exact in any order
 _loaded: dict[str, Vocabulary] = {}
 
 
@@ -61,7 +66,7 @@ class Vocabulary:
         if n.precompiled_charsmap or n.remove_extra_whitespaces or not (n.add_dummy_prefix and n.escape_whitespaces):
             raise ValueError("only models that keep texts as they are can be used")
         kinds = proto.ModelProto.SentencePiece
-        scored = [(i, p.piece, p.score) for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)]
+        scored = [(i, p.piece, round(p.score * QUANTUM) / QUANTUM) for i, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)]
         self.longest = max(len(p) for _, p, _ in scored)
         self.separable = all("▁" not in p.lstrip("▁") for _, p, _ in scored)
         self.unknown = min(s for _, _, s in scored) - unknown
@@ -150,25 +155,40 @@ def safe_places(v: Vocabulary, x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
 
 
-def _stretch(v: Vocabulary, x: np.ndarray, barred: int = 0) -> tuple[float, list[int]]:
-    """The best cutting of one stretch, with no cut at places 1 to ``barred``."""
-    if not len(x):
-        return 0.0, []
+def _reached(v: Vocabulary, x: np.ndarray, ahead: np.ndarray | None = None, before: int = 0):
+    """(best, take, ids) over the places of one stretch: the best score up to each, the
+    length of the last piece and its id. ``ahead``: the best scores of cuts 0, 1, ...
+    places before place ``before``, on which the stretch begins."""
     score, ids = v.matches(x, np.arange(1, len(x) + 1))
     best, take = [NONE] * (len(x) + 1), [0] * (len(x) + 1)
-    best[0] = 0.0
+    if ahead is None:
+        best[0] = 0.0
+    else:
+        for i in range(min(before + 1, len(ahead))):
+            best[before - i] = float(ahead[i])
     length, place = np.nonzero(score > NONE)
     order = np.lexsort((length, place))
     for k, p, s in zip(length[order].tolist(), (place[order] + 1).tolist(), score[length[order], place[order]].tolist()):
-        if p > barred and best[p - k - 1] + s >= best[p] and best[p - k - 1] > NONE:
+        if p > before and best[p - k - 1] + s >= best[p] and best[p - k - 1] > NONE:
             best[p], take[p] = best[p - k - 1] + s, k + 1
-    if best[-1] == NONE:
-        return NONE, []
-    out, p = [], len(x)
-    while p:
+    return best, take, ids
+
+
+def _back(take: list[int], ids: np.ndarray, end: int) -> list[int]:
+    """Pieces on the way back from place ``end``."""
+    out, p = [], end
+    while take[p]:
         out.append(int(ids[take[p] - 1, p - 1]))
         p -= take[p]
-    return best[-1], out[::-1]
+    return out[::-1]
+
+
+def _stretch(v: Vocabulary, x: np.ndarray) -> tuple[float, list[int]]:
+    """The best cutting of one stretch."""
+    if not len(x):
+        return 0.0, []
+    best, take, ids = _reached(v, x)
+    return best[-1], _back(take, ids, len(x))
 
 
 def _many(v: Vocabulary, x: np.ndarray, first: np.ndarray, size: np.ndarray):
@@ -315,15 +335,26 @@ def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(1)
 
 
-def boundary_states(matrices: list[np.ndarray], entry: int, leave: int) -> list[int]:
-    """States at all boundaries on a best way from entry to leave."""
-    ahead = [np.where(np.arange(len(matrices[0])) == entry, 0.0, NONE)]
-    for m in matrices:
-        ahead.append((ahead[-1][:, None] + m).max(0))
-    states = [leave]
-    for m, value in zip(reversed(matrices), reversed(ahead[:-1])):
-        states.append(int((value + m[:, states[-1]]).argmax()))
-    return states[::-1]
+def scores_ahead(matrices: list[np.ndarray], ahead: np.ndarray) -> list[np.ndarray]:
+    """The best scores of the states at each matrix's begin."""
+    out = [ahead]
+    for m in matrices[:-1]:
+        out.append((out[-1][:, None] + m).max(0))
+    return out
+
+
+def ways_back(v: Vocabulary, x: np.ndarray, before: int, final: bool, ahead: np.ndarray) -> np.ndarray:
+    """By state at the chunk's end, the state at its begin that the best way
+    leads back to (0 for states that no way reaches)."""
+    safe = safe_places(v, x)
+    safe = safe[safe > before]
+    stop = int(safe[0]) if len(safe) else len(x)
+    best, take, _ = _reached(v, x[:stop], ahead, before)
+    root = list(range(stop + 1))
+    for p in range(before + 1, stop + 1):
+        root[p] = root[p - take[p]] if take[p] else before
+    ends = [stop] * v.longest if len(safe) else [max(stop - j, before) for j in range(v.longest)]
+    return np.array([before - root[e] if best[e] > NONE else 0 for e in ends], np.int32)
 
 
 def _matrices(path: str):
@@ -363,36 +394,83 @@ def _products(batches):
         yield pa.RecordBatch.from_pydict({"uid": [run[0][0]], "group": [run[0][1]], "matrix": [m.tobytes()]})
 
 
-def _group_states(batches):
+def _ahead_of_groups(batches):
     for run in _runs(batches, ("uid", "group", "matrix"), 1):
-        s = boundary_states([_square(r[2]) for r in run], 0, 0)
-        yield pa.RecordBatch.from_pydict({"uid": [r[0] for r in run], "group": [r[1] for r in run], "entry": s[:-1], "leave": s[1:]})
+        m = [_square(r[2]) for r in run]
+        values = scores_ahead(m, np.where(np.arange(len(m[0])) == 0, 0.0, NONE))
+        yield pa.RecordBatch.from_pydict({"uid": [r[0] for r in run], "group": [r[1] for r in run],
+                                          "ahead": [a.tobytes() for a in values]})
+
+
+def _ahead_of_chunks(batches):
+    for run in _runs(batches, ("uid", "group", "chunk", "matrix", "ahead"), 2):
+        values = scores_ahead([_square(r[3]) for r in run], np.frombuffer(run[0][4]))
+        yield pa.RecordBatch.from_pydict({"uid": [r[0] for r in run], "chunk": [r[2] for r in run],
+                                          "ahead": [a.tobytes() for a in values]})
+
+
+def _ways(path: str):
+    def run(batches):
+        v = None
+        for b in slices(batches, "body", 1 << 20):
+            v = v or vocabulary(path)
+            way = [ways_back(v, points(t), before, final, np.frombuffer(ahead)).tobytes() for t, before, final, ahead in
+                   zip(*(b.column(c).to_pylist() for c in ("body", "before", "final", "ahead")))]
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("chunk"), pa.array(way, pa.binary())], ["uid", "chunk", "way"])
+    return run
+
+
+def _way(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int32)
+
+
+def _ways_of_groups(batches):
+    for run in _runs(batches, ("uid", "group", "chunk", "way"), 2):
+        way = _way(run[-1][3])
+        for r in reversed(run[:-1]):
+            way = _way(r[3])[way]
+        yield pa.RecordBatch.from_pydict({"uid": [run[0][0]], "group": [run[0][1]], "way": [way.tobytes()]})
+
 
+def _leaves(ways: list[bytes], leave: int) -> list[int]:
+    """States at the ends of consecutive stretches, of which the last is left at ``leave``."""
+    out = [leave]
+    for way in reversed(ways[1:]):
+        out.append(int(_way(way)[out[-1]]))
+    return out[::-1]
 
-def _chunk_states(batches):
-    for run in _runs(batches, ("uid", "group", "chunk", "matrix", "entry", "leave"), 2):
-        s = boundary_states([_square(r[3]) for r in run], run[0][4], run[0][5])
-        yield pa.RecordBatch.from_pydict({"uid": [r[0] for r in run], "chunk": [r[2] for r in run], "entry": s[:-1], "leave": s[1:]})
 
+def _leaves_of_groups(batches):
+    for run in _runs(batches, ("uid", "group", "way"), 1):
+        yield pa.RecordBatch.from_pydict({"uid": [r[0] for r in run], "group": [r[1] for r in run],
+                                          "leave": _leaves([r[2] for r in run], 0)})
 
-def traced(v: Vocabulary, x: np.ndarray, before: int, entry: int, leave: int) -> np.ndarray:
-    """Pieces of a chunk between its boundary states."""
-    x, before = x[before - entry:len(x) - leave], entry
+
+def _leaves_of_chunks(batches):
+    for run in _runs(batches, ("uid", "group", "chunk", "way", "leave"), 2):
+        yield pa.RecordBatch.from_pydict({"uid": [r[0] for r in run], "chunk": [r[2] for r in run],
+                                          "leave": _leaves([r[3] for r in run], run[0][4])})
+
+
+def traced(v: Vocabulary, x: np.ndarray, before: int, ahead: np.ndarray, leave: int) -> np.ndarray:
+    """Pieces of a chunk that is left at state ``leave``, from the best scores ahead of it."""
+    x = x[:len(x) - leave]
     safe = safe_places(v, x)
     safe = safe[safe > before]
-    if not len(safe):
-        ids = np.array(_stretch(v, x, before)[1], np.int64)
-    else:
-        ids = np.concatenate([np.array(_stretch(v, x[:safe[0]], before)[1], np.int64),
-                              best_pieces(v, x, safe, np.r_[safe[1:], len(x)])[2]])
-    return v.spelled(ids, np.zeros(len(ids), np.int64))[0]
+    stop = int(safe[0]) if len(safe) else len(x)
+    _, take, ids = _reached(v, x[:stop], ahead, before)
+    out = np.array(_back(take, ids, stop), np.int64)
+    if len(safe):
+        out = np.concatenate([out, best_pieces(v, x, safe, np.r_[safe[1:], len(x)])[2]])
+    return v.spelled(out, np.zeros(len(out), np.int64))[0]
 
 
 def _trace(path: str):
     def run(batches):
         for b in slices(batches, "body", 1 << 20):
-            ids = [traced(vocabulary(path), points(t), *r).astype("<u4").tobytes() for t, *r in
-                   zip(*(b.column(c).to_pylist() for c in ("body", "before", "entry", "leave")))]
+            ids = [traced(vocabulary(path), points(t), before, np.frombuffer(ahead), leave).astype("<u4").tobytes()
+                   for t, before, ahead, leave in
+                   zip(*(b.column(c).to_pylist() for c in ("body", "before", "ahead", "leave")))]
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("chunk"), pa.array(ids, pa.binary())], ["uid", "chunk", "ids"])
     return run
 
@@ -403,20 +481,34 @@ def _join_parts(batches):
             yield pa.RecordBatch.from_pydict({"uid": [uid], "ids": [b"".join(p["ids"] for p in parts)]})
 
 
+def _plainly_named(df: DataFrame, keep: str) -> DataFrame:
+    """df with all columns but ``keep`` renamed, so that none clashes or holds a dot."""
+    return df.toDF(*[c if c == keep else f"c{i}" for i, c in enumerate(df.columns)])
+
+
 def _encode_giants(docs: DataFrame, path: str, chunk: int, fan: int) -> DataFrame:
     docs = stored(docs.withColumn("uid", F.monotonically_increasing_id()), "giants")
     chunks = stored(docs.select("uid", "text").mapInArrow(
         _split(path, chunk), "uid long, chunk long, final boolean, before long, body string"), "chunks")
     spread = chunks.repartition("uid", "chunk")
     group = F.floor(F.col("chunk") / fan).alias("group")
+
+    def sorted_by(df, *keys, last):
+        return df.repartition(*keys).sortWithinPartitions(*keys, last)
+
     matrices = stored(spread.mapInArrow(_matrices(path), "uid long, chunk long, matrix binary").select("uid", group, "chunk", "matrix"), "matrices")
-    products = (matrices.repartition("uid", "group").sortWithinPartitions("uid", "group", "chunk")
-                .mapInArrow(_products, "uid long, group long, matrix binary"))
-    groups = (products.repartition("uid").sortWithinPartitions("uid", "group")
-              .mapInArrow(_group_states, "uid long, group long, entry long, leave long"))
-    states = (matrices.join(groups, ["uid", "group"]).repartition("uid", "group").sortWithinPartitions("uid", "group", "chunk")
-              .mapInArrow(_chunk_states, "uid long, chunk long, entry long, leave long"))
-    parts = chunks.join(states, ["uid", "chunk"]).mapInArrow(_trace(path), "uid long, chunk long, ids binary")
+    products = sorted_by(matrices, "uid", "group", last="chunk").mapInArrow(_products, "uid long, group long, matrix binary")
+    ahead_of_groups = sorted_by(products, "uid", last="group").mapInArrow(_ahead_of_groups, "uid long, group long, ahead binary")
+    ahead = sorted_by(matrices.join(ahead_of_groups, ["uid", "group"]), "uid", "group", last="chunk").mapInArrow(
+        _ahead_of_chunks, "uid long, chunk long, ahead binary")
+    entered = stored(chunks.join(ahead, ["uid", "chunk"]), "entered")
+    ways = stored(entered.repartition("uid", "chunk").mapInArrow(_ways(path), "uid long, chunk long, way binary")
+                  .select("uid", group, "chunk", "way"), "ways")
+    ways_of_groups = sorted_by(ways, "uid", "group", last="chunk").mapInArrow(_ways_of_groups, "uid long, group long, way binary")
+    leaves = sorted_by(ways_of_groups, "uid", last="group").mapInArrow(_leaves_of_groups, "uid long, group long, leave long")
+    states = sorted_by(ways.join(leaves, ["uid", "group"]), "uid", "group", last="chunk").mapInArrow(
+        _leaves_of_chunks, "uid long, chunk long, leave long")
+    parts = entered.join(states, ["uid", "chunk"]).mapInArrow(_trace(path), "uid long, chunk long, ids binary")
     whole = (parts.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
              .mapInArrow(_join_parts, "uid long, ids binary"))
     return docs.join(whole, "uid").drop("uid")
@@ -424,13 +516,13 @@ def _encode_giants(docs: DataFrame, path: str, chunk: int, fan: int) -> DataFram
 
 def encode(docs: DataFrame, path: str, giant: int = 65_536, chunk: int = 16_384, fan: int = 64) -> DataFrame:
     """``docs`` (text, more) with ``ids``: little-endian unsigned 32-bit ids.
-    ``giant``: characters from which a text is split into chunks of ``chunk``."""
+    ``giant``: characters from which a text is split into chunks of ``chunk``; the ids are the same for any."""
     docs = docs.drop("ids")
+    names, docs = docs.columns, _plainly_named(docs, "text")
     large = F.coalesce(F.length("text") >= giant, F.lit(False))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
     plain = docs.filter(~large).mapInArrow(_encode(path), f"{types}, ids binary")
-    return plain.unionByName(_encode_giants(docs.filter(large).withColumnRenamed("uid", "_uid"), path, chunk, fan)
-                             .withColumnRenamed("_uid", "uid"))
+    return plain.unionByName(_encode_giants(docs.filter(large), path, chunk, fan)).toDF(*names, "ids")
 
 
 def _decode(path: str):
@@ -452,5 +544,6 @@ def _decode(path: str):
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` (ids, more) with ``decoded``, the text of the ids."""
     rows = rows.drop("decoded")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_decode(path), f"{types}, decoded string")
+    names, rows = rows.columns, _plainly_named(rows, "ids")
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(_decode(path), f"{types}, decoded string").toDF(*names, "decoded")
