@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,6 +28,17 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_anew(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join to an aggregate on its keys (or a part of them), hashed anew: both sides
+    are then shuffled for the join, so Spark can split the rows of a hot key."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns],
+                     F.xxhash64(*keys).alias("_r_hash"))
+    same = F.xxhash64(*[left[c] for c in keys]) == r["_r_hash"]
+    for c in keys:
+        same = same & (left[c] == r[f"_r_{c}"])
+    return left.join(r, same, how).drop("_r_hash", *[f"_r_{c}" for c in keys])
+
+
 def release(spark: SparkSession) -> None:
     """Frees the plans, broadcasts and shuffle files of what a loop of the
     driver has finished; Spark does so when the driver's garbage is collected."""

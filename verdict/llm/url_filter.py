@@ -1,7 +1,8 @@
 """URL filters by path-template trees.
 
 1. A url's path becomes template segments: digits and long hexadecimal runs of
-   a segment are wildcards; segments beyond ``max_depth`` fold into one.
+   a segment are wildcards; what lies beyond ``max_depth`` segments is the last
+   level of the tree, one segment as it stands, and is generalised like the others.
 2. Per host the templates form a tree. Level by level, children of a node that
    has about as many children as urls become one wildcard; of the others,
    siblings with the same commonest sub-template are merged, but for those whose
@@ -18,7 +19,7 @@ host with a third of all pages is summed up before it is moved.
 
 Nulls: a null url, or one without ``://``, has an empty host and path and is
 judged by the method as such. Repeated rows are judged each, and each counts as
-an example. An empty table gives an empty result. Extra columns are not read.
+an example. Of rules of equal length that fit, the one named last decides. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import join_anew, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,7 +55,8 @@ def segments(path: str, max_depth: int) -> Column:
     raw = F.filter(F.split(F.col(path), "/", -1), lambda s, i: i > 0)
     plain = F.transform(raw, lambda s: F.regexp_replace(F.regexp_replace(
         s, "[0-9a-fA-F]{16,}", "{h}"), "[0-9]+", "{n}"))
-    return F.when(F.size(plain) > max_depth, F.concat(F.slice(plain, 1, max_depth), F.array(F.lit("{tail}")))).otherwise(plain)
+    rest = F.array_join(F.slice(plain, max_depth + 1, 1_000_000_000), "/")
+    return F.when(F.size(plain) > max_depth, F.concat(F.slice(plain, 1, max_depth), F.array(rest))).otherwise(plain)
 
 
 def _generalised(tree: DataFrame, level: int, least_children: int, least_ratio: float, alpha: float) -> DataFrame:
@@ -75,17 +77,17 @@ def _generalised(tree: DataFrame, level: int, least_children: int, least_ratio:
     bound = math.sqrt(0.5 * math.log(2 / alpha))
     differs = F.coalesce(F.abs(F.try_divide("bad", seen) - F.try_divide("pool_bad", pool))
                          > bound * (1 / F.sqrt(seen) + 1 / F.sqrt(pool)), F.lit(False))
-    judged = (kids.join(parents, ["host", "node"]).join(pools, ["host", "node", "main"])
+    judged = (join_anew(join_anew(kids, parents, ["host", "node"]), pools, ["host", "node", "main"])
               .withColumn("variable", variable).withColumn("own", differs))
     merged = (judged.filter("not variable and not own").groupBy("host", "node", "main")
               .agg(F.min("child").alias("least"), F.count("*").alias("together")))
     name = (F.when(F.col("variable"), F.lit("*")).when(F.col("own") | (F.col("together") < 2), F.col("child"))
             .otherwise(F.concat(F.lit("~"), F.col("least"))))
-    names = (judged.join(merged, ["host", "node", "main"], "left")
+    names = (join_anew(judged, merged, ["host", "node", "main"], "left")
              .select("host", "node", "child", F.coalesce(name, "child").alias("name")))
-    out = (tree.withColumn("node", F.when(F.size("template") >= level, node))
-           .withColumn("child", F.when(F.size("template") >= level, F.try_element_at("template", F.lit(level))))
-           .join(names, ["host", "node", "child"], "left"))
+    out = join_anew(tree.withColumn("node", F.when(F.size("template") >= level, node))
+                    .withColumn("child", F.when(F.size("template") >= level, F.try_element_at("template", F.lit(level)))),
+                    names, ["host", "node", "child"], "left")
     return stored(out.withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(
         F.concat("node", F.array("name"), F.slice("template", level + 1, 1_000_000)))).select(tree.columns), "tree")
 
@@ -98,7 +100,7 @@ def template_tree(urls: DataFrame, max_depth: int = 8, least_children: int = 16,
         F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
         .withColumn("template", F.col("segments")), "tree")
     deepest = tree.agg(F.max(F.size("segments"))).first()[0] or 0   # max_depth + 1 at most
-    for level in range(1, min(deepest, max_depth) + 1):
+    for level in range(1, deepest + 1):
         tree = _generalised(tree, level, least_children, least_ratio, alpha)
     return tree
 
@@ -113,9 +115,9 @@ def template_shares(tree: DataFrame, weight: float = 8.0) -> DataFrame:
         return (F.col("bad") + weight * prior) / (F.col("bad") + F.col("good") + weight)
 
     hosts = tree.groupBy("host").agg(*counts).select("host", smooth(F.lit(total)).alias("host_share"))
-    shares = (tree.groupBy("host", "template").agg(*counts).join(hosts, "host")
+    shares = (join_anew(tree.groupBy("host", "template").agg(*counts), hosts, ["host"])
               .select("host", "template", smooth(F.col("host_share")).alias("share")))
-    return tree.select("host", "segments", "template").join(shares, ["host", "template"])
+    return join_anew(tree.select("host", "segments", "template"), shares, ["host", "template"])
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], reject_at: float = 0.8,
