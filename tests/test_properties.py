@@ -94,6 +94,8 @@ def test_grid_search_matches_brute_force(spark):
     df = spark.createDataFrame(rows, "y int, m1 array<double>, m2 array<double>, m3 array<double>")
     W, Pw = [0, 0.5, 1], [0.5, 1]
     got = grid_search(df, weights=W, powers=Pw, tasks=3).first()
+    assert grid_search(df, weights=W, powers=Pw, tasks=9, fan=2).first() == got   # counts summed over a tree
+    assert grid_search(df.limit(0), weights=W, powers=Pw, tasks=3).first().best_f1 is None
     best, arg = 0, None
     for w1 in W:
         for w2 in W:

@@ -3,32 +3,32 @@
 Grid search plan: the grid (11^3 weights x 5^3 powers = 166,375 settings by
 default) is a constant derived from the parameter lists, so its size is
 known up front. Rows are spread over ``tasks`` tasks; each task
-scores every setting for its rows with numpy (powers precomputed once per
-row) and emits only per-setting partial counts (true positives and
-predictions per class). The shuffle therefore carries at most
-settings x tasks small rows, whatever the number of input rows or
-cores; the final per-setting sum, weighted F1 and
-``min_by`` pick of the best setting are Spark aggregates.
+scores every setting for its rows with numpy and emits one dense array of counts
+(class supports, predictions and true positives by setting and class) for each
+combination of powers. These arrays are summed in a tree, ``fan`` at a time, so
+what is shuffled is combinations x tasks rows and no setting is a row. Who sums a combination
+scores its settings; those that may round to its best F1 go on, and a
+``min_by`` picks the best of all.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schemas import ENSEMBLE_POWERS, ENSEMBLE_WEIGHTS
-from ..session import cut_lineage, ship_package
+from ..session import ship_package
 
 SCORE_DECIMALS = 9
 F1_DECIMALS = 5
 
 
-SLICE_ROWS = 2000   # rows scored at a time: bounds a worker's memory
+SLICE_ROWS = 96   # rows scored at a time: a slice's scores of all weights stay in the cache
 
 
 def blend(probs: list[Column], weights: tuple, powers: tuple, n_classes: int) -> Column:
@@ -45,101 +45,106 @@ def blend(probs: list[Column], weights: tuple, powers: tuple, n_classes: int) ->
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
 
 
-def grid(weights=ENSEMBLE_WEIGHTS, powers=ENSEMBLE_POWERS) -> np.ndarray:
-    """Settings in loop order (w1, w2, w3, p1, p2, p3), one row each, as
-    indices into ``weights`` / ``powers``."""
-    return np.array(list(product(range(len(weights)), range(len(weights)), range(len(weights)),
-                                 range(len(powers)), range(len(powers)), range(len(powers)))), dtype=np.int16)
-
-
 def _partial_counts(n_classes: int, weights, powers):
     """Per-task kernel. Loops over the power combinations (p1, p2, p3) and
     broadcasts all weight combinations at once: scores are
     ``(w1 * a + w2 * b) + w3 * c`` in that order (as in the SQL), rounded
     half away from zero to 9 places; scores are non-negative, so the rounded
     integer ``floor(x * 1e9 + 0.5)`` orders and ties exactly like the
-    rounded value, and argmax takes the first maximum."""
-    w = np.asarray(weights, dtype=np.float64)
+    rounded value, and argmax takes the first maximum. Rows out: a combination and
+    its counts, first the supports, then (wrong, right) by setting and predicted class."""
+    w = np.asarray(weights, dtype=np.float64)[:, None]
     pw = np.asarray(powers, dtype=np.float64)
     nw, npw = len(w), len(pw)
-    wc = np.array(list(product(range(nw), repeat=3)), dtype=np.int64)        # weight combos, loop order
-    w1, w2, w3 = (w[wc[:, i]][:, None] for i in range(3))
-    n_set = len(wc) * npw ** 3
+    m = nw ** 3
     scale = 10.0 ** SCORE_DECIMALS
-    cols = [f"tp{c}" for c in range(n_classes)] + [f"np{c}" for c in range(n_classes)]
 
-    def fn(it):
-        tp = np.zeros((n_set, n_classes), dtype=np.int64)
-        npred = np.zeros((n_set, n_classes), dtype=np.int64)
+    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((npw ** 3, m * n_classes * 2), dtype=np.int64)
         support = np.zeros(n_classes, dtype=np.int64)
-        seen = False
+        first_code = (np.arange(m, dtype=np.int64) * n_classes * 2)[:, None]
         for pdf in (whole.iloc[i:i + SLICE_ROWS] for whole in it for i in range(0, len(whole), SLICE_ROWS)):
-            seen = True
             y = pdf["y"].to_numpy(np.int64)
             support += np.bincount(y, minlength=n_classes)[:n_classes]
-            P = [np.stack(pdf[m].to_numpy()).astype(np.float64) for m in ("m1", "m2", "m3")]
-            # powers once per row, class-major: PP[model][power][class] -> (rows,)
-            PP = [[np.ascontiguousarray(np.power(p, e).T) for e in pw] for p in P]
-            m = len(wc)
-            base = np.arange(m)[:, None] * n_classes
-            for j1, j2, j3 in product(range(npw), repeat=3):
-                a, b, c3 = PP[0][j1], PP[1][j2], PP[2][j3]
-                best = None
-                pred = None
-                for c in range(n_classes):
-                    r = np.floor((w1 * a[c] + w2 * b[c] + w3 * c3[c]) * scale + 0.5)
-                    if best is None:
-                        best, pred = r, np.zeros(r.shape, dtype=np.int64)
-                    else:
-                        better = r > best                                      # first max wins
-                        pred[better] = c
-                        np.maximum(best, r, out=best)
-                sid = np.arange(m) * npw ** 3 + (j1 * npw + j2) * npw + j3
-                code = (base + pred).ravel()
-                npred[sid] += np.bincount(code, minlength=m * n_classes).reshape(m, n_classes)
-                hit = (pred == y[None, :]).ravel()
-                tp[sid] += np.bincount(code[hit], minlength=m * n_classes).reshape(m, n_classes)
-        if not seen:
-            return
-        out = pd.DataFrame(np.hstack([tp, npred]), columns=cols)
-        out.insert(0, "sid", np.arange(n_set, dtype=np.int64))
-        # one extra row (sid = -1): this task's class supports in the tp
-        # columns, so supports come out of the same aggregate
-        sup = pd.DataFrame([[-1] + support.tolist() + [0] * n_classes], columns=["sid"] + cols)
-        yield pd.concat([out, sup], ignore_index=True)
-    schema = T.StructType([T.StructField("sid", T.LongType())]
-                          + [T.StructField(c, T.LongType()) for c in cols])
-    return fn, schema
+            # weighted powers once per row: [model][power][class] -> (weights, rows)
+            terms = [[[w * row for row in np.power(probs, e).T] for e in pw]
+                     for probs in (np.stack(pdf[name].to_numpy()).astype(np.float64) for name in ("m1", "m2", "m3"))]
+            shape = (nw, nw, nw, len(y))
+            score, best = np.empty(shape), np.empty(shape)
+            better, pred = np.empty(shape, dtype=bool), np.empty(shape, dtype=np.int64)
+            for j1, j2 in product(range(npw), repeat=2):
+                ab = [terms[0][j1][c][:, None] + terms[1][j2][c][None, :] for c in range(n_classes)]
+                for j3 in range(npw):
+                    for c in range(n_classes):
+                        np.add(ab[c][:, :, None], terms[2][j3][c][None, None], out=score)
+                        score *= scale
+                        score += 0.5
+                        np.floor(score, out=score)
+                        if c == 0:
+                            best, score = score, best
+                            pred.fill(0)
+                        else:
+                            np.greater(score, best, out=better)                # first max wins
+                            np.copyto(pred, c, where=better)
+                            np.maximum(best, score, out=best)
+                    code = pred.reshape(m, -1) * 2
+                    code += pred.reshape(m, -1) == y
+                    code += first_code
+                    counts[(j1 * npw + j2) * npw + j3] += np.bincount(code.ravel(), minlength=m * n_classes * 2)
+        if support.any():
+            yield pd.DataFrame({"combination": np.arange(npw ** 3, dtype=np.int64),
+                                "counts": [np.r_[support, c].tobytes() for c in counts]})
+    return fn
+
+
+def _summed(it: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray]]:
+    total: dict[int, np.ndarray] = {}
+    for pdf in it:
+        for k, raw in zip(pdf["combination"], pdf["counts"]):
+            part = np.frombuffer(raw, dtype=np.int64)
+            total[k] = total[k] + part if k in total else part
+    yield from total.items()
+
+
+def _sum_branches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for k, counts in _summed(it):
+        yield pd.DataFrame({"combination": [k], "counts": [counts.tobytes()]})
+
+
+def _best_settings(n_classes: int, n_combinations: int):
+    """The settings of each combination that may round to its best F1: (setting id in
+    loop order w1, w2, w3, p1, p2, p3; F1 before rounding)."""
+    def fn(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, counts in _summed(it):
+            support, by = counts[:n_classes], counts[n_classes:].reshape(-1, n_classes, 2)
+            f1 = np.zeros(len(by))
+            for c in range(n_classes):
+                tp, both = by[:, c, 1], support[c] + by[:, c].sum(1)
+                f1 += np.where(both > 0, support[c] * 2.0 * tp / np.maximum(both, 1), 0.0)
+            f1 /= support.sum()
+            near = np.flatnonzero(f1 >= f1.max() - 2 * 10.0 ** -F1_DECIMALS)
+            yield pd.DataFrame({"sid": near * n_combinations + k, "f1": f1[near]})
+    return fn
 
 
 def grid_search(rows: DataFrame, *, n_classes: int = 5, weights=ENSEMBLE_WEIGHTS,
-                powers=ENSEMBLE_POWERS, tasks: int | None = None) -> DataFrame:
+                powers=ENSEMBLE_POWERS, tasks: int | None = None, fan: int = 64) -> DataFrame:
     """A26. ``rows`` has ``y`` (true class code) and ``m1, m2, m3``
     (probability arrays). Returns one row: the best weighted F1 (rounded to
     5; strict improvement, so the first setting in loop order wins a tie;
     all zeros when no setting beats 0) and its setting."""
     spark = rows.sparkSession
     ship_package(spark)
-    # each task emits one partial-count row per setting, so the shuffle is
-    # tasks x settings rows; the task count follows the cores
     tasks = tasks or spark.sparkContext.defaultParallelism
-    fn, schema = _partial_counts(n_classes, weights, powers)
-    parts = rows.select("y", "m1", "m2", "m3").repartition(tasks).mapInPandas(fn, schema)
-    sums = parts.groupBy("sid").agg(*[F.sum(c).alias(c) for c in schema.fieldNames()[1:]])
-    # the summed counts (one row per setting + the support row) feed the
-    # supports and the scores: checkpoint them once (small, bounded by the
-    # grid) so the kernel runs a single time
-    sums = cut_lineage(sums)
-    sup_row = sums.filter(F.col("sid") == -1)
-    scal = {f"s{c}": sup_row.select(F.col(f"tp{c}").cast("double")).scalar() for c in range(n_classes)}
-    total = sup_row.select(sum(F.col(f"tp{c}") for c in range(n_classes)).cast("double")).scalar()
-    sums = sums.filter(F.col("sid") >= 0)
-    f1 = None
-    for c in range(n_classes):
-        s, tp, npr = scal[f"s{c}"], F.col(f"tp{c}"), F.col(f"np{c}")
-        term = F.when(s + npr > 0, s * 2 * tp / (s + npr)).otherwise(F.lit(0.0))
-        f1 = term if f1 is None else f1 + term
-    scored = sums.select("sid", F.round(f1 / total, F1_DECIMALS).alias("f1"))
+    schema = "combination long, counts binary"
+    parts = rows.select("y", "m1", "m2", "m3").repartition(tasks).mapInPandas(
+        _partial_counts(n_classes, weights, powers), schema)
+    while tasks > fan:
+        tasks = -(-tasks // fan)
+        parts = (parts.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(tasks))).repartition("combination", "branch")
+                 .drop("branch").mapInPandas(_sum_branches, schema))
+    scored = (parts.repartition("combination").mapInPandas(_best_settings(n_classes, len(powers) ** 3), "sid long, f1 double")
+              .withColumn("f1", F.round("f1", F1_DECIMALS)))
     best = scored.agg(F.min_by(F.struct("sid", "f1"), F.struct(F.negative("f1"), F.col("sid"))).alias("b")) \
         .select("b.*")
     # setting id -> indices (loop order: w1, w2, w3 outer ... p3 inner)
