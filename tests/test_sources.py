@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from verdict.sources import readers, sinks
@@ -76,6 +78,11 @@ def test_qrels_passages_candidates_probs(spark, scratch):
         paths.append(mp)
     probs = {r.id: r for r in readers.read_model_probs(spark, paths).collect()}
     assert probs[1].m3[0] == 0.5 and probs[2].m1[2] == 0.3
+    for odd in ("id,p0,p1,p2,p3,p4\n1,0.5,0.1,0.1,0.1,0.2\n", "id,p0,p1,p2,p3,p4\n1,0,0,0,0,1\n2,0,0,0,0,1\n2,0,0,0,1,0\n"):
+        with open(paths[1], "w") as f:   # an id is missing, or there twice
+            f.write(odd)
+        with pytest.raises(Exception, match="rows of id 2"):
+            readers.read_model_probs(spark, paths).collect()
 
 
 def test_last_processed_index(spark):

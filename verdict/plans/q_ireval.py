@@ -128,12 +128,13 @@ def _two_stage_df(spark, sf_dir):
 
 @register("two_stage_retrieval", f"""{_SQL_TWO_STAGE}
 SELECT t.query_id, t.rank, t.corpus_id, t.split, t.score2, d.lang
-FROM top t JOIN documents d ON d.doc_id = t.corpus_id""", "R2 J1 U1 W1 W2")
+FROM top t JOIN (SELECT doc_id, CASE WHEN count(lang) = count(*) THEN min(lang) END AS lang FROM documents GROUP BY doc_id) d
+  ON d.doc_id = t.corpus_id""", "R2 J1 U1 W1 W2")
 def q_two_stage(spark, sf_dir):
     t = Tables(spark, sf_dir)
     top = _two_stage_df(spark, sf_dir)
     docs = t.documents.select("doc_id", "lang")
-    h = hydrate(top, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["doc_id"])
+    h = hydrate(top, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["lang"])
     return h.select("query_id", "rank", "corpus_id", "split", "score2", "lang")
 
 
@@ -141,12 +142,13 @@ def q_two_stage(spark, sf_dir):
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank
                        FROM s) WHERE rank <= 5)
 SELECT t.query_id, t.rank, t.score, d.doc_id, d.lang, d.source, d.n_chars
-FROM top t JOIN documents d ON d.doc_id = t.corpus_id""", "J2 J3 J7")
+FROM top t JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_chars NULLS FIRST, lang NULLS FIRST,
+    source NULLS FIRST) AS nth FROM documents) d ON d.doc_id = t.corpus_id AND d.nth = 1""", "J2 J3 J7")
 def q_hydrate_evidence(spark, sf_dir):
     t = Tables(spark, sf_dir)
     emb = t.embeddings
     top = vector_topk(queries_from(emb), corpus_from(emb), 5, q_id="query_id", c_id="corpus_id",
                       exclude_self=True)
     docs = t.documents.select("doc_id", "lang", "source", "n_chars")
-    h = hydrate(top, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["doc_id"])
+    h = hydrate(top, docs, hit_key=["corpus_id"], content_key=["doc_id"], order=["n_chars", "lang", "source"])
     return h.select("query_id", "rank", "score", "doc_id", "lang", "source", "n_chars")

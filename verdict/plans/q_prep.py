@@ -317,6 +317,20 @@ def q_claim_gold_label(spark, sf_dir):
                         .otherwise("NEI").alias("gold_label"))
 
 
+@register("gold_truthfulness", f"""WITH g AS (SELECT conv_id, arg_min(coalesce(text, ''), turn) AS text FROM conversations GROUP BY conv_id)
+SELECT d.doc_id AS claim_id, CASE {_SQL_P11.format(l=_SQL_LAST.format(x='g.text'))}
+  WHEN 0 THEN 'supported' WHEN 2 THEN 'refuted' ELSE 'NEI' END AS truthfulness
+FROM documents d JOIN g ON g.conv_id = d.doc_id""", "J6 P11")
+def q_gold_truthfulness(spark, sf_dir):
+    from ..operators.retrieval import first_per_key
+    t = Tables(spark, sf_dir)
+    judged = t.conversations.select(F.col("conv_id").alias("claim_id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+    first = first_per_key(judged, ["claim_id"], ["turn", "text"])
+    lab = parse_answer_label(F.col("text"))
+    return t.documents.select(F.col("doc_id").alias("claim_id")).join(first, "claim_id").select(
+        "claim_id", F.when(lab == 0, "supported").when(lab == 2, "refuted").otherwise("NEI").alias("truthfulness"))
+
+
 _SQL_CONTENT = """SELECT t.query_id, t.rank, d.doc_id, length(d.text) AS content_chars
 FROM top t JOIN documents d ON d.doc_id = t.corpus_id WHERE length(d.text) > 0"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.profile import (DESCRIBE, availability, coverage, describe, fetch_stats, to_long,
                                  value_counts)
+from .q_text import LANGUAGE_SQL, detected_languages
 from .registry import Tables, register
 
 # "has image": the document appears in labels; evidence image: labels.toxic = 0
@@ -97,7 +98,16 @@ def q_fetch_stats(spark, sf_dir):
     return fetch_stats(fetch_status_from_events(Tables(spark, sf_dir).events))
 
 
+_AVAILABLE = ["total", "claim_images", "evidence_images", "claim_images_pct", "evidence_images_pct"]
+
+
 @register("profile_report", f"""WITH {_SQL_IMG},
+av AS (SELECT source, count(doc_id)::DOUBLE AS total, count(claim_image)::DOUBLE AS claim_images,
+              count(evidence_image)::DOUBLE AS evidence_images,
+              round(100.0 * count(claim_image) / nullif(count(doc_id), 0), 6)::DOUBLE AS claim_images_pct,
+              round(100.0 * count(evidence_image) / nullif(count(doc_id), 0), 6)::DOUBLE AS evidence_images_pct
+       FROM img GROUP BY source),
+dl AS (SELECT lang_pred, count(*) AS n FROM ({LANGUAGE_SQL}) GROUP BY lang_pred),
 cc AS (SELECT 'category_counts' AS section, field || ':' || value AS key, 'n' AS stat, n::DOUBLE AS value
        FROM (SELECT 'source' AS field, source AS value, count(*) AS n FROM documents GROUP BY source
              UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY lang)),
@@ -109,6 +119,10 @@ cv AS (SELECT count(doc_id) AS rows, count(claim_image) AS with_a, count(evidenc
 ld AS (SELECT {_SQL_DESCRIBE.format(v='diff')}
        FROM (SELECT length(coalesce(html, '')) - length(coalesce(url, '')) AS diff FROM pages))
 SELECT * FROM cc
+UNION ALL SELECT 'detected_language', lang_pred, 'n', n FROM dl
+UNION ALL SELECT 'image_availability', source, stat, value FROM
+  (UNPIVOT (SELECT * FROM av) ON total, claim_images, evidence_images, claim_images_pct, evidence_images_pct
+   INTO NAME stat VALUE value)
 UNION ALL SELECT 'text_lengths', lang, stat, value FROM
   (UNPIVOT (SELECT lang, count::DOUBLE AS count, mean, std, min, p25, p50, p75, max FROM tl)
    ON count, mean, std, min, p25, p50, p75, max INTO NAME stat VALUE value)
@@ -117,7 +131,7 @@ UNION ALL SELECT 'coverage', 'documents', stat, value FROM
                    "both"::DOUBLE AS "both" FROM cv) ON rows, with_a, with_b, "both" INTO NAME stat VALUE value)
 UNION ALL SELECT 'length_diff', 'pages', stat, value FROM
   (UNPIVOT (SELECT count::DOUBLE AS count, mean, std, min, p25, p50, p75, max FROM ld)
-   ON count, mean, std, min, p25, p50, p75, max INTO NAME stat VALUE value)""", "R9 P3 A1-A5")
+   ON count, mean, std, min, p25, p50, p75, max INTO NAME stat VALUE value)""", "R9 P3 A1-A5 R5 F12")
 def q_profile_report(spark, sf_dir):
     t = Tables(spark, sf_dir)
     cc = value_counts(t.documents, ["source", "lang"])
@@ -131,4 +145,9 @@ def q_profile_report(spark, sf_dir):
     p = t.pages
     ld = to_long(describe(p, F.length(F.coalesce("html", F.lit(""))) - F.length(F.coalesce("url", F.lit("")))),
                  "length_diff", F.lit("pages"), DESCRIBE)
-    return cc.unionByName(tl).unionByName(cv).unionByName(ld)
+    av = to_long(availability(_img(t), "source", "doc_id", {"claim_images": F.col("claim_image"),
+                                                            "evidence_images": F.col("evidence_image")}),
+                 "image_availability", F.col("source"), _AVAILABLE)
+    dl = to_long(detected_languages(t).groupBy("lang_pred").agg(F.count("*").alias("n")),
+                 "detected_language", F.col("lang_pred"), ["n"])
+    return cc.unionByName(dl).unionByName(av).unionByName(tl).unionByName(cv).unionByName(ld)

@@ -29,7 +29,7 @@ _CLEAN = "trim(lower(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || ch
 _TRI = f"list_transform(range(1, length({_CLEAN}) - 1), lambda i: substr({_CLEAN}, i, 3))"
 
 
-@register("detect_language", f"""WITH tc AS (SELECT doc_id, tri, count(*) AS n FROM (
+LANGUAGE_SQL = f"""WITH tc AS (SELECT doc_id, tri, count(*) AS n FROM (
     SELECT doc_id, unnest({_TRI}) AS tri FROM documents) GROUP BY doc_id, tri),
 model AS (SELECT tri, d.lang, sum(n) AS c FROM tc JOIN documents d USING (doc_id) GROUP BY tri, d.lang),
 tot AS (SELECT lang, ln(sum(c)::DOUBLE + (SELECT count(DISTINCT tri) FROM model)) AS log_den
@@ -42,8 +42,15 @@ sc AS (SELECT s.doc_id, s.lang, s.num - nd.n_doc * tot.log_den AS score, nd.n_do
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, lang)
                                       AS rn FROM sc) WHERE rn = 1)
 SELECT d.doc_id, coalesce(b.lang, 'unknown') AS lang_pred, round(b.score / b.n_doc, 6) AS score
-FROM documents d LEFT JOIN best b USING (doc_id)""", "R5 A1")
-def q_detect_language(spark, sf_dir):
-    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text", "lang"))
+FROM documents d LEFT JOIN best b USING (doc_id)"""
+
+
+def detected_languages(t: Tables):
+    d = spread(t.documents.select("doc_id", "text", "lang"))
     model, totals = langid.train(d, id_col="doc_id", text_col="text", lang_col="lang")
     return langid.detect(d, model, totals, id_col="doc_id", text_col="text")
+
+
+@register("detect_language", LANGUAGE_SQL, "R5 A1")
+def q_detect_language(spark, sf_dir):
+    return detected_languages(Tables(spark, sf_dir))

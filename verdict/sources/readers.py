@@ -86,16 +86,24 @@ def read_candidates(spark: SparkSession, path: str, image_dir: str | None = None
 
 
 def read_model_probs(spark: SparkSession, paths: list[str], n_classes: int = 5) -> DataFrame:
-    """S13 + J13: per-model probability tables keyed by id, joined by key
-    (never by position) into ``id, m1, m2, m3``."""
-    out = None
-    for i, p in enumerate(paths, start=1):
-        schema = T.StructType([T.StructField("id", T.LongType())]
-                              + [T.StructField(f"p{c}", T.DoubleType()) for c in range(n_classes)])
-        df = spark.read.schema(schema).option("header", True).csv(p)
-        df = df.select("id", F.array(*[f"p{c}" for c in range(n_classes)]).alias(f"m{i}"))
-        out = df if out is None else out.join(df, "id")
-    return out
+    """S13 + J13: per-model probability tables keyed by id, brought together by key
+    (never by position) into ``id, m1, m2, m3``: one aggregate over all of them, combined
+    map side. An id that a model misses or repeats, or has no id, fails the read."""
+    models = [f"m{i}" for i in range(1, len(paths) + 1)]
+    schema = T.StructType([T.StructField("id", T.LongType())]
+                          + [T.StructField(f"p{c}", T.DoubleType()) for c in range(n_classes)])
+    rows = None
+    for name, p in zip(models, paths):
+        df = spark.read.schema(schema).option("header", True).csv(p).select(
+            "id", F.lit(name).alias("model"), F.array(*[f"p{c}" for c in range(n_classes)]).alias("probs"))
+        rows = df if rows is None else rows.unionByName(df)
+    of = [F.when(F.col("model") == m, F.col("probs")) for m in models]
+    together = rows.groupBy("id").agg(*[F.first(c, ignorenulls=True).alias(m) for m, c in zip(models, of)],
+                                      F.array(*[F.count(c) for c in of]).alias("_n"))
+    whole = F.col("id").isNotNull() & F.forall("_n", lambda n: n == 1)
+    wrong = F.raise_error(F.concat(F.lit("models without, or with several, rows of id "),
+                                   F.coalesce(F.col("id").cast("string"), F.lit("null"))))
+    return together.select(F.when(whole, F.col("id")).otherwise(wrong.cast("long")).alias("id"), *models)
 
 
 SAMPLES = T.StructType([
