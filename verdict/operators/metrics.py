@@ -118,10 +118,20 @@ def count_windows(steps: DataFrame, *, epoch: str, step: str, length: int,
     only if it contains its flush step; unfinished tails are dropped.
     Adds the window id column and keeps only logged rows."""
     w = F.ceil(F.col(step) / F.lit(length)).cast("long")
-    s = steps.withColumn(window, w)
-    done = (s.groupBy(epoch, window).agg(F.max(step).alias("_mx"))
-            .filter(F.col("_mx") % length == 0).drop("_mx"))
-    return s.join(done, [epoch, window], "left_semi")
+    s = steps.withColumn(window, w).filter(F.col(epoch).isNotNull() & F.col(window).isNotNull())
+    last = F.max(step).over(Window.partitionBy(epoch, window))
+    return s.withColumn("_mx", last).filter(F.col("_mx") % length == 0).drop("_mx")
+
+
+def window_confusion(steps: DataFrame, y: str, p: str, *, epoch: str, step: str, length: int,
+                     window: str = "win_id") -> DataFrame:
+    """``confusion`` of the rows that ``count_windows`` keeps, by epoch and window. The
+    steps are reduced to counts before unfinished windows go, so a window is a
+    few rows there, however often its steps repeat."""
+    s = steps.withColumn(window, F.ceil(F.col(step) / F.lit(length)).cast("long"))
+    cells = (s.groupBy(epoch, window, F.col(y).alias("truth"), F.col(p).alias("pred"))
+             .agg(F.count("*").alias("n"), F.max(step).alias(step)))
+    return count_windows(cells, epoch=epoch, step=step, length=length, window=window).drop(step)
 
 
 def best_so_far(metrics: DataFrame, *, order: str, value: str) -> DataFrame:
