@@ -11,8 +11,11 @@ score is the mean log-probability per trigram, rounded to 6.
 Plan: trigrams come from one linear regex pass per text. The model counts
 (trigram, language) straight from the exploded trigrams, combined map side,
 so only the small model is shuffled; it is checkpointed once because it
-feeds both the vocabulary size and the scoring join. Scoring counts trigrams
-per document (combined map side) and joins the model on the trigram.
+feeds both the vocabulary size and the scoring join. Scoring looks up each
+trigram of a text where the text is: the model's most frequent trigrams, one row
+each with a count per language, are a broadcast join, and a text's sums are combined
+map side, so a few rows a text are shuffled. Trigrams beyond that number are counted per
+document and joined on the trigram; they are the rare ones.
 Trigram totals per document and per language need no trigram pass at all:
 a stripped text of L code points has max(L - 2, 0) trigrams.
 """
@@ -64,11 +67,33 @@ def train(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str,
     return model, totals
 
 
+#: trigrams of the broadcast part of the model
+FREQUENT = 200_000
+
+
+def _sums(found: DataFrame, id_col: str) -> DataFrame:
+    """(id, lang, num) from rows ``(id, n, of)``, ``of`` the (lang, c) of a trigram."""
+    return (found.select(id_col, "n", F.inline("of")).groupBy(id_col, "lang")
+            .agg(F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("num")))
+
+
 def detect(texts: DataFrame, model: DataFrame, totals: DataFrame, *, id_col: str, text_col: str,
-           counts: DataFrame | None = None) -> DataFrame:
-    tc = counts if counts is not None else trigram_counts(texts, id_col, text_col)
-    s = (tc.select(id_col, "tri", "n").join(model, "tri").groupBy(id_col, "lang")
-         .agg(F.sum(F.col("n") * F.log(F.col("c") + 1.0)).alias("num")))
+           counts: DataFrame | None = None, frequent: int = FREQUENT) -> DataFrame:
+    by_tri = model.groupBy("tri").agg(F.sum("c").alias("all"), F.collect_list(F.struct("lang", "c")).alias("of"))
+    if counts is not None:
+        s = _sums(counts.select(id_col, "tri", "n").join(by_tri, "tri"), id_col)
+    else:
+        # the most frequent ones, ties cut anywhere: either part holds a trigram whole
+        by_tri = cut_lineage(by_tri)
+        many = by_tri.count() > frequent
+        common = cut_lineage(by_tri.orderBy(F.desc("all")).limit(frequent)) if many else by_tri
+        tris = texts.select(id_col, F.explode(char_ngrams(stripped(text_col), 3)).alias("tri")).withColumn("n", F.lit(1))
+        s = _sums(tris.join(F.broadcast(common.select("tri", "of")), "tri"), id_col)
+        if many:
+            others = tris.join(F.broadcast(common.select("tri")), "tri", "left_anti").groupBy(id_col, "tri").agg(F.count("*").alias("n"))
+            rare = by_tri.join(F.broadcast(common.select("tri")), "tri", "left_anti")
+            s = (s.unionByName(_sums(others.join(rare, "tri"), id_col))
+                 .groupBy(id_col, "lang").agg(F.sum("num").alias("num")))
     n_doc = texts.select(id_col, n_trigrams(text_col).alias("n_doc"))
     s = s.join(totals, "lang").join(n_doc, id_col) \
         .withColumn("score", F.col("num") - F.col("n_doc") * F.col("log_den"))
