@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BITMAP_BYTES = 4096     # fixed by Spark's bitmap functions
+TESTED_ROWS = 256
 
 
 def _offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +104,8 @@ def intersect_sets(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def _tested(name: str):
     def run(batches):
-        for b in batches:
+        # a row brings a container of up to 2,047 positions: few rows at a time
+        for b in (b.slice(i, TESTED_ROWS) for b in batches for i in range(0, b.num_rows, TESTED_ROWS)):
             ids, at = b.column("_ids"), b.column("_at").to_numpy(zero_copy_only=False)
             there = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
             found = np.zeros(b.num_rows, bool)
