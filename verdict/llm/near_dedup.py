@@ -11,7 +11,9 @@ compared to the bucket's least node and links are closed to components. Members
 still in different components of one bucket are compared further, by blocks of
 sketches: in the first ``nearest_rounds`` rounds only each one's nearest of
 another component leaves the task and is confirmed, which joins what a large
-group of near copies is made of; then all pairs that are still apart follow.
+group of near copies is made of; then all pairs that are still apart follow. A
+member that had no close sketch of another component in a bucket takes no part in that
+bucket's later rounds.
 
 The bands use 128 MinHash values; with 32 bands of 4 a pair at similarity 0.75 is
 missed with probability 5e-6. The sketch folds the least element of each of 1024
@@ -124,8 +126,8 @@ def most_different_bits(both, percent: int, sigmas: float, exp=np.exp, sqrt=lamb
 
 def _sketch_pairs(percent: int, sigmas: float, nearest: bool):
     """Rows sorted by (key, ti, tj): per run the pairs of different components
-    whose sketches are close, or only the nearest of each; a run is at most two
-    tiles. A pair that shares several buckets comes from the first of its bands
+    whose sketches are close (a, b; key null), or only the nearest of each and, as
+    (key, a), all members that have such a pair; a run is at most two tiles. A pair that shares several buckets comes from the first of its bands
     only: there it is compared, or was as a pair with the bucket's hub."""
     most = 1 << 16      # beyond, the limit hardly changes and is taken at its end
     limits = most_different_bits(np.r_[1, 1:most, 1e12].astype(float), percent, sigmas).astype(np.uint16)
@@ -148,7 +150,7 @@ def _sketch_pairs(percent: int, sigmas: float, nearest: bool):
             sides = [(rest, b), (other, a)] if left != right else [(rest, b)]
         else:
             sides = [(a, b)]
-        out = []
+        out, live = [], np.zeros(len(node), bool)
         for x, b in ((s[i:i + 256], t) for s, t in sides for i in range(0, len(s), 256)):
             d = np.zeros((len(x), len(b)), np.uint16)
             for k in range(SKETCH_LONGS):
@@ -157,6 +159,8 @@ def _sketch_pairs(percent: int, sigmas: float, nearest: bool):
             d[(comp[x][:, None] == comp[b][None, :]) | (100 * np.minimum(u, v) < percent * np.maximum(u, v))
               | (d > limits[np.minimum(u + v, most - 1)])] = SKETCH_BITS + 1
             if nearest:
+                close = d <= SKETCH_BITS
+                live[x[close.any(1)]] = live[b[close.any(0)]] = True
                 q = d.argmin(1)
                 p = np.flatnonzero(d[np.arange(len(x)), q] <= SKETCH_BITS)
                 q = q[p]
@@ -170,7 +174,11 @@ def _sketch_pairs(percent: int, sigmas: float, nearest: bool):
                 p, q = p[first], q[first]
             p, q = node[x[p]], node[b[q]]
             out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        p = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        n, k = len(p), int(live.sum())
+        key = pa.array(np.full(n + k, run[0][0], np.int64), mask=np.arange(n + k) < n)
+        b = pa.array(np.r_[p[:, 1], np.zeros(k, np.int64)], mask=np.arange(n + k) >= n)
+        return pa.RecordBatch.from_arrays([key, pa.array(np.r_[p[:, 0], node[live]]), b], ["key", "a", "b"])
 
     def run(batches):
         held: list[tuple] = []
@@ -179,18 +187,16 @@ def _sketch_pairs(percent: int, sigmas: float, nearest: bool):
             for r in zip(*(b.column(c).to_pylist() for c in ("key", "ti", "tj", "set_id", "component", "tile", "sketch", "size", "bands"))):
                 if held and held[0][:3] != r[:3]:
                     found.append(pairs(held))
-                    size += len(found[-1])
+                    size += found[-1].num_rows
                     held = []
                     if size > 50_000:
-                        p = np.concatenate(found)
-                        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+                        yield from pa.Table.from_batches(found).combine_chunks().to_batches()
                         found, size = [], 0
                 held.append(r)
         if held:
             found.append(pairs(held))
         if found:
-            p = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+            yield from pa.Table.from_batches(found).combine_chunks().to_batches()
     return run
 
 
@@ -228,12 +234,13 @@ def _by_hash(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
 
 
 def _left_over(members: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int, sigmas: float, tile: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components whose sketches are close."""
-    m = (members.filter("n > 2").select("key", "set_id", "n")
+    """Of members (key, set_id): pairs (a, b; key null) of one bucket in different
+    components whose sketches are close and, where nearest, the members (key, a) that have any."""
+    m = (members.select("key", "set_id")
          .join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
          .withColumn("component", F.coalesce("component", "set_id")))
-    apart = (m.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-             .filter("c0 <> c1").select("key"))
+    apart = (m.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
+                                   F.count("*").alias("n")).filter("c0 <> c1").select("key", "n"))
     tiles = F.ceil(F.col("n") / tile).cast("int")
     placed = (_by_hash(m, apart, "key")
               .withColumn("tile", F.expr("pmod(xxhash64(set_id), ceil(n / %d))" % tile).cast("int"))
@@ -244,7 +251,7 @@ def _left_over(members: DataFrame, comp: DataFrame, nodes: DataFrame, percent: i
         placed = placed.withColumn("bands", F.lit(None).cast("array<long>"))
     return (placed.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
             .select("key", "ti", "tj", "set_id", "component", "tile", "sketch", "size", "bands")
-            .mapInArrow(_sketch_pairs(percent, sigmas, nearest), "a long, b long").distinct())
+            .mapInArrow(_sketch_pairs(percent, sigmas, nearest), "key long, a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sigmas: float = 4.0,
@@ -269,11 +276,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75, sigmas:
     star = members.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
     tried = stored(_close_enough(star, nodes, percent, sigmas), "pairs")
     comp = components(stored(_confirmed(tried, nodes, docs, width, percent), "links"), stored=stored)
+    apart = members.filter("n > 2").select("key", "set_id")
     settled = False     # a round of nearest pairs that joins nothing would find the same ones again
     for nearest in [True] * nearest_rounds + [False]:
         if nearest and settled:
             continue
-        more = stored(_left_over(members, comp, nodes, percent, sigmas, tile, nearest).join(tried, ["a", "b"], "left_anti"), "pairs")
+        met = stored(_left_over(apart, comp, nodes, percent, sigmas, tile, nearest), "met")
+        if nearest:     # components only grow: a member without a close one of another component stays so
+            apart = met.filter("key is not null").select("key", F.col("a").alias("set_id")).distinct()
+        more = stored(met.filter("key is null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         release(docs.sparkSession)
         settled = more.isEmpty()
         if settled:
