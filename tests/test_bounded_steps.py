@@ -62,3 +62,68 @@ def test_settled_members_leave_the_rounds():
     out = pa.Table.from_batches([*near_dedup._sketch_pairs(75, 4.0, True)(iter([b]))]).to_pylist()
     assert [(r["a"], r["b"]) for r in out if r["key"] is None] == [(0, 1)]
     assert sorted(r["a"] for r in out if r["key"] == 7) == [0, 1]
+
+
+TILE = ["key", "ti", "tj", "set_id", "component", "tile", "sketch", "size", "bands", "shingles"]
+
+
+def tile_rows(sets, tiles=1):
+    """Sets of one bucket, all close by their sketches, each of a component of its own."""
+    rows = [(7, t, int(t != i % tiles), i, i, i % tiles, [0] * 16, len(s), [7] * 32, s)
+            for i, s in enumerate(sets) for t in range(tiles)]
+    rows.sort(key=lambda r: r[:3])
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.list_(pa.int64()) if isinstance(c[0], list) else pa.int64()) for c in zip(*rows)], TILE)
+
+
+def all_links(sets):
+    return [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len({*a} & {*b}) >= 75 * len({*a, *b})]
+
+
+def closed(pairs, n):
+    root = [*range(n)]
+    for a, b in pairs:
+        x, y = sorted((root[a], root[b]))
+        root = [x if r == y else r for r in root]
+    return root
+
+
+def test_rows_of_the_last_round_grow_with_the_members():
+    for n, tiles in ((20, 1), (60, 1), (60, 4)):    # of 190, 1770 and 1770 pairs
+        out = pa.Table.from_batches([*near_dedup._sketch_pairs(75, 4.0, False)(iter([tile_rows([[1, 2, 3]] * n, tiles)]))]).to_pylist()
+        assert sorted(r["a"] for r in out) == [*range(n)]
+        assert {r["key"] for r in out} == {7}
+
+
+def test_pairs_of_the_last_round_are_confirmed_where_they_meet():
+    rng = np.random.default_rng(4)
+    sets = []
+    for base in range(3):       # three groups whose sets share about three quarters
+        for _ in range(25):
+            kept = rng.permutation(40)[:rng.integers(31, 39)]
+            sets.append(sorted({*(1000 * base + kept).tolist(), *rng.integers(10**6, 10**9, 2).tolist()}))
+
+    links = all_links(sets)
+    for tiles in (1, 5):
+        rows = tile_rows(sets, tiles)
+        out = pa.Table.from_batches([*near_dedup._set_links(75, 4.0)(iter([rows.slice(0, 50), rows.slice(50)]))]).to_pylist()
+        found = [(r["a"], r["b"]) for r in out]
+        assert {(b, a) for a, b in found} <= {*links}
+        assert closed(found, len(sets)) == closed(links, len(sets))
+        assert len(set(closed(links, len(sets)))) > 3 and len(found) < len(sets) * tiles < len(links) * tiles
+    assert not [*near_dedup._set_links(75, 4.0)(iter([]))]
+
+
+def test_near_duplicates_by_any_tiles(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for j in rng.permutation(120)[:rng.integers(1, 7)]:
+            w[j] = f"x{rng.integers(9)}"
+        texts.append(" ".join(w))
+    want = closed(all_links([{*zip(*(w[i:] for i in range(5)))} for w in (t.split() for t in texts)]), 90)
+    assert len({*want}) > 3
+    d = spark.createDataFrame([*enumerate(texts), (90, None), (91, ""), (92, texts[0])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(d, tile=7).collect()}
+    assert got == {**dict(enumerate(want)), 90: 90, 91: 91, 92: want[0]}
