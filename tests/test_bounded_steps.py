@@ -127,3 +127,41 @@ def test_near_duplicates_by_any_tiles(spark):
     d = spark.createDataFrame([*enumerate(texts), (90, None), (91, ""), (92, texts[0])], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(d, tile=7).collect()}
     assert got == {**dict(enumerate(want)), 90: 90, 91: 91, 92: want[0]}
+
+
+def join_rows(plan):
+    """(description, rows out) of the joins of an executed plan."""
+    found = []
+    if "Join" in plan.nodeName():
+        found.append((plan.simpleString(100), plan.metrics().apply("numOutputRows").value()))
+    children = plan.children()
+    for i in range(children.size()):
+        found += join_rows(children.apply(i))
+    return found
+
+
+def test_sets_are_joined_once_for_all_their_buckets(spark):
+    sets, keys = 40, 16         # of the buckets, 12 hold two components and 4 one
+    nodes = spark.createDataFrame([(i, [i] * 16, 1 + i, [i] * 32) for i in range(sets)],
+                                  "set_id long, sketch array<long>, size long, bands array<long>")
+    members = spark.createDataFrame([(k, i) for k in range(keys) for i in range(sets) if k < 12 or i > 20], "key long, set_id long")
+    comp = spark.createDataFrame([(i, 20) for i in range(20, sets)], "node long, component long")
+    full = spark.createDataFrame([(i, [*range(1 + i)]) for i in range(sets)], "set_id long, shingles array<long>")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for tile, with_sets in ((100, None), (15, None), (100, full), (15, full)):
+            dealt = near_dedup._dealt(members, comp, nodes, tile, with_sets)
+            got = dealt.collect()
+            joins = [n for text, n in join_rows(dealt._jdf.queryExecution().executedPlan()) if "[set_id" in text]
+            assert len(joins) >= 2 and max(joins) <= sets
+            tiles = -(-sets // tile)
+            homes = {(r.key, r.set_id): r for r in got if r.tj == 0}
+            assert {*homes} == {(k, i) for k in range(12) for i in range(sets)}
+            for (_, i), r in homes.items():
+                assert (r.component, r.size, r.sketch, r.bands) == (min(i, 20), 1 + i, [i] * 16, [i] * 32)
+                assert r.ti == r.tile < tiles and (with_sets is None or r.shingles == [*range(1 + i)])
+            assert sorted((r.key, r.set_id, r.ti) for r in got) == sorted(
+                (k, i, t) for (k, i), r in homes.items() for t in range(0 if with_sets is None else r.tile, tiles))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

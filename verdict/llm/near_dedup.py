@@ -377,21 +377,27 @@ def _by_hash(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
 def _dealt(members: DataFrame, comp: DataFrame, nodes: DataFrame, tile: int, sets: DataFrame | None = None) -> DataFrame:
     """Members (key, set_id) of buckets with different components, dealt by (key, ti) and sorted: of
     tile ti itself (tj 0) and the guests it meets (tj 1). These are all other tiles; with sets,
-    where a link found on one side is enough, those before, and a tile is small in elements as well."""
-    m = (members.select("key", "set_id")
+    where a link found on one side is enough, those before, and a tile is small in elements as well.
+    What belongs to a set (component, size, sketch) is joined once for all of its buckets, sketches and
+    full sets only where a bucket is left."""
+    m = (members.groupBy("set_id").agg(F.collect_list("key").alias("keys"))
          .join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
          .withColumn("component", F.coalesce("component", "set_id"))
-         .join(nodes.select("set_id", "sketch", "size", "bands"), "set_id"))
+         .join(nodes.select("set_id", "size"), "set_id")
+         .select("set_id", "component", "size", F.explode("keys").alias("key")))
     apart = (m.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"),
                                    F.count("*").alias("n"), F.sum("size").alias("elements"))
              .filter("c0 <> c1").select("key", "n", "elements"))
-    m = _by_hash(m, apart, "key")
+    m = (_by_hash(m, apart, "key").groupBy("set_id", "component", "size")
+         .agg(F.collect_list(F.struct("key", "n", "elements")).alias("buckets"))
+         .join(nodes.select("set_id", "sketch", "bands"), "set_id"))
     if sets is None:
         tiles, least = F.ceil(F.col("n") / tile).cast("int"), F.lit(0)
     else:
         tiles = F.ceil(F.greatest(F.col("n") / tile, F.col("elements") / (tile * ELEMENTS))).cast("int")
         least = F.col("tile")
         m = m.join(sets, "set_id")
+    m = m.withColumn("bucket", F.explode("buckets")).select("*", "bucket.*").drop("buckets", "bucket")
     return (m.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int"))
             .withColumn("ti", F.explode(F.sequence(least, F.col("tiles") - 1)))
             .withColumn("tj", (F.col("ti") != F.col("tile")).cast("int"))
